@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nodeloom.llm import encode, similar, unify
+from nodeloom.llm import encode, languages, mixing, similar, unify
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "p2_found": unify.disguised_values,
         "p3_found": similar.similar_senses,
         "p6_ids": encode.document_ids,
+        "p7_draw": mixing.drawn_documents,
+        "p7_shares": mixing.reached_shares,
+        "p8_found": languages.mislabelled_segments,
     }
 
 
