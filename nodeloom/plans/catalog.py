@@ -144,9 +144,9 @@ def group_vector_mean(spark, d):
     return g.select("label", F.posexplode("v").alias("at", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"WITH {_S} SELECT a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 6) AS score FROM s a JOIN s b ON a.word = b.word AND a.pos = b.pos AND a.id < b.id WHERE {_COS.format('a.v', 'b.v')} >= 0.95")
+@query(f"WITH {_S} SELECT a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 6) AS score FROM s a JOIN s b ON a.word = b.word AND a.pos = b.pos AND a.id < b.id WHERE {_COS.format('a.v', 'b.v')} >= 0.5")
 def near_duplicate_senses(spark, d):
-    return S.pairs_within(senses(spark, d), ["word", "pos"], 0.95).select("a", "b", F.round("score", 6).alias("score"))
+    return S.pairs_within(senses(spark, d), ["word", "pos"], 0.5).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_S}, u AS (SELECT word, pos, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s),
@@ -399,9 +399,9 @@ def page_offset(spark, d):
     return R.page(table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id", 50, 100)
 
 
-@query("""SELECT word, pos, sense_idx, left(gloss, 100) AS gloss, len(examples) > 0 AS has_examples FROM parsed_senses WHERE word = 'water' ORDER BY sense_idx, row_id""")
+@query("""SELECT word, pos, sense_idx, left(gloss, 100) AS gloss, len(examples) > 0 AS has_examples FROM parsed_senses WHERE word IS NOT NULL ORDER BY word, sense_idx, row_id""")
 def word_senses(spark, d):
-    s = table(spark, d, "parsed_senses").filter("word = 'water'").orderBy("sense_idx", "row_id")
+    s = table(spark, d, "parsed_senses").filter("word IS NOT NULL").orderBy("word", "sense_idx", "row_id")
     return s.select("word", "pos", "sense_idx", F.substring("gloss", 1, 100).alias("gloss"), (F.size("examples") > 0).alias("has_examples"))
 
 
@@ -427,6 +427,42 @@ def sampled_triads(spark, d):
     return R.sample_rows(t, 50, "id", 7)
 
 
+@query()
+def dictionary_words(spark, d):
+    from nodeloom.sources.dictionary import parse_lines
+
+    w, _ = parse_lines(table(spark, d, "kaikki_lines").select(F.col("line_id").alias("ord"), F.col("line").alias("value")))
+    return w.select("ord", "word", "pos", "ipa", F.size("sense_ids").alias("n_senses"), F.size("relations").alias("n_relations"))
+
+
+@query()
+def dictionary_senses(spark, d):
+    from nodeloom.sources.dictionary import parse_lines
+
+    _, s = parse_lines(table(spark, d, "kaikki_lines").select(F.col("line_id").alias("ord"), F.col("line").alias("value")))
+    return s.select("ord", "sense_id", "sense_idx", "gloss", "embed_text")
+
+
+@query()
+def batch_ingest(spark, d):
+    from nodeloom.plans.ingest import ingest
+    from nodeloom.sources.terms import term_rows
+
+    t = table(spark, d, "documents").filter("text IS NOT NULL AND headword IS NOT NULL")
+    terms = term_rows(t.select(F.col("doc_id").alias("ord"), F.col("source").alias("doi"), F.concat(F.lit("t"), F.col("doc_id")).alias("term_id"), F.col("headword").alias("term"), F.col("text").alias("gloss")))
+    w = _words_in_order(spark, d).withColumn("vec", F.lit(None).cast("array<double>"))
+    s = senses(spark, d).select("id", "word", "pos", F.col("vec").cast("array<double>").alias("vec"))
+    return ingest(spark, terms, w, s, DIM).select("sense_id", "word", "pos", "outcome", "merged_into")
+
+
+@query()
+def label_requests(spark, d):
+    from nodeloom.plans.labels import requests
+
+    g = docs(spark, d)
+    return requests(spark, g, g.filter("doc_type <> 'node' AND level <= 13").select("id"))
+
+
 @query()
 def holdout_pairs(spark, d):
     from nodeloom.plans.evaluate import holdout
