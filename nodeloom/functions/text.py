@@ -71,13 +71,11 @@ def edge_type_text(word_a: Column, ant_a: Column, syn_a: Column, word_b: Column,
 
 def relation_list(record: dict[str, Column]) -> Column:
     """All relations of a record as (kind, word, dis1) in the fixed order of kinds, those without a word left out."""
-    parts = [
-        F.transform(
-            F.filter(F.coalesce(record[k], F.array().cast("array<struct<word:string,_dis1:string>>")), lambda r: r["word"].isNotNull() & (r["word"] != "")),
-            lambda r, k=k: F.struct(F.lit(k).alias("kind"), r["word"].alias("word"), parse_weights(r["_dis1"]).alias("dis1")),
-        )
-        for k in RELATIONS
-    ]
+    def of(kind: str) -> Column:
+        has = F.filter(F.coalesce(record[kind], F.array().cast("array<struct<word:string,_dis1:string>>")), lambda r: r["word"].isNotNull() & (r["word"] != ""))
+        return F.transform(has, lambda r: F.struct(F.lit(kind).alias("kind"), r["word"].alias("word"), parse_weights(r["_dis1"]).alias("dis1")))
+
+    parts = [of(k) for k in RELATIONS]
     return F.concat(*parts)
 
 

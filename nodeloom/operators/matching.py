@@ -4,12 +4,14 @@ Greedy matching takes pairs in descending order and skips taken ends. The same r
 its best remaining pair, pairs named by both ends are taken, pairs of taken ends leave. Assigning each pair, in order,
 its best free bridge is a serial dictatorship; the same result comes from deferred acceptance, as all bridges rank pairs
 by that order. Rounds aggregate per end with partial aggregation and end on anti-joins, so hot ends are no hot tasks.
+What is left below ``IN_TASK`` rows is finished by the plain scan in one task, with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,7 +19,44 @@ from pyspark.sql.window import Window as W
 from nodeloom.runtime import Scratch
 
 
-def greedy(spark: SparkSession, pairs: DataFrame, order: list[Column], scratch: Scratch | None = None) -> DataFrame:
+#: Rows of pairs or candidates that one task may scan.
+IN_TASK = 500_000
+
+
+def _scan_pairs(batches):
+    taken: set = set()
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+            ok = x not in taken and y not in taken
+            keep.append(ok)
+            if ok:
+                taken.add(x)
+                taken.add(y)
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def _scan_candidates(batches):
+    """First free bridge per pair; rows come in order of (rank, pref). A pair without any gets a row without bridge."""
+    taken: set = set()
+    at, won = None, True
+    pairs, bridges, scores = [], [], []
+    for b in batches:
+        for p, x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if p != at:
+                if not won:
+                    pairs.append(at), bridges.append(None), scores.append(None)
+                at, won = p, False
+            if not won and x not in taken:
+                won = True
+                taken.add(x)
+                pairs.append(p), bridges.append(x), scores.append(s)
+    if not won:
+        pairs.append(at), bridges.append(None), scores.append(None)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(bridges, pa.string()), pa.array(scores, pa.float64())], names=["pair", "bridge", "score"])
+
+
+def greedy(spark: SparkSession, pairs: DataFrame, order: list[Column], scratch: Scratch | None = None, in_task: int | None = None) -> DataFrame:
     """The pairs (a, b, ...) that greedy one-to-one matching takes in ascending ``order`` (must be total over (a, b)).
 
     Null ends are no pairs; a pair of an end with itself is never taken; repeated pairs count once."""
@@ -25,8 +64,15 @@ def greedy(spark: SparkSession, pairs: DataFrame, order: list[Column], scratch:
     cols = pairs.columns
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("a").alias("ka"), F.col("b").alias("kb"))
     left, c = s.cut(pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).withColumn("_k", key), n=F.count(F.lit(1)))
+    most = IN_TASK if in_task is None else in_task
     taken = []
     while c["n"]:
+        if c["n"] <= most:
+            rest = left.repartition(1).sortWithinPartitions("_k").select(*cols)
+            won, _ = s.cut(rest.mapInArrow(_scan_pairs, rest.schema))
+            taken.append(won)
+            left = left.limit(0)
+            break
         ends = left.select(F.col("a").alias("e"), "_k").unionByName(left.select(F.col("b").alias("e"), "_k"))
         best = ends.groupBy("e").agg(F.min("_k").alias("_k"))
         both = best.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("_k")
@@ -60,7 +106,7 @@ def by_tiers(spark: SparkSession, relations: DataFrame) -> DataFrame:
     return greedy(spark, relations, [F.col("tier"), F.col("ord_a"), F.col("ord_rel")])
 
 
-def assign_bridges(spark: SparkSession, pairs: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], n_bridges: int, first: int = 50) -> DataFrame:
+def assign_bridges(spark: SparkSession, pairs: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], n_bridges: int, first: int = 50, in_task: int | None = None) -> DataFrame:
     """(pair, bridge, score): each pair of (pair, rank, ...), in order of rank, gets its best bridge not taken before.
 
     candidates(pairs, k) gives (pair, bridge, score, pref) with the k best bridges of each pair, pref from 1. If a pair
@@ -69,6 +115,13 @@ def assign_bridges(spark: SparkSession, pairs: DataFrame, candidates: Callable[[
     k = min(first, n_bridges)
     while True:
         cand, c = s.cut(candidates(pairs, k).join(pairs.select("pair", "rank"), "pair"), n=F.count(F.lit(1)))
+        if c["n"] <= (IN_TASK if in_task is None else in_task):
+            rows = cand.repartition(1).sortWithinPartitions("rank", "pref").select("pair", "bridge", "score")
+            got, d = s.cut(rows.mapInArrow(_scan_candidates, "pair string, bridge string, score double"), none=F.coalesce(F.sum(F.col("bridge").isNull().cast("int")), F.lit(0)))
+            if not d["none"] or k >= n_bridges:
+                return got.filter("bridge IS NOT NULL")
+            k = min(n_bridges, k * 4)
+            continue
         held = None
         start = pairs.select("pair", F.lit(1).alias("at"))
         free, _ = s.cut(start)

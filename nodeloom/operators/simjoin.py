@@ -38,13 +38,14 @@ def usable(df: DataFrame, vec: str, dim: int) -> DataFrame:
 def top_k(df: DataFrame, query: list[float], k: int, id_col: str = "id", vec: str = "vec") -> DataFrame:
     """The k rows of highest cosine with one query vector, as (id, score); filter ``df`` before. One pass, bounded state."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    s = df.select(F.col(id_col), V.cosine(F.col(vec), q).alias("score")).filter(F.col("score").isNotNull())
+    s = df.select(F.col(id_col), V.cosine(F.col(vec), q).alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
     return s.orderBy(F.col("score").desc(), id_col).limit(k)
 
 
 def top_k_by_row(df: DataFrame, query: DataFrame, k: int, id_col: str = "id", vec: str = "vec") -> DataFrame:
     """``top_k`` with the query vector of a one-row frame (column q), joined in the plan."""
     s = df.crossJoin(F.broadcast(query.limit(1))).select(F.col(id_col), V.cosine(F.col(vec), F.col("q")).alias("score"))
+    s = s.filter(F.col("score").isNotNull() & ~F.isnan("score"))
     return s.orderBy(F.col("score").desc(), id_col).limit(k)
 
 
