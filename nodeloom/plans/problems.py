@@ -14,3 +14,17 @@ def queries() -> dict:
         "p5_found": hierarchy.graph_hierarchy,
         "p5_paths": hierarchy.graph_intervals,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the same results, where it can be said on whole tables."""
+    return {
+        "p5_found": """WITH RECURSIVE g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM graph_docs WHERE id IS NOT NULL) WHERE rn = 1),
+u AS (SELECT a.id, b.id AS p FROM g a LEFT JOIN g b ON b.id = a.parent_edge_id),
+t AS (SELECT id AS start, id, p, [id] AS path FROM u UNION ALL SELECT t.start, u.id, u.p, list_append(t.path, u.id) FROM t JOIN u ON u.id = t.p WHERE NOT list_contains(t.path, t.p)),
+e AS (SELECT start, id, p, path, list_position(path, p) AS k FROM t WHERE p IS NULL OR list_contains(path, p)),
+d AS (SELECT DISTINCT x.a, x.b FROM (SELECT id AS a, unnest([cm1_id, cm2_id]) AS b FROM g) x JOIN g ON g.id = x.b),
+r AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b)
+SELECT 'up' AS link, start AS id, CASE WHEN p IS NULL THEN id ELSE list_min(path[k:]) END AS root_id, CAST(CASE WHEN p IS NULL THEN len(path) - 1 WHEN k = 1 THEN -1 ELSE -2 END AS INTEGER) AS depth FROM e
+UNION ALL SELECT 'down', x.a, min(y.b), -1 FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a""",
+    }
