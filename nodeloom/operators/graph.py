@@ -1,8 +1,10 @@
 """Closures over a graph of nodes and edges: down to leaves, up to ancestors, triad views, lookups.
 
 The graph is one table of documents (id, doc_type, node_type, level, word, pos, sense_id, cm1_id, cm2_id, bridge_id,
-parent_edge_id, ...). Walks are frontier joins for all starts at once, with a set of visited ids per start, so shared
-parts and loops are walked once; every round is cut by a written table.
+parent_edge_id, ...). Walks go ``HOPS`` steps a round for all starts at once: the pointers of the graph are composed with
+themselves by doubling, then each round joins the ids that are a multiple of ``HOPS`` steps away with that table. A
+shortest way to any id passes one of those at every multiple, so the least depth of each (start, id) comes out. Every
+round is cut by a written table.
 
 Defined results: starts that are no documents give no rows; null, empty and unknown pointers end a walk; a node is its
 own only leaf; loops end, as no id is visited twice for one start.
@@ -16,7 +18,7 @@ from pyspark.sql.window import Window as W
 
 from nodeloom.runtime import Scratch
 
-DEPTH = 15
+DEPTH, HOPS = 15, 4
 
 
 def latest(docs: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
@@ -31,25 +33,45 @@ def _children(graph: DataFrame) -> DataFrame:
     return e.filter(F.col("_c").isNotNull() & (F.col("_c") != ""))
 
 
+def _hops(s: Scratch, links: DataFrame, most: int) -> DataFrame:
+    """(_p, _c, _d): all ids within ``most`` (a power of two) steps over links (_p, _c), with the least number of steps."""
+    h, _ = s.cut(links.select("_p", "_c").distinct().withColumn("_d", F.lit(1)))
+    step = 1
+    while step < most:
+        left = h.select("_p", F.col("_c").alias("_m"), F.col("_d").alias("_a"))
+        right = h.select(F.col("_p").alias("_m"), "_c", F.col("_d").alias("_b"))
+        two = left.join(right, "_m").select("_p", "_c", (F.col("_a") + F.col("_b")).alias("_d"))
+        nxt, _ = s.cut(h.unionByName(two).groupBy("_p", "_c").agg(F.min("_d").alias("_d")))
+        s.drop(h)
+        h, step = nxt, step * 2
+    return h
+
+
+def _walk(s: Scratch, front: DataFrame, keys: list[str], hops: DataFrame, per: int, max_depth: int) -> DataFrame:
+    """(keys, id, depth) of everything within ``max_depth`` steps of ``front`` (keys, id), least depth each."""
+    front, c = s.cut(front.select(*keys, "id", F.lit(0).alias("depth")).distinct(), n=F.count(F.lit(1)))
+    seen, at = front, 0
+    while c["n"] and at < max_depth:
+        new = front.join(hops, front.id == hops["_p"]).select(*keys, F.col("_c").alias("id"), (F.col("depth") + F.col("_d")).alias("depth"))
+        new = new.filter(F.col("depth") <= max_depth).groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
+        at += per
+        new, c = s.cut(new, n=F.count(F.when(F.col("depth") == at, 1)))
+        front = new.filter(F.col("depth") == at)
+        if c["n"] and at < max_depth:
+            front, c = s.cut(front.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti"), n=F.count(F.lit(1)))
+        seen = seen.unionByName(new)
+    return seen.groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
+
+
 def down_closure(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_depth: int = DEPTH) -> DataFrame:
     """(start, id, depth) of every document reached from (start, id) over child pointers, the first step at depth 0.
 
     Bridges are not followed. ``start`` may be several columns: all but ``id`` are carried along."""
     s = Scratch(spark, "down")
     keys = [c for c in starts.columns if c != "id"]
-    kids = _children(graph)
     known = graph.select("id")
-    front, c = s.cut(starts.join(known, "id", "left_semi").select(*keys, "id").distinct().withColumn("depth", F.lit(0)), n=F.count(F.lit(1)))
-    seen = front
-    depth = 0
-    while c["n"] and depth < max_depth:
-        depth += 1
-        step = front.join(kids, front.id == kids["_p"]).select(*keys, F.col("_c").alias("id")).distinct()
-        step = step.join(known, "id", "left_semi").join(seen.select(*keys, "id"), [*keys, "id"], "left_anti")
-        front, c = s.cut(step.select(*keys, "id", F.lit(depth).alias("depth")), n=F.count(F.lit(1)))
-        if c["n"]:
-            seen = seen.unionByName(front)
-    return seen
+    hops = _hops(s, _children(graph).join(known.select(F.col("id").alias("_c")), "_c", "left_semi"), HOPS)
+    return _walk(s, starts.join(known, "id", "left_semi"), keys, hops, HOPS, max_depth)
 
 
 def leaf_documents(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_depth: int = DEPTH) -> DataFrame:
@@ -103,18 +125,10 @@ def triad_view(spark: SparkSession, graph: DataFrame, ids: DataFrame, max_depth:
 def ancestors(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_levels: int = 6) -> DataFrame:
     """(start, step, id): the chain of parents of each start, step 1 the parent; ends at loops, roots and ``max_levels``."""
     s = Scratch(spark, "up")
-    up = graph.filter(F.col("parent_edge_id").isNotNull() & (F.col("parent_edge_id") != "")).select(F.col("id").alias("_k"), F.col("parent_edge_id").alias("_p"))
-    known = graph.select("id")
-    front, c = s.cut(starts.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct(), n=F.count(F.lit(1)))
-    out, step = None, 0
-    while c["n"] and step < max_levels:
-        step += 1
-        nxt = front.join(up, front.id == up["_k"]).filter(~F.array_contains("path", F.col("_p")))
-        nxt = nxt.select("start", F.col("_p").alias("id"), F.concat("path", F.array("_p")).alias("path")).join(known, "id", "left_semi")
-        front, c = s.cut(nxt.select("start", "id", "path"), n=F.count(F.lit(1)))
-        one = front.select("start", F.lit(step).alias("step"), "id")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else front.select("start", F.lit(0).alias("step"), "id").limit(0)
+    up = graph.filter(F.col("parent_edge_id").isNotNull() & (F.col("parent_edge_id") != "")).select(F.col("id").alias("_p"), F.col("parent_edge_id").alias("_c"))
+    hops = _hops(s, up.join(graph.select(F.col("id").alias("_c")), "_c", "left_semi"), 2 * HOPS)
+    got = _walk(s, starts.select(F.col("id").alias("start"), "id"), ["start"], hops, 2 * HOPS, max_levels)
+    return got.filter("depth > 0").select("start", F.col("depth").alias("step"), "id")
 
 
 def ancestor_chains(spark: SparkSession, graph: DataFrame, hits: DataFrame, max_levels: int = 20) -> DataFrame:
