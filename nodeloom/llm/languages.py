@@ -75,12 +75,13 @@ def vocabulary(path: str = VOCABULARY) -> frozenset[str]:
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _OUT = re.compile(
-    r"https?://\S+|www\.\S+|\S+@\S+|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|/[^/\n]{1,60}/|&\w+;|<[^>\n]{0,100}>"
+    r"https?://\S+|www\.\S+|\S+@\S+|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|/[^/\n\d:]{1,60}/|&\w+;|<[^>\n]{0,100}>"
     r"|\b[^\W\d_]{1,6}['’](?:s|ll|ve|m|re|d|t)\b|\b[^\W\d_]+[₀-₉²³⁴]|\w*_\w*|\d[\w.,/]*"
 )
 _INVISIBLE = re.compile("[" + "".join(re.escape(c) for c, to in tables()[0].items() if not to) + "]+")
 _END = re.compile(r"[.!?…。！？]+[\"”»’)\]]*(?=\s)|[\n\r\u2028\u2029]+")
-_MARKED = re.compile(r"[^\W\d][\"”»’)\]]*\s?[.!?…。！？]|[^\W\d].*[\"”»’)\]][.!?…。！？]")
+_MAY_OUT = re.compile(r"[\"“„«/&<@_'’₀-₉²³⁴\d]|www\.")
+_MARKED = re.compile(r"[^\W\d][\"”»’)\]]*\s?[.!?…。！？]")
 _HEAD = regex.compile(r"[\p{L}\p{M}'’ -]{1,60}(/[^/\n]*/)?\s*")
 
 
@@ -92,6 +93,7 @@ def _plain() -> dict[int, str]:
 _BACK = str.maketrans("aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ")
 
 
+@lru_cache(50_000)
 def plain_word(w: str) -> str:
     """Lower-case word in one script, with disguised letters brought back."""
     if not w.isascii():
@@ -122,9 +124,8 @@ def _lattice(word: str, vocab) -> list[list[str]]:
     return ends
 
 
-def _expectation(words: Counter[str], vocab, start: dict[str, float] | None, rounds: int) -> dict[str, float]:
-    """Piece probabilities by expectation maximisation over words, summing over all segmentations."""
-    nets = [(c, _lattice(w[:200], vocab)) for w, c in sorted(words.items())]
+def _expectation(nets: list[tuple[int, list[list[str]]]], start: dict[str, float] | None, rounds: int) -> dict[str, float]:
+    """Piece probabilities by expectation maximisation over (count, lattice) of words, summing over all segmentations."""
     if start is None:
         seen = Counter(p for c, net in nets for e in net for p in e)
         total = sum(seen.values()) or 1
@@ -141,16 +142,19 @@ def _expectation(words: Counter[str], vocab, start: dict[str, float] | None, rou
                 for p in net[j]:
                     bwd[j - len(p)] += prob.get(p, 1e-9) * bwd[j]
             if fwd[-1] > 0:
+                share = c / fwd[-1]
                 for j in range(1, n):
-                    for p in net[j]:
-                        got[p] += c * fwd[j - len(p)] * prob.get(p, 1e-9) * bwd[j] / fwd[-1]
+                    if bwd[j]:
+                        for p in net[j]:
+                            got[p] += share * fwd[j - len(p)] * prob.get(p, 1e-9) * bwd[j]
         total = sum(got.values()) or 1.0
         prob = {p: x / total for p, x in got.items() if x / total > 1e-9}
     return prob
 
 
 def _mixture(words: Counter[str], vocab, start: dict[str, float] | None) -> dict[str, float]:
-    likely, alike = _expectation(words, vocab, start, ROUNDS), _expectation(words, vocab, None, 1)
+    nets = [(c, _lattice(w[:200], vocab)) for w, c in sorted(words.items())]
+    likely, alike = _expectation(nets, start, ROUNDS), _expectation(nets, None, 1)
     return {p: (1 - SPREAD) * likely.get(p, 0.0) + SPREAD * alike.get(p, 0.0) for p in sorted(likely.keys() | alike.keys())}
 
 
@@ -204,11 +208,12 @@ class LanguageModel:
             self.known[raw] = got
         return got
 
-    def unit(self, text: str) -> tuple[np.ndarray, int, int]:
-        """(score, words, known words) of a piece of text."""
+    def unit(self, plain: str) -> tuple[np.ndarray, int, int]:
+        """(score, words, known words) of a piece of ``bare`` text."""
         total, n, k = self.none, 0, 0
-        for raw in raw_words(text):
-            v, known = self.word(raw)
+        seen = self.known
+        for raw in _WORD.findall(plain):
+            v, known = seen.get(raw) or self.word(raw)
             if v is not None:
                 total = total + v
                 n += 1
@@ -221,7 +226,9 @@ _SPEAKS = regex.compile(r"[\p{Latin}\p{M}]+|[\p{Cyrillic}\p{M}]+")
 
 def bare(text: str) -> str:
     """A text without quoted words, addresses, sound scripts, numbers and invisible characters."""
-    return _INVISIBLE.sub("", _OUT.sub(" _ ", text))
+    if _MAY_OUT.search(text):
+        text = _OUT.sub(" _ ", text)
+    return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
 def raw_words(text: str) -> list[str]:
@@ -247,11 +254,11 @@ def segments(text: str | None, model: LanguageModel) -> list[tuple[int, str, flo
     """(start, language, confidence) of the segments of a text."""
     if not text or not model.langs:
         return []
-    whole = sentences(text)
-    units = [(at, *model.unit(s)) for at, s in whole if _MARKED.search(bare(s))]
+    whole = [(at, s, bare(s)) for at, s in sentences(text)]
+    units = [(at, *model.unit(b)) for at, _, b in whole if _MARKED.search(b)]
     units = [u for u in units if u[2]]
     if not units:
-        lines = [(at, s, *model.unit(s)) for at, s in whole]
+        lines = [(at, s, *model.unit(b)) for at, s, b in whole]
         if len(lines) > 1 and _HEAD.fullmatch(_INVISIBLE.sub("", lines[0][1])) and any(x[4] for x in lines[1:]):
             lines = lines[1:]
         n, k = sum(x[3] for x in lines), sum(x[4] for x in lines)
