@@ -164,19 +164,27 @@ def pairs_approximate(spark: SparkSession, df: DataFrame, dim: int, min_score: f
     sizes = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("cut", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / cell))).cast("int"))
     c = c.join(sizes.select("cell", "cut"), "cell")
     c = c.withColumn("sub", F.expr("more & (shiftleft(1L, least(cut, 32)) - 1)"))
-    sub = c.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("m")).withColumn("tiles", F.ceil(F.col("m") / cell).cast("int"))
-    c = c.join(sub.select("cell", "sub", "tiles"), ["cell", "sub"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles").cast("bigint")).cast("int"))
-    # every tile meets every tile of its cell once: tile pairs (lo, hi)
+    return _tiled(c.select("cell", "sub", "id", "vec"), ["cell", "sub"], dim, min_score, cell).select("a", "b", "score").dropDuplicates(["a", "b"])
+
+
+def _tiled(c: DataFrame, keys: list[str], dim: int, min_score: float, cell: int) -> DataFrame:
+    """(keys, a, b, score) of the pairs within each group of (keys, id, vec), compared in tiles of about ``cell`` rows.
+
+    Every tile meets every tile of its group once, as a group of its own of at most two tiles."""
+    kind = _id_type(c)
+    n = c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("tiles"))
+    c = c.join(n, keys).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles").cast("bigint")).cast("int"))
     c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    c = c.select("cell", "sub", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", "vec")
-    out = T.StructType([T.StructField("a", df.schema["id"].dataType), T.StructField("b", df.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    c = c.select(*keys, F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", F.col("vec").cast("array<double>").alias("vec"))
+    ends = [T.StructField(x, c.schema["id"].dataType) for x in ("a", "b")]
+    out = T.StructType([T.StructField(k, c.schema[k].dataType) for k in keys] + ends + [T.StructField("score", T.DoubleType())])
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids = np.array(t.column("id").to_pylist(), object)
         x = unit_rows(np.concatenate([k.flatten().to_numpy(zero_copy_only=False) for k in t.column("vec").chunks]), dim)
         side = t.column("tile").to_numpy()
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        lo, hi = key[-2].as_py(), key[-1].as_py()
         p, q = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         v = np.round(x[p] @ x[q].T, 12)
         i, j = np.nonzero(v >= min_score)
@@ -185,9 +193,10 @@ def pairs_approximate(spark: SparkSession, df: DataFrame, dim: int, min_score: f
         a, b, v = a[keep], b[keep], v[i, j][keep]
         swap = a > b
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table([pa.array(a.tolist(), _arrow(kind)), pa.array(b.tolist(), _arrow(kind)), pa.array(v, pa.float64())], names=["a", "b", "score"])
+        own = [pa.array([k.as_py()] * len(a), t.schema.field(name).type) for k, name in zip(key, keys)]
+        return pa.table([*own, pa.array(a.tolist(), _arrow(kind)), pa.array(b.tolist(), _arrow(kind)), pa.array(v, pa.float64())], names=[*keys, "a", "b", "score"])
 
-    return c.groupBy("cell", "sub", "lo", "hi").applyInArrow(run, out).dropDuplicates(["a", "b"])
+    return c.groupBy(*keys, "lo", "hi").applyInArrow(run, out)
 
 
 def pairs(spark: SparkSession, df: DataFrame, dim: int, min_score: float, rows: int = EXACT_ROWS) -> DataFrame:
@@ -196,9 +205,14 @@ def pairs(spark: SparkSession, df: DataFrame, dim: int, min_score: float, rows:
     return pairs_exact(df, dim, min_score, rows) if few else pairs_approximate(spark, df, dim, min_score)
 
 
-def pairs_within(df: DataFrame, keys: list[str], min_score: float, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """(a, b, score) of rows that share all ``keys`` (small groups such as the senses of one word), by equi-join."""
-    l = df.select(*keys, F.col(id_col).alias("a"), F.col(vec).alias("_va"))
-    r = df.select(*keys, F.col(id_col).alias("b"), F.col(vec).alias("_vb"))
-    j = l.join(r, keys).filter(F.col("a") < F.col("b"))
-    return j.select(*keys, "a", "b", V.cosine(F.col("_va"), F.col("_vb")).alias("score")).filter(F.col("score") >= min_score)
+def pairs_within(df: DataFrame, keys: list[str], dim: int, min_score: float, small: int = 200, cell: int = CELL) -> DataFrame:
+    """(keys, a, b, score) with a < b of the rows of (keys, id, vec) that share all ``keys``; null keys share nothing.
+
+    Groups of up to ``small`` rows, such as the senses of a word, are an equi-join; larger ones are compared in tiles."""
+    d = usable(df, "vec", dim).dropna(subset=keys).select(*keys, "id", "vec")
+    big = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small).select(*keys)
+    few = d.join(big, keys, "left_anti")
+    l = few.select(*keys, F.col("id").alias("a"), F.col("vec").alias("_va"))
+    r = few.select(*keys, F.col("id").alias("b"), F.col("vec").alias("_vb"))
+    j = l.join(r, keys).filter(F.col("a") < F.col("b")).select(*keys, "a", "b", V.cosine(F.col("_va"), F.col("_vb")).alias("score"))
+    return j.filter(F.col("score") >= min_score).unionByName(_tiled(d.join(big, keys, "left_semi"), keys, dim, min_score, cell))

@@ -95,7 +95,7 @@ def greedy_match(spark, d):
 @query(f"""WITH {_E} SELECT a.label, a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 6) AS score, round(greatest({_COS.format('a.v', 'b.v')}, 0.4), 6) AS q
 FROM e a JOIN e b ON a.label = b.label AND a.id < b.id WHERE {_COS.format('a.v', 'b.v')} >= 0.2""")
 def polysemy_pairs(spark, d):
-    p = S.pairs_within(embeddings(spark, d), ["label"], 0.2)
+    p = S.pairs_within(embeddings(spark, d), ["label"], DIM, 0.2)
     return p.select("label", "a", "b", F.round("score", 6).alias("score"), F.round(F.greatest("score", F.lit(0.4)), 6).alias("q"))
 
 
@@ -146,7 +146,7 @@ def group_vector_mean(spark, d):
 
 @query(f"WITH {_S} SELECT a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 6) AS score FROM s a JOIN s b ON a.word = b.word AND a.pos = b.pos AND a.id < b.id WHERE {_COS.format('a.v', 'b.v')} >= 0.5")
 def near_duplicate_senses(spark, d):
-    return S.pairs_within(senses(spark, d), ["word", "pos"], 0.5).select("a", "b", F.round("score", 6).alias("score"))
+    return S.pairs_within(senses(spark, d), ["word", "pos"], DIM, 0.5).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_S}, u AS (SELECT word, pos, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s),

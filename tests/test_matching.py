@@ -86,3 +86,13 @@ def test_hot_cell_of_copies(spark):
     x = np.vstack([np.tile([1.0, 0.0, 0.0], (90, 1)), np.tile([0.0, 1.0, 0.0], (5, 1))])
     got = S.pairs_approximate(spark, vecs(spark, x), 3, 0.99, tables=2, bits=1, cell=20)
     assert got.count() == 90 * 89 // 2 + 5 * 4 // 2
+
+
+def test_pairs_within_groups(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((120, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    g = ["hot" if i < 80 else f"g{i % 5}" if i < 110 else None for i in range(120)]
+    d = spark.createDataFrame([(g[i], f"v{i:03d}", [float(a) for a in x[i]]) for i in range(120)] + [("hot", "bad", None)], "k STRING, id STRING, vec ARRAY<DOUBLE>")
+    exp = {(g[i], f"v{i:03d}", f"v{j:03d}") for i in range(120) for j in range(i + 1, 120) if g[i] and g[i] == g[j] and u[i] @ u[j] >= 0.3}
+    assert {(r.k, r.a, r.b) for r in S.pairs_within(d, ["k"], 8, 0.3, small=20, cell=15).collect()} == exp
