@@ -36,7 +36,10 @@ def leaf_stage(spark: SparkSession, senses: DataFrame, around: DataFrame | None,
     text of an edge's type; type_vectors turns (id, type_text) into (id, type_vec), without it edges are type-neutral.
     Left-over senses join the nearest edge formed here, with its q; only they get a parent, ``member_ids`` says who."""
     s = Scratch(spark, "leaf")
-    p = S.pairs(spark, senses.select("id", "vec"), dim, min(threshold, floor))
+    p = S.pairs(spark, senses.select("id", "vec"), dim, threshold)
+    if floor >= threshold:  # else raising a pair never lets it in
+        own = S.pairs_within(senses.select("word", "pos", "id", "vec"), ["word", "pos"], dim, -1.0)
+        p = p.unionByName(own.select("a", "b", "score")).dropDuplicates(["a", "b"])
     w = senses.select("id", "word", "pos", "vec")
     ends = p.join(w.select(F.col("id").alias("a"), F.col("word").alias("wa"), F.col("pos").alias("pa")), "a").join(
         w.select(F.col("id").alias("b"), F.col("word").alias("wb"), F.col("pos").alias("pb")), "b"
