@@ -1,9 +1,10 @@
 """Similarity joins over vectors: top k, nearest row, pairs above a cosine.
 
 A side of a checked size travels to the tasks as one matrix and is multiplied there in blocks (``EXACT_ROWS`` rows at
-most); a larger side is taken in blocks of that size, each partial result reduced before the next shuffle. Pairs of more
-rows are found approximately: random hyperplanes cut the vectors into cells in several tables, cells beyond ``CELL``
-rows are cut again by further hyperplanes of the same table, and only pairs within a cell are compared, exactly.
+most); a larger side is taken in blocks of that size, each partial result reduced before the next shuffle. ``pairs`` is
+exact at every size. ``pairs_approximate``, which no query uses, finds pairs by random hyperplanes that cut the vectors
+into cells in several tables: cells beyond ``CELL`` rows are cut again by further hyperplanes of the same table, and only
+pairs within a cell are compared, exactly.
 
 Vectors that are null, zero, not finite or of another length than the first take no part. Equal cosines go by id.
 """
@@ -22,6 +23,8 @@ from nodeloom.runtime import Scratch
 
 #: Rows of the matrix that travels to tasks, rows of it multiplied at once, rows compared within one cell.
 EXACT_ROWS, BLOCK, CELL = 20_000, 1024, 2000
+#: Rows by columns of the cosines a pair join holds at once.
+TILE = 512, 2048
 
 
 def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -105,28 +108,59 @@ def nearest(left: DataFrame, right: DataFrame, dim: int, k: int = 1, min_score:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _above(x: np.ndarray, y: np.ndarray, min_score: float):
+    """(i, j, score) of the rows of ``x`` and ``y`` with cosine from ``min_score`` on, tile by tile.
+
+    Single precision only says which products to take in double: its error on unit rows is below ``(dim + 8) * 1.2e-7``."""
+    fx, fy = x.astype(np.float32), y.astype(np.float32)
+    least = np.float32(min_score - (x.shape[1] + 8) * 1.2e-7)
+    for p in range(0, len(x), TILE[0]):
+        for q in range(0, len(y), TILE[1]):
+            near = fx[p : p + TILE[0]] @ fy[q : q + TILE[1]].T >= least
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            few = len(i) * 16 < near.size
+            s = np.einsum("ij,ij->i", x[i + p], y[j + q]) if few else (x[p : p + TILE[0]] @ y[q : q + TILE[1]].T)[i, j]
+            v = np.round(s, 12)
+            ok = v >= min_score
+            yield i[ok] + p, j[ok] + q, v[ok]
+
+
 def pairs_exact(df: DataFrame, dim: int, min_score: float, rows: int = EXACT_ROWS) -> DataFrame:
-    """(a, b, score) with a < b of all pairs of (id, vec) with cosine from ``min_score`` on."""
-    df = usable(df, "vec", dim)
+    """(a, b, score) with a < b of all pairs of (id, vec) with cosine from ``min_score`` on.
+
+    More than ``rows`` rows are written once and taken in blocks: each block meets itself and the later ones, and its
+    pairs are written before the next block travels, so the driver holds one block at a time."""
+    df = usable(df, "vec", dim).select("id", "vec")
     kind = _id_type(df)
+    n = df.count()
+    parts = max(1, -(-n // rows) + (n > rows))
+    s = Scratch(df.sparkSession, "pairs")
+    if parts > 1:
+        df, _ = s.cut(df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")))
+    else:
+        df = df.withColumn("part", F.lit(0))
     found = None
-    for ids, mat in _blocks(df, dim, rows):
+    for at in range(parts):
+        ids, mat = _matrix(df.filter(F.col("part") == at), dim)
 
-        def run(batches, ids=ids, mat=mat):
+        def run(batches, at=at, ids=ids, mat=mat):
             names = np.array(ids, object)
             for b in batches:
-                for a in range(0, b.num_rows, BLOCK):
-                    part = b.slice(a, BLOCK)
-                    if not part.num_rows or not len(ids):
-                        continue
-                    own = np.array(part.column(0).to_pylist(), object)
-                    s = np.round(unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False), dim) @ mat.T, 12)
-                    i, j = np.nonzero(s >= min_score)
-                    keep = own[i] < names[j]
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i].tolist(), _arrow(kind)), pa.array(names[j].tolist(), _arrow(kind)), pa.array(s[i, j])], names=["a", "b", "score"])
-
-        one = df.select("id", "vec").mapInArrow(run, f"a {kind}, b {kind}, score double")
+                if not b.num_rows or not len(ids):
+                    continue
+                own, part = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy()
+                x = unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False), dim)
+                for i, j, v in _above(x, mat, min_score):
+                    l, r = own[i], names[j]
+                    keep = (part[i] != at) | (l < r).astype(bool)
+                    l, r, v = l[keep], r[keep], v[keep]
+                    swap = (l > r).astype(bool)
+                    l, r = np.where(swap, r, l), np.where(swap, l, r)
+                    yield pa.RecordBatch.from_arrays([pa.array(l.tolist(), _arrow(kind)), pa.array(r.tolist(), _arrow(kind)), pa.array(v)], names=["a", "b", "score"])
+
+        one = df.filter(F.col("part") >= at).select("id", "vec", "part").mapInArrow(run, f"a {kind}, b {kind}, score double")
+        if parts > 1:
+            one, _ = s.cut(one)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -200,9 +234,8 @@ def _tiled(c: DataFrame, keys: list[str], dim: int, min_score: float, cell: int)
 
 
 def pairs(spark: SparkSession, df: DataFrame, dim: int, min_score: float, rows: int = EXACT_ROWS) -> DataFrame:
-    """Pairs above a cosine: exact up to ``rows`` rows, approximate beyond."""
-    few = df.limit(rows + 1).count() <= rows
-    return pairs_exact(df, dim, min_score, rows) if few else pairs_approximate(spark, df, dim, min_score)
+    """All pairs above a cosine, exactly at every size, in blocks of ``rows`` rows."""
+    return pairs_exact(df, dim, min_score, rows)
 
 
 def pairs_within(df: DataFrame, keys: list[str], dim: int, min_score: float, small: int = 200, cell: int = CELL) -> DataFrame:

@@ -82,6 +82,16 @@ def test_joins_equal_numpy(spark):
     assert S.top_k(d, x[5].tolist(), 3).first().id == "v0005"
 
 
+def test_pairs_are_exact_beyond_one_block(spark):
+    x = np.random.default_rng(8).standard_normal((2000, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.3, 1))
+    got = S.pairs(spark, vecs(spark, x), 64, 0.3, rows=600).toPandas()
+    assert len(got) == len(i) > 5000 and set(zip(got.a, got.b)) == {(f"v{a:04d}", f"v{b:04d}") for a, b in zip(i, j)}
+    score = dict(zip(zip(got.a, got.b), got.score))
+    assert all(abs(score[f"v{a:04d}", f"v{b:04d}"] - u[a] @ u[b]) < 1e-11 for a, b in zip(i, j))
+
+
 def test_hot_cell_of_copies(spark):
     x = np.vstack([np.tile([1.0, 0.0, 0.0], (90, 1)), np.tile([0.0, 1.0, 0.0], (5, 1))])
     got = S.pairs_approximate(spark, vecs(spark, x), 3, 0.99, tables=2, bits=1, cell=20)
