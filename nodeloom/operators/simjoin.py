@@ -3,8 +3,7 @@
 A side of a checked size travels to the tasks as one matrix and is multiplied there in blocks (``EXACT_ROWS`` rows at
 most); a larger side is taken in blocks of that size, each partial result reduced before the next shuffle. ``pairs`` is
 exact at every size. ``pairs_approximate``, which no query uses, finds pairs by random hyperplanes that cut the vectors
-into cells in several tables: cells beyond ``CELL`` rows are cut again by further hyperplanes of the same table, and only
-pairs within a cell are compared, exactly.
+into cells in several tables, and only pairs within a cell are compared, exactly; large cells in tiles.
 
 Vectors that are null, zero, not finite or of another length than the first take no part. Equal cosines go by id.
 """
@@ -166,8 +165,8 @@ def pairs_exact(df: DataFrame, dim: int, min_score: float, rows: int = EXACT_ROW
 
 
 def _cells(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
-    """(id, vec, cell, more): the cell of each vector in each table, and further bits of the same table."""
-    planes = np.random.default_rng(seed).standard_normal((tables, bits + 32, dim))
+    """(id, vec, cell): the cell of each vector in each table."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
     def run(batches):
         for b in batches:
@@ -175,30 +174,22 @@ def _cells(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFr
                 continue
             x = unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False), dim)
             for t in range(tables):
-                on = x @ planes[t].T > 0
-                head = on[:, :bits] @ (1 << np.arange(bits, dtype=np.int64)) + (t << bits)
-                more = on[:, bits:] @ (1 << np.arange(32, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(head), pa.array(more)], names=["id", "vec", "cell", "more"])
+                cell = (x @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64)) + (t << bits)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell)], names=["id", "vec", "cell"])
 
-    return df.select("id", F.col("vec").cast("array<double>")).mapInArrow(run, f"id {_id_type(df)}, vec array<double>, cell bigint, more bigint")
+    return df.select("id", F.col("vec").cast("array<double>")).mapInArrow(run, f"id {_id_type(df)}, vec array<double>, cell bigint")
 
 
 def pairs_approximate(spark: SparkSession, df: DataFrame, dim: int, min_score: float, tables: int = 24, bits: int | None = None, cell: int = CELL, seed: int = 3) -> DataFrame:
-    """(a, b, score) as ``pairs_exact`` but only of pairs that share a cell; recall grows with ``tables``.
+    """(a, b, score) as ``pairs_exact`` but only of pairs that share a cell; recall grows with ``tables``, and falls with
+    ``bits``, by default the logarithm of the rows.
 
-    Cells of more than ``cell`` rows are split by as many further bits as their size asks for. A cell that stays too
-    large then (copies and near-copies) is compared in tiles of ``cell`` rows, so no pair of a cell is left out and no
-    task holds more than two tiles."""
+    A cell is compared in tiles of ``cell`` rows, so no pair of a cell is left out and no task holds more than two tiles."""
     df = usable(df, "vec", dim)
-    kind = _id_type(df)
     if bits is None:
         bits = max(1, int(np.ceil(np.log2(max(2.0, df.count() / 200.0)))))
-    s = Scratch(spark, "cells")
-    c, _ = s.cut(_cells(df, dim, tables, bits, seed))
-    sizes = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("cut", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / cell))).cast("int"))
-    c = c.join(sizes.select("cell", "cut"), "cell")
-    c = c.withColumn("sub", F.expr("more & (shiftleft(1L, least(cut, 32)) - 1)"))
-    return _tiled(c.select("cell", "sub", "id", "vec"), ["cell", "sub"], dim, min_score, cell).select("a", "b", "score").dropDuplicates(["a", "b"])
+    c, _ = Scratch(spark, "cells").cut(_cells(df, dim, tables, bits, seed))
+    return _tiled(c.select("cell", "id", "vec"), ["cell"], dim, min_score, cell).select("a", "b", "score").dropDuplicates(["a", "b"])
 
 
 def _tiled(c: DataFrame, keys: list[str], dim: int, min_score: float, cell: int) -> DataFrame:

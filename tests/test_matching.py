@@ -98,6 +98,16 @@ def test_hot_cell_of_copies(spark):
     assert got.count() == 90 * 89 // 2 + 5 * 4 // 2
 
 
+def test_dense_cell_of_different_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(16) + 0.45 * rng.standard_normal((200, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    on = u @ np.random.default_rng(3).standard_normal((1, 1, 16))[0].T > 0  # the only plane of the only table
+    i, j = np.nonzero(np.triu((u @ u.T >= 0.8) & (on == on.T), 1))
+    got = S.pairs_approximate(spark, vecs(spark, x), 16, 0.8, tables=1, bits=1, cell=20)
+    assert {(r.a, r.b) for r in got.collect()} == {(f"v{a:04d}", f"v{b:04d}") for a, b in zip(i, j)} and len(i) > 1000
+
+
 def test_pairs_within_groups(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((120, 8))
