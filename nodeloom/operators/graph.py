@@ -122,25 +122,47 @@ def triad_view(spark: SparkSession, graph: DataFrame, ids: DataFrame, max_depth:
     return w.select(F.col("start").alias("id"), "branch", "words")
 
 
+def _parents(graph: DataFrame) -> DataFrame:
+    up = graph.filter(F.col("parent_edge_id").isNotNull() & (F.col("parent_edge_id") != "")).select(F.col("id").alias("_p"), F.col("parent_edge_id").alias("_c"))
+    return up.join(graph.select(F.col("id").alias("_c")), "_c", "left_semi")
+
+
 def ancestors(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_levels: int = 6) -> DataFrame:
     """(start, step, id): the chain of parents of each start, step 1 the parent; ends at loops, roots and ``max_levels``."""
     s = Scratch(spark, "up")
-    up = graph.filter(F.col("parent_edge_id").isNotNull() & (F.col("parent_edge_id") != "")).select(F.col("id").alias("_p"), F.col("parent_edge_id").alias("_c"))
-    hops = _hops(s, up.join(graph.select(F.col("id").alias("_c")), "_c", "left_semi"), 2 * HOPS)
+    hops = _hops(s, _parents(graph), 2 * HOPS)
     got = _walk(s, starts.select(F.col("id").alias("start"), "id"), ["start"], hops, 2 * HOPS, max_levels)
     return got.filter("depth > 0").select("start", F.col("depth").alias("step"), "id")
 
 
 def ancestor_chains(spark: SparkSession, graph: DataFrame, hits: DataFrame, max_levels: int = 20) -> DataFrame:
     """(hit, step, id, pointer) of (hit, id): an ancestor met before, in order of hit and step, is a pointer and ends
-    its chain; documents that are hits themselves count as met."""
-    a = ancestors(spark, graph, hits.select("id").distinct(), max_levels)
+    its chain; documents that are hits themselves count as met, and so does the one a chain comes back to in a loop.
+
+    Steps beyond a pointer meet nothing. Which steps those are depends on the hits before: rounds take the first hit that
+    walks over each ancestor and cut the chains there until nothing changes, which is the walk of one hit after another."""
+    s = Scratch(spark, "chains")
+    starts = hits.select("id").distinct()
+    a, _ = s.cut(ancestors(spark, graph, starts, max_levels))
+    ends = a.unionByName(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id")).groupBy("start").agg(F.max(F.struct("step", "id")).alias("e"))
+    loop = ends.join(_parents(graph), F.col("e.id") == F.col("_p")).filter(F.col("e.step") < max_levels).select("start", (F.col("e.step") + 1).alias("step"), F.col("_c").alias("id"))
+    a = a.withColumn("loop", F.lit(False)).unionByName(loop.withColumn("loop", F.lit(True)))
     a = hits.select("hit", F.col("id").alias("start")).join(a, "start")
-    first = F.row_number().over(W.partitionBy("id").orderBy("hit", "step")) > 1
-    own = hits.select(F.col("id").alias("_h")).distinct()
-    a = a.join(own, a.id == F.col("_h"), "left").withColumn("pointer", F.col("_h").isNotNull() | first)
-    stop = F.min(F.when(F.col("pointer"), F.col("step"))).over(W.partitionBy("hit"))
-    return a.withColumn("_stop", stop).filter(F.col("_stop").isNull() | (F.col("step") <= F.col("_stop"))).select("hit", "step", "id", "pointer")
+    own = starts.select(F.col("id").alias("_h"))
+    a = a.join(own, a.id == F.col("_h"), "left").select("hit", "step", "id", (F.col("loop") | F.col("_h").isNotNull()).alias("met"))
+    own_stop = F.min(F.when(F.col("met"), F.col("step"))).over(W.partitionBy("hit"))
+    a = a.withColumn("stop", own_stop).filter(F.col("stop").isNull() | (F.col("step") <= F.col("stop")))
+    a, c = s.cut(a.select("hit", "step", "id", "met", F.col("met").alias("pointer"), "stop", (~F.col("met")).alias("walked")), n=F.count(F.lit(1)))
+    while c["n"]:
+        first = a.filter("walked").groupBy("id").agg(F.min("hit").alias("first"))
+        nxt = a.select("hit", "step", "id", "met", F.col("walked").alias("was")).join(first, "id", "left")
+        nxt = nxt.withColumn("pointer", F.col("met") | F.coalesce(F.col("first") < F.col("hit"), F.lit(False)))
+        nxt = nxt.withColumn("stop", F.min(F.when(F.col("pointer"), F.col("step"))).over(W.partitionBy("hit")))
+        nxt = nxt.withColumn("walked", F.col("stop").isNull() | (F.col("step") < F.col("stop")))
+        nxt, c = s.cut(nxt.select("hit", "step", "id", "met", "pointer", "stop", "walked", "was"), n=F.count(F.when(F.col("walked") != F.col("was"), 1)))
+        s.drop(a)
+        a = nxt
+    return a.filter(F.col("stop").isNull() | (F.col("step") <= F.col("stop"))).select("hit", "step", "id", "pointer")
 
 
 def edges_of_words(graph: DataFrame, words: DataFrame) -> DataFrame:

@@ -47,6 +47,31 @@ def test_up(spark, graph):
     assert c == [("1", 1, "e1", False), ("1", 2, "t", True), ("2", 1, "e2", False), ("2", 2, "t", True)]
 
 
+def test_chains_equal_sequential_walk(spark):
+    import random
+
+    r = random.Random(5)
+    for most in (20, 3):
+        up = {f"n{i:03d}": f"n{r.randrange(max(0, i - 6), i):03d}" for i in range(1, 120) if r.random() < 0.93} | {"p": "q", "q": "r", "r": "q", "o": "o", "z": "gone"}
+        ids = sorted({*up, "n000"})
+        hits = sorted(r.sample(ids[:-5], 45)) + ["p", "o", "z"]
+        order = {x: f"{k:03d}" for k, x in enumerate(r.sample(hits, len(hits)))}
+        met, exp = set(hits), []
+        for x in sorted(hits, key=order.get):
+            at = up.get(x)
+            for step in range(1, most + 1):
+                if at not in ids:
+                    break
+                exp.append((order[x], step, at, at in met))
+                if at in met:
+                    break
+                met.add(at)
+                at = up.get(at)
+        g = spark.createDataFrame([node(i, "w", up.get(i)) for i in ids], COLS)
+        h = spark.createDataFrame([(order[x], x) for x in hits], "hit STRING, id STRING")
+        assert sorted(map(tuple, G.ancestor_chains(spark, g, h, most).collect())) == exp
+
+
 def test_lookups(graph):
     w = graph.filter("node_type = 'word'").select(F.col("id").alias("word_id"))
     assert sorted((r.word_id, r.partner_id, r.partner_label) for r in G.edges_of_words(graph, w).collect()) == [("w1", "w2", "moon (n)"), ("w2", "w1", "sun (n)")]
