@@ -47,17 +47,18 @@ def _hops(s: Scratch, links: DataFrame, most: int) -> DataFrame:
     return h
 
 
-def _walk(s: Scratch, front: DataFrame, keys: list[str], hops: DataFrame, per: int, max_depth: int) -> DataFrame:
-    """(keys, id, depth) of everything within ``max_depth`` steps of ``front`` (keys, id), least depth each."""
+def _walk(s: Scratch, front: DataFrame, keys: list[str], hops: DataFrame, per: int, max_depth: int | None) -> DataFrame:
+    """(keys, id, depth) of everything within ``max_depth`` steps of ``front`` (keys, id), least depth each; None: of everything."""
+    most = float("inf") if max_depth is None else max_depth
     front, c = s.cut(front.select(*keys, "id", F.lit(0).alias("depth")).distinct(), n=F.count(F.lit(1)))
     seen, at = front, 0
-    while c["n"] and at < max_depth:
+    while c["n"] and at < most:
         new = front.join(hops, front.id == hops["_p"]).select(*keys, F.col("_c").alias("id"), (F.col("depth") + F.col("_d")).alias("depth"))
-        new = new.filter(F.col("depth") <= max_depth).groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
+        new = new.filter(F.col("depth") <= F.lit(most)).groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
         at += per
         new, c = s.cut(new, n=F.count(F.when(F.col("depth") == at, 1)))
         front = new.filter(F.col("depth") == at)
-        if c["n"] and at < max_depth:
+        if c["n"] and at < most:
             front, c = s.cut(front.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti"), n=F.count(F.lit(1)))
         seen = seen.unionByName(new)
     return seen.groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
@@ -127,8 +128,9 @@ def _parents(graph: DataFrame) -> DataFrame:
     return up.join(graph.select(F.col("id").alias("_c")), "_c", "left_semi")
 
 
-def ancestors(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_levels: int = 6) -> DataFrame:
-    """(start, step, id): the chain of parents of each start, step 1 the parent; ends at loops, roots and ``max_levels``."""
+def ancestors(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_levels: int | None = 6) -> DataFrame:
+    """(start, step, id): the chain of parents of each start, step 1 the parent; ends at loops, roots and, unless it is
+    None, ``max_levels``."""
     s = Scratch(spark, "up")
     hops = _hops(s, _parents(graph), 2 * HOPS)
     got = _walk(s, starts.select(F.col("id").alias("start"), "id"), ["start"], hops, 2 * HOPS, max_levels)

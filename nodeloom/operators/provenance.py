@@ -20,8 +20,9 @@ def propagate(prov: DataFrame, made: DataFrame) -> DataFrame:
     return prov.select("doi", "node_id").unionByName(up).distinct()
 
 
-def propagate_up_chain(spark: SparkSession, prov: DataFrame, graph: DataFrame, leaves: DataFrame, max_levels: int = 64) -> DataFrame:
-    """Give every ancestor of the leaves of (id) the leaf's identifiers; loops are walked once."""
+def propagate_up_chain(spark: SparkSession, prov: DataFrame, graph: DataFrame, leaves: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """Give every ancestor of the leaves of (id), up to the roots or ``max_levels``, the leaf's identifiers; loops are walked
+    once."""
     up = ancestors(spark, graph, leaves.select("id").distinct(), max_levels)
     new = up.join(prov, up.start == prov.node_id).select("doi", F.col("id").alias("node_id"))
     return prov.select("doi", "node_id").unionByName(new).distinct()

@@ -598,7 +598,7 @@ def provenance_propagate(spark, d):
 t AS (SELECT doi, node_id FROM p UNION SELECT t.doi, u.p FROM t JOIN u ON u.id = t.node_id) SELECT doi, node_id FROM t""")
 def provenance_up(spark, d):
     g, p = _sense_prov(spark, d)
-    return P.propagate_up_chain(spark, p, g, p.select(F.col("node_id").alias("id")), 1000)
+    return P.propagate_up_chain(spark, p, g, p.select(F.col("node_id").alias("id")))
 
 
 @query(f"WITH {_G}, {_PV} SELECT node_id AS id, array_to_string(list_sort(list(doi)), ',') AS dois FROM p GROUP BY node_id")

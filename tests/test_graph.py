@@ -87,6 +87,12 @@ def test_provenance(spark, graph):
     assert {r.id: r.dois for r in P.dois_of(p, graph).collect()}["t"] == ["d1", "d2"]
 
 
+def test_provenance_reaches_a_far_root(spark):
+    g = spark.createDataFrame([node(f"c{i:02d}", "w", f"c{i + 1:02d}" if i < 80 else None) for i in range(81)], COLS)
+    s = spark.createDataFrame([("c00", ["d1"])], "id STRING, doi ARRAY<STRING>")
+    assert {r.node_id for r in P.propagate_up_chain(spark, P.register(None, s), g, s).collect()} == {f"c{i:02d}" for i in range(81)}
+
+
 def test_relational(spark, graph):
     d = spark.createDataFrame([("a", 1, "x"), ("a", 2, None), ("b", 1, "z")], "k STRING, o INT, v STRING")
     assert sorted(map(tuple, R.last_wins(d, ["k"], "o").collect()), key=str) == [("a", 2, None), ("b", 1, "z")]
