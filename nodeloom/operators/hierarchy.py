@@ -3,11 +3,14 @@
 Up: pointer doubling separates trees from loops and yields subtree sizes; every node keeps one heavy child (the largest
 subtree, ties to the largest id), so nodes fall into chains and any root path crosses at most log2(n) of them. A node's
 path is the concatenation of chain prefixes, its descendants are one interval of a heavy-first preorder. All steps take
-O(log depth) rounds, each a few equi-joins on unique keys, cut by a written table.
+O(log depth) rounds over the nodes that are not finished yet, each a few equi-joins on unique keys, cut by a written table.
 
-Down: nodes that lead back to themselves are the strongly connected components of the child graph. Edges off loops are
-trimmed by semi-joins; what remains is coloured by the smallest reaching id and confirmed backwards. A residue under
-``RESIDUE_EDGES`` edges is finished in one task instead, with the same result.
+Down: nodes that lead back to themselves are the strongly connected components of the child graph. A sweep labels every
+node with the least (in a random order of the ids) of all that reach it, then, within equal labels, with the least of all
+it reaches; nodes with both labels equal are one component, and edges between different labels are on no loop. Labels
+spread along edges and by following the label of the label, so a sweep takes a number of rounds logarithmic in the length
+of loops and paths, and expected logarithmically many sweeps settle all. A residue under ``RESIDUE_EDGES`` edges is
+finished in one task instead, with the same result.
 
 Defined results: a null id is no node; of repeated states the latest counts (ties: the largest row; a null time is the
 oldest); a pointer that is null, empty or names no node ends the path; a node that points to itself is a loop of one;
@@ -30,6 +33,8 @@ from nodeloom.runtime import Scratch, count_where, table
 RESIDUE_EDGES = 200_000
 #: Rows of one sibling bucket in distributed prefix sums.
 BUCKET_ROWS = 1_000_000
+#: Nodes of one block of a chain, copies of what many rows look up, and the widest block of the preorder (a power of two).
+CHAIN_BLOCK, SALTS, RANGE_BLOCK = 64, 8, 16
 
 
 def latest_states(docs: DataFrame, *pointers: str, key: str = "id", at: str = "updated_at") -> DataFrame:
@@ -40,9 +45,9 @@ def latest_states(docs: DataFrame, *pointers: str, key: str = "id", at: str = "u
 
 def existing_parents(nodes: DataFrame) -> DataFrame:
     """(id, parent) with parents that are null, empty or unknown turned into null."""
-    has = nodes.filter(F.col("parent").isNotNull() & (F.col("parent") != ""))
-    known = has.join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", F.col("parent").alias("known"))
-    return nodes.select("id").join(known, "id", "left").select("id", F.col("known").alias("parent"))
+    real = F.col("parent").isNotNull() & (F.col("parent") != "")
+    known = nodes.filter(real).join(nodes.select(F.col("id").alias("_k")), F.col("parent") == F.col("_k"), "left").select("id", F.col("_k").alias("parent"))
+    return known.unionByName(nodes.filter(~F.coalesce(real, F.lit(False))).select("id", F.lit(None).cast("string").alias("parent")))
 
 
 def prefix_sum(df: DataFrame, group: str, order: str, value: str, rows: int) -> DataFrame:
@@ -65,26 +70,43 @@ def _double(act: DataFrame, of: DataFrame, *extra: Column) -> DataFrame:
     return act.join(t, act.jump == t._k).select("id", F.col("_jump").alias("jump"), *extra)
 
 
-def _separate(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, int, int]:
-    """(id, jump, size): jump is null for nodes of trees, 2^k steps up for nodes that reach a loop; sizes of subtrees."""
-    state, c = s.cut(nodes.select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size")), n=F.count(F.lit(1)), active=F.count("jump"))
-    n, active = c["n"], c["active"]
-    while active:
-        act = state.filter(F.col("jump").isNotNull())
-        add = act.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("add"))
-        moved = _double(act, state.select("id", "jump"), F.col("size")).unionByName(state.filter(F.col("jump").isNull()))
-        nxt = moved.join(add, "id", "left").select("id", "jump", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"))
-        nxt, c = s.cut(nxt, active=F.count("jump"))
-        s.drop(state)
-        state, before, active = nxt, active, c["active"]
-        if active == before:
-            break
-    return state, n, active
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def _loops(s: Scratch, nodes: DataFrame, state: DataFrame) -> DataFrame:
-    """(id, root_id, depth -1 or -2) of the nodes that are on a loop or lead into one."""
-    act, _ = s.cut(state.filter(F.col("jump").isNotNull()).select("id", "jump"))
+def _separate(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(tree, act, n): the nodes (id, parent, size) of trees with the sizes of their subtrees; (id, jump) of those that
+    reach a loop, if any; the number of all nodes.
+
+    A round's table holds the rows still on their way, (id, jump, size) with jump 2^k steps up and size of the subtree
+    down to there, and what they gave to the node at their jump: (id, null, given)."""
+    act = nodes.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size"))
+    given, active, act_at = [], None, act
+    while True:
+        gives = act_at.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("add"))
+        moved = _double(act_at, act_at.select("id", "jump"), F.col("size")).join(gives, "id", "left")
+        moved = moved.select("id", "jump", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"))
+        log = gives.select("id", F.lit(None).cast("string").alias("jump"), F.col("add").alias("size"))
+        t, c = s.cut(moved.unionByName(log), active=F.count("jump"))
+        given.append(t.filter(F.col("jump").isNull()).select("id", F.lit(None).cast("string").alias("parent"), "size", F.lit(False).alias("loop")))
+        act_at, before, active = t.filter(F.col("jump").isNotNull()), active, c["active"]
+        if not active or active == before:
+            break
+    own = nodes.select("id", "parent", F.lit(1).cast("bigint").alias("size"), F.lit(False).alias("loop"))
+    rows = [own, *given]
+    if active:
+        rows.append(act_at.select("id", F.lit(None).cast("string").alias("parent"), "size", F.lit(True).alias("loop")))
+    tree = _union(rows).groupBy("id").agg(F.max("parent").alias("parent"), F.sum("size").alias("size"), F.max("loop").alias("loop"))
+    tree, c = s.cut(tree.filter(~F.col("loop")).select("id", "parent", "size"), n=F.count(F.lit(1)))
+    return tree, (act_at.select("id", "jump") if active else None), c["n"]
+
+
+def _loops(s: Scratch, nodes: DataFrame, act: DataFrame) -> DataFrame:
+    """(id, root_id, depth -1 or -2) of the nodes of ``act`` (id, jump), all on a loop or leading into one."""
+    act, _ = s.cut(act)
     on, c = s.cut(act.select(F.col("jump").alias("id")).distinct(), n=F.count(F.lit(1)))
     while True:
         nxt, _ = s.cut(_double(act, act))
@@ -93,13 +115,13 @@ def _loops(s: Scratch, nodes: DataFrame, state: DataFrame) -> DataFrame:
         act, on, c, same = nxt, again, d, d["n"] == c["n"]
         if same:
             break
-    ring, _ = s.cut(nodes.join(on, "id", "left_semi").select("id", F.col("parent").alias("jump"), F.col("id").alias("low")))
+    ring, _ = s.cut(nodes.join(on, "id", "left_semi").select("id", F.col("parent").alias("jump"), F.col("id").alias("low"), F.lit(True).alias("ch")))
     while True:
         t = ring.select(F.col("id").alias("_k"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
         nxt = ring.join(t, ring.jump == t._k).select("id", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("ch"))
         nxt, c = s.cut(nxt, ch=count_where(F.col("ch")))
         s.drop(ring)
-        ring = nxt.drop("ch")
+        ring = nxt
         if not c["ch"]:
             break
     low = ring.select(F.col("id").alias("jump"), F.col("low").alias("root_id"))
@@ -108,21 +130,28 @@ def _loops(s: Scratch, nodes: DataFrame, state: DataFrame) -> DataFrame:
     return own.unionByName(into)
 
 
+def _follow(s: Scratch, start: DataFrame, step) -> DataFrame:
+    """Follow the jumps of ``start`` (id, jump, done, ...) until all are done, doubling the step every round.
+
+    step(act, of): the active rows moved on by the rows at their jump. A round writes active rows only."""
+    t, c = s.cut(start, left=count_where(~F.col("done")))
+    done = [t.filter("done")]
+    while c["left"]:
+        act = t.filter(~F.col("done"))
+        t, c = s.cut(step(act, _union([*done, act])), left=count_where(~F.col("done")))
+        done.append(t.filter("done"))
+    return _union(done)
+
+
 def _chains(s: Scratch, tree: DataFrame, n: int) -> DataFrame:
     """Tree nodes (id, parent, size) with root, depth, chain, position in it, path segments and preorder interval."""
     kids = tree.filter(F.col("parent").isNotNull())
-    heavy = kids.groupBy("parent").agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("h.id").alias("id"), F.col("h.size").alias("hsize"), F.col("parent").alias("hp"))
+    heavy, _ = s.cut(kids.groupBy("parent").agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("h.id").alias("id"), F.col("h.size").alias("hsize"), F.col("parent").alias("hp")))
     link = tree.join(heavy.select("id", F.lit(True).alias("heavy")), "id", "left")
     is_heavy = F.coalesce(F.col("heavy"), F.lit(False))
-    run = link.select("id", F.when(is_heavy, F.col("parent")).otherwise(F.col("id")).alias("jump"), F.when(is_heavy, 1).otherwise(0).cast("bigint").alias("pos"), (~is_heavy).alias("done"))
-    run, c = s.cut(run, left=count_where(~F.col("done")))
-    while c["left"]:
-        act = run.filter(~F.col("done"))
-        nxt = _double(act, run, (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_done").alias("done")).unionByName(run.filter("done"))
-        nxt, c = s.cut(nxt, left=count_where(~F.col("done")))
-        s.drop(run)
-        run = nxt
-    run = run.select("id", F.col("jump").alias("chain"), "pos")
+    start = link.select("id", F.when(is_heavy, F.col("parent")).otherwise(F.col("id")).alias("jump"), F.when(is_heavy, 1).otherwise(0).cast("bigint").alias("pos"), "size", (~is_heavy).alias("done"))
+    run = _follow(s, start, lambda act, of: _double(act, of.select("id", "jump", "pos", "done"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("size"), F.col("_done").alias("done")))
+    run = run.select("id", F.col("jump").alias("chain"), "pos", "size")
     # every chain head with the place where its chain hangs and the preorder offset from there
     light = kids.join(heavy.select("id"), "id", "left_anti")
     light = prefix_sum(light.select("id", "parent", "size"), "parent", "id", "size", n)
@@ -132,15 +161,10 @@ def _chains(s: Scratch, tree: DataFrame, n: int) -> DataFrame:
     hang = hang.select("id", F.col("up").alias("jump"), (F.col("up_pos") + 1).alias("d"), (F.col("up_pos") + 1 + F.col("hsize") + F.col("before")).alias("tin"), seg.alias("segs"))
     kind = dict(hang.dtypes)["segs"]
     tops = tree.filter(F.col("parent").isNull()).select("id", F.col("id").alias("jump"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("tin"), F.array().cast(kind).alias("segs"), F.lit(True).alias("done"))
-    heads, c = s.cut(hang.withColumn("done", F.lit(False)).unionByName(tops), left=count_where(~F.col("done")))
-    while c["left"]:
-        act = heads.filter(~F.col("done"))
-        nxt = _double(act, heads, (F.col("d") + F.col("_d")).alias("d"), (F.col("tin") + F.col("_tin")).alias("tin"), F.concat("_segs", "segs").alias("segs"), F.col("_done").alias("done"))
-        nxt, c = s.cut(nxt.unionByName(heads.filter("done")), left=count_where(~F.col("done")))
-        s.drop(heads)
-        heads = nxt
+    heads = _follow(s, hang.withColumn("done", F.lit(False)).unionByName(tops), lambda act, of: _double(
+        act, of, (F.col("d") + F.col("_d")).alias("d"), (F.col("tin") + F.col("_tin")).alias("tin"), F.concat("_segs", "segs").alias("segs"), F.col("_done").alias("done")))
     heads = heads.select(F.col("id").alias("chain"), F.col("jump").alias("root_id"), "d", "tin", "segs")
-    out = run.join(heads, "chain").join(tree.select("id", "size"), "id")
+    out = run.join(heads, "chain")
     return out.select("id", "root_id", (F.col("d") + F.col("pos")).cast("int").alias("depth"), "chain", "pos", "segs", (F.col("tin") + F.col("pos")).alias("tin"), "size")
 
 
@@ -155,44 +179,57 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     node itself: the nodes of the same root with ``tin`` in [tin, tin + size)."""
     s = Scratch(spark, "hierarchy")
     base, _ = s.cut(existing_parents(nodes))
-    state, n, cyclic = _separate(s, base)
-    tree, _ = s.cut(base.join(state.filter(F.col("jump").isNull()).select("id", "size"), "id"))
+    tree, cyclic, n = _separate(s, base)
     out = _chains(s, tree, n)
-    if cyclic:
-        loops = _loops(s, base, state)
+    if cyclic is not None:
+        loops = _loops(s, base, cyclic)
         types = dict(out.dtypes)
         out = out.unionByName(loops.select("id", "root_id", "depth", *[F.lit(None).cast(types[c]).alias(c) for c in HIERARCHY[3:]]))
     return out
 
 
 def full_paths(tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, path): the ids from the root down to each asked node, from its chain segments."""
+    """(id, path): the ids from the root down to each asked node, concatenated from prefixes of chains.
+
+    Chains are cut into blocks of ``CHAIN_BLOCK`` nodes, which are joined by their number: nothing is read that is on no
+    path, and a block that many paths pass is spread over ``SALTS`` copies. A path is as long as its node is deep."""
     own = tree.join(ids.select("id"), "id", "left_semi").filter(F.col("depth") >= 0)
-    segs = own.select("id", F.explode(F.concat("segs", F.array(F.struct("chain", F.col("pos").alias("upto"))))).alias("g"))
-    steps = tree.select("chain", "pos", "depth", F.col("id").alias("step"))
-    hit = segs.select("id", F.col("g.chain").alias("chain"), F.col("g.upto").alias("upto")).join(steps, "chain").filter(F.col("pos") <= F.col("upto"))
-    return hit.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("depth", "step"))).alias("p")).select("id", F.col("p.step").alias("path"))
+    segs = own.select("id", F.posexplode(F.concat("segs", F.array(F.struct("chain", F.col("pos").alias("upto"))))).alias("at", "g"))
+    last = F.floor(F.col("g.upto") / CHAIN_BLOCK)
+    segs = segs.select("id", "at", F.col("g.chain").alias("chain"), F.col("g.upto").alias("upto"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("blk"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    blocks = tree.filter(F.col("depth") >= 0).groupBy("chain", F.floor(F.col("pos") / CHAIN_BLOCK).alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("id").alias("step")))).alias("b"))
+    blocks = blocks.select("chain", "blk", F.col("b.step").alias("steps"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    part = F.slice("steps", 1, F.least(F.lit(CHAIN_BLOCK), F.col("upto") - F.col("blk") * CHAIN_BLOCK + 1).cast("int"))
+    hit = segs.join(blocks, ["chain", "blk", "salt"]).select("id", F.struct("at", "blk", part.alias("steps")).alias("p"))
+    return hit.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p")).select("id", F.flatten(F.col("p.steps")).alias("path"))
 
 
 def descendants(tree: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, descendant) of each asked node, by its preorder interval."""
-    q = tree.join(ids.select("id"), "id", "left_semi").select("id", "root_id", F.col("tin").alias("a"), (F.col("tin") + F.col("size")).alias("b"))
-    t = tree.select(F.col("id").alias("descendant"), "root_id", "tin")
-    return q.join(t, "root_id").filter((F.col("tin") > F.col("a")) & (F.col("tin") < F.col("b"))).select("id", "descendant")
+    """(id, descendant) of each asked node, by its preorder interval.
+
+    Intervals meet the nodes in blocks of the preorder about as wide as they are, at most ``RANGE_BLOCK``: so few nodes
+    are looked at that are no descendants (at most three for each that is), and no block is a hot key."""
+    q = tree.join(ids.select("id"), "id", "left_semi").filter(F.col("size") > 1)
+    q = q.select("id", "root_id", (F.col("tin") + 1).alias("a"), (F.col("tin") + F.col("size")).alias("b"), F.least(F.ceil(F.log2(F.col("size").cast("double"))), F.lit(RANGE_BLOCK)).cast("int").alias("w"))
+    q = q.withColumn("blk", F.explode(F.sequence(F.expr("shiftright(a, w)"), F.expr("shiftright(b - 1, w)"))))
+    t = tree.filter(F.col("depth") > 0).select(F.col("id").alias("descendant"), "root_id", "tin")
+    t = t.join(q.groupBy("root_id").agg(F.collect_set("w").alias("ws")), "root_id").withColumn("w", F.explode("ws")).withColumn("blk", F.expr("shiftright(tin, w)")).drop("ws")
+    return q.join(t, ["root_id", "w", "blk"]).filter((F.col("tin") >= F.col("a")) & (F.col("tin") < F.col("b"))).select("id", "descendant")
 
 
 # -- loops of a general directed graph ---------------------------------------------------------------------------------
 
 
 def _trim(s: Scratch, edges: DataFrame, n: int, most: int) -> tuple[DataFrame, int]:
-    """Edges without those that no loop can use, as far as rounds of two semi-joins shrink them or ``most`` is reached."""
+    """Written edges without those that no loop can use, as long as a round of two semi-joins removes a fifth of them and
+    more than ``most`` are left; long paths are left to the sweeps."""
     while n > most:
         t = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         t = t.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         t, c = s.cut(t, n=F.count(F.lit(1)))
         s.drop(edges)
         edges, before, n = t, n, c["n"]
-        if n == before:
+        if n > 0.8 * before:
             break
     return edges, n
 
@@ -250,52 +287,60 @@ def _components(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(roots, pa.string())], names=["id", "root_id"])
 
 
-def _coloured(s: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One sweep over the residue: (the settled ids with their loop's smallest id or null, the same for all settled)."""
-    col = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("c", F.col("id"))
-    col, _ = s.cut(col)
+def _spread(s: Scratch, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, c): for each id the least, by (hash, id), of all ids that reach it over edges (src, dst), itself included.
+
+    Every round takes the least label of the nodes before and then the label of the node it names, which reaches whatever
+    the label's node reaches."""
+    col, _ = s.cut(ids.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("k")).alias("c"), F.lit(True).alias("ch")))
     while True:
         best = edges.join(col.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-        nxt, d = s.cut(col.join(best, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("ch")), ch=count_where(F.col("ch")))
+        near = col.join(best, "id", "left").select("id", "c", F.least("c", "m").alias("m"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+        own = col.filter(F.col("c.k") != F.col("id")).select(F.col("id").alias("_k"), F.col("c").alias("_c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_s"))
+        far = near.join(own, (F.col("m.k") == F.col("_k")) & (F.col("salt") == F.col("_s")), "left")
+        nxt, d = s.cut(far.select("id", F.least("m", "_c").alias("c"), (F.least("m", "_c") < F.col("c")).alias("ch")), ch=count_where(F.col("ch")))
         s.drop(col)
         col = nxt
         if not d["ch"]:
-            break
-    col = col.select("id", "c")
-    same = edges.join(col.select(F.col("id").alias("src"), "c"), "src").join(col.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst").filter("c = c2").select("src", "dst", "c")
-    same, _ = s.cut(same)
-    got, _ = s.cut(col.filter("id = c"))
-    front = got
-    while True:
-        new = same.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"), "c").distinct().join(got.select("id"), "id", "left_anti")
-        new, d = s.cut(new, n=F.count(F.lit(1)))
-        if not d["n"]:
-            break
-        got, front = s.cut(got.unionByName(new))[0], new
-    sizes = got.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
-    selfs = same.filter("src = dst").select("c").distinct().withColumn("own", F.lit(True))
-    real = sizes.join(selfs, "c", "left").filter((F.col("k") > 1) | F.col("own")).select("c")
-    return got.join(real, "c", "left_semi").select("id", F.col("c").alias("root_id")), got.select("id")
+            return col.select("id", "c")
+
+
+def _between(edges: DataFrame, col: DataFrame) -> DataFrame:
+    """The edges whose ends have the same label in (id, c), with it."""
+    e = edges.join(col.select(F.col("id").alias("src"), "c"), "src").join(col.select(F.col("id").alias("dst"), F.col("c").alias("c2")), "dst")
+    return e.filter(F.col("c") == F.col("c2")).select("src", "dst", "c")
+
+
+def _sweep(s: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled, rest) of written edges: (id, root_id) on the loops that this sweep settles, and the edges others may use."""
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    fwd = _spread(s, edges, ids)
+    same, _ = s.cut(_between(edges, fwd))
+    bwd = _spread(s, same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ids)
+    both, _ = s.cut(fwd.join(bwd.withColumnRenamed("c", "b"), "id"))
+    comp = both.filter(F.col("c") == F.col("b")).select("id", F.col("c.k").alias("c"))
+    own = same.filter("src = dst").select(F.col("src").alias("c")).distinct().withColumn("own", F.lit(True))
+    roots = comp.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("root_id")).join(own, "c", "left").filter((F.col("k") > 1) | F.col("own"))
+    open_ = both.filter(F.col("c") != F.col("b")).select("id", F.col("b").alias("c"))
+    return comp.join(roots.select("c", "root_id"), "c").select("id", "root_id"), _between(same.select("src", "dst"), open_).select("src", "dst")
 
 
 def loop_members(spark: SparkSession, edges: DataFrame, residue: int = RESIDUE_EDGES) -> DataFrame:
     """(id, root_id) of every node of (src, dst) that leads back to itself; root_id is the smallest id of its component."""
     s = Scratch(spark, "loops")
     e, c = s.cut(edges.select("src", "dst").distinct(), n=F.count(F.lit(1)))
-    n, out = c["n"], None
+    n, found = c["n"], []
     while True:
         e, n = _trim(s, e, n, residue)
         if n <= residue:
-            part = e.coalesce(1).mapInArrow(_components, _PAIR)
-            return part if out is None else out.unionByName(part)
-        part, settled = _coloured(s, e)
-        part, _ = s.cut(part)
-        out = part if out is None else out.unionByName(part)
-        rest = e.join(settled.select(F.col("id").alias("src")), "src", "left_anti").join(settled.select(F.col("id").alias("dst")), "dst", "left_anti")
-        e, c = s.cut(rest, n=F.count(F.lit(1)))
-        n = c["n"]
+            return _union([*found, e.coalesce(1).mapInArrow(_components, _PAIR)])
+        settled, rest = _sweep(s, e)
+        found.append(s.cut(settled)[0])
+        nxt, c = s.cut(rest, n=F.count(F.lit(1)))
+        s.drop(e)
+        e, n = nxt, c["n"]
         if not n:
-            return out
+            return _union(found)
 
 
 def child_edges(states: DataFrame) -> DataFrame:
@@ -315,7 +360,25 @@ def graph_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy of the documents' parents, written once as several passes read it."""
+    up = hierarchy(spark, latest_states(table(spark, sf_dir, "graph_docs"), "parent_edge_id").withColumnRenamed("parent_edge_id", "parent"))
+    return Scratch(spark, "tree").cut(up)[0]
+
+
 def graph_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``p5_paths``: every document's path as chain segments, and its descendants as a count and preorder interval."""
+    """``p5_paths``: every document's root, depth and number of descendants, and its path as chain segments."""
     up = hierarchy(spark, latest_states(table(spark, sf_dir, "graph_docs"), "parent_edge_id").withColumnRenamed("parent_edge_id", "parent"))
-    return up.select("id", "root_id", "depth", "chain", "pos", F.to_json("segs").alias("segments"), "tin", (F.col("size") - 1).alias("descendants"))
+    return up.select("id", "root_id", "depth", "chain", "pos", F.to_json("segs").alias("segments"), (F.col("size") - 1).alias("descendants"))
+
+
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p5_full_paths``: the whole path of every document that is not on a loop and leads into none, from its root down."""
+    t = graph_tree(spark, sf_dir)
+    return full_paths(t, t).select("id", F.array_join("path", "/").alias("path"))
+
+
+def graph_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p5_descendants``: all descendants of every document."""
+    t = graph_tree(spark, sf_dir)
+    return descendants(t, t)

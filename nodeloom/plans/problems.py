@@ -13,18 +13,35 @@ def queries() -> dict:
         "p4_report": references.orphan_report,
         "p5_found": hierarchy.graph_hierarchy,
         "p5_paths": hierarchy.graph_intervals,
+        "p5_full_paths": hierarchy.graph_paths,
+        "p5_descendants": hierarchy.graph_descendants,
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    """SQL of the same results, where it can be said on whole tables."""
-    return {
-        "p5_found": """WITH RECURSIVE g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM graph_docs WHERE id IS NOT NULL) WHERE rn = 1),
+_UP = """WITH RECURSIVE g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM graph_docs WHERE id IS NOT NULL) WHERE rn = 1),
 u AS (SELECT a.id, b.id AS p FROM g a LEFT JOIN g b ON b.id = a.parent_edge_id),
 t AS (SELECT id AS start, id, p, [id] AS path FROM u UNION ALL SELECT t.start, u.id, u.p, list_append(t.path, u.id) FROM t JOIN u ON u.id = t.p WHERE NOT list_contains(t.path, t.p)),
 e AS (SELECT start, id, p, path, list_position(path, p) AS k FROM t WHERE p IS NULL OR list_contains(path, p)),
+f AS (SELECT start AS id, list_reverse(path) AS path FROM e WHERE p IS NULL),
+x AS (SELECT unnest(path[:-2]) AS id, id AS descendant FROM f)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the same results, where it can be said on whole tables."""
+    return {
+        "p5_found": f"""{_UP},
 d AS (SELECT DISTINCT x.a, x.b FROM (SELECT id AS a, unnest([cm1_id, cm2_id]) AS b FROM g) x JOIN g ON g.id = x.b),
 r AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b)
 SELECT 'up' AS link, start AS id, CASE WHEN p IS NULL THEN id ELSE list_min(path[k:]) END AS root_id, CAST(CASE WHEN p IS NULL THEN len(path) - 1 WHEN k = 1 THEN -1 ELSE -2 END AS INTEGER) AS depth FROM e
 UNION ALL SELECT 'down', x.a, min(y.b), -1 FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a""",
+        "p5_paths": f"""{_UP},
+n AS (SELECT f.id, path[1] AS root_id, len(path) - 1 AS depth, path[-2] AS up, coalesce(c.n, 0) AS n FROM f LEFT JOIN (SELECT id, count(*) AS n FROM x GROUP BY id) c ON c.id = f.id),
+h AS (SELECT id FROM n WHERE up IS NOT NULL QUALIFY row_number() OVER (PARTITION BY up ORDER BY n DESC, id DESC) = 1),
+c AS (SELECT id, id AS chain, CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(chain VARCHAR, upto BIGINT)[]) AS segs FROM n WHERE up IS NULL
+  UNION ALL SELECT n.id, CASE WHEN h.id IS NULL THEN n.id ELSE c.chain END, CASE WHEN h.id IS NULL THEN 0 ELSE c.pos + 1 END,
+  CASE WHEN h.id IS NULL THEN list_append(c.segs, {{'chain': c.chain, 'upto': c.pos}}) ELSE c.segs END FROM c JOIN n ON n.up = c.id LEFT JOIN h ON h.id = n.id)
+SELECT n.id, n.root_id, CAST(n.depth AS INTEGER) AS depth, c.chain, c.pos, CAST(to_json(c.segs) AS VARCHAR) AS segments, n.n AS descendants FROM n JOIN c ON c.id = n.id
+UNION ALL SELECT start, list_min(path[k:]), CASE WHEN k = 1 THEN -1 ELSE -2 END, NULL, NULL, NULL, NULL FROM e WHERE p IS NOT NULL""",
+        "p5_full_paths": f"{_UP} SELECT id, array_to_string(path, '/') AS path FROM f",
+        "p5_descendants": f"{_UP} SELECT id, descendant FROM x",
     }

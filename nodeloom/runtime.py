@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a local session may do without: it gets a folder
+    of its own, as all its tasks run on this machine; elsewhere a missing setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"nodeloom-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -30,12 +34,15 @@ class Scratch:
     ``cut`` materialises a frame as parquet in the shared folder and reads it back, so the lineage ends there and a
     lost executor costs a re-read only. Tables of earlier rounds are dropped with ``drop`` once they are superseded;
     whatever the result still reads stays until the application's folder is cleaned.
+
+    A table belongs to the frame that ``cut`` gave back, which is held here as long as its table stands, so no other
+    frame can be taken for it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def cut(self, df: DataFrame, **counts) -> tuple[DataFrame, dict]:
         """Write ``df`` and return it re-read, with the named aggregates observed while it was written."""
@@ -46,17 +53,22 @@ class Scratch:
             df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
+        self.tables.append((back, path))
         return back, (seen.get if counts else {})
 
-    def drop(self, *frames: DataFrame | None) -> None:
-        """Delete the written tables behind ``frames``; frames that were not cut are ignored."""
-        jvm = self.spark._jvm
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the written tables of frames that ``cut`` gave back; any other frame is an error."""
         for f in frames:
-            path = self.paths.pop(id(f), None)
-            if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            at = next((i for i, (own, _) in enumerate(self.tables) if own is f), None)
+            if at is None:
+                raise ValueError("not a written table")
+            delete(self.spark, self.tables.pop(at)[1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of any file system Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def count_where(cond) -> F.Column:

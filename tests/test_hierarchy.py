@@ -87,6 +87,19 @@ def test_loops(spark):
     assert H.loop_members(spark, d.limit(0)).count() == 0
 
 
+def test_long_loops_take_few_rounds(spark):
+    n = 400
+    e = [(f"a{i:03d}", f"a{(i + 1) % n:03d}") for i in range(n)] + [(f"z{i:03d}", f"z{(i - 1) % n:03d}") for i in range(n)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(n)]
+    cuts = []
+    cut = H.Scratch.cut
+    H.Scratch.cut = lambda self, *a, **k: cuts.append(1) or cut(self, *a, **k)
+    try:
+        got = H.loop_members(spark, spark.createDataFrame(e, "src STRING, dst STRING"), 0)
+    finally:
+        H.Scratch.cut = cut
+    assert {x.id: x.root_id for x in got.collect()} == {x: f"{x[0]}000" for x, _ in e if x[0] != "p"} and len(cuts) < 300
+
+
 def test_latest_state(spark):
     d = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "y", 2), ("b", None, None), (None, "q", 9)], "id STRING, p STRING, updated_at INT")
     assert {tuple(x) for x in H.latest_states(d, "p").collect()} == {("a", "y"), ("b", None)}
