@@ -6,10 +6,13 @@ over a bounded labelled sample and mixed with those of all languages, so what no
 sample is ``lang_samples`` (``MOST_SAMPLES`` sentences per language) and, fitted with it in a second step, about
 ``MOST_DOCUMENTS`` documents per language of at most ``MOST_CHARS`` characters whose label the first fit confirms.
 
-Sentences are scored by their words; quoted words, addresses and signs are left out. A text with sentence marks consists
-of its marked sentences, what else stands in it is a heading or debris; a text without any is one unit, its first line
-left out if it looks like a heading and other lines have known words. A Viterbi path over the sentences gives the
-segments, as changing the language costs ``SWITCH``.
+Sentences and lines are scored by their words; quoted words, addresses, signs and words with letters of no sample are left
+out. A sentence or line of few words counts half, as headings and debris are such, and if no sample knows any of them it
+is set aside, whatever its marks. A Viterbi path over all others gives the segments: changing the language costs
+``SWITCH``, more than a word can say.
+
+The words of a batch are collected, those not met before are scored in one pass over all their lattices, and the scores
+of a sentence are summed by their numbers. The languages are those of ``lang_samples``, in any script they use.
 
 Defined results: null, empty and wordless texts have no segment, nor have a few words that no sample knows; sentences
 without words belong to the segment around them; confidence is the posterior of the segment's language over its own
@@ -40,23 +43,31 @@ MOST_SAMPLES, MOST_DOCUMENTS, MOST_CHARS, ROUNDS, LONGEST = 2000, 500, 4000, 6,
 #: Weight of the common distribution in each language's, share of each that comes from all segmentations alike and not
 #: the likeliest, the most one word may say, and the cost of a change of language (nats).
 COMMON, SPREAD, WORD_MOST, SWITCH = 0.1, 0.3, 4.0, 7.0
-#: Words that a text must have to count if none of them is in the sample, and remembered words per worker.
-FEW_WORDS, CACHE = 4, 200_000
-
-# Other ways to write the codes of languages.
-CODES = {
+#: What the evidence of a word no sample has counts, and that of a sentence or line of few words, as headings and debris are.
+UNSURE = 0.5
+#: Words that a sentence or line must have to count in full, or at all if none of them is in the sample, remembered words per worker, and
+#: words of a lattice pass, their longest length (longer ones are scored one by one), and texts taken at once.
+FEW_WORDS, CACHE, PASS, SHORT, TEXTS = 4, 200_000, 4096, 48, 1000
+#: Weight of a letter in products of piece probabilities, which keeps them in range and divides out.
+LETTER = 16.0
+
+# Other ways to write the codes of languages, a help for reading labels only.
+SPELLINGS = {
     "en": "eng english", "de": "deu ger german deutsch", "fr": "fra fre french francais français", "es": "spa spanish espanol español castellano",
     "it": "ita italian italiano", "pt": "por portuguese portugues português", "nl": "nld dut dutch nederlands", "ru": "rus russian русский",
 }
-_CODE = {x: k for k, v in CODES.items() for x in [k, *v.split()]}
 
 
-def label_code(label: str | None) -> str | None:
-    """The plain code of a label written in any way (``EN``, ``eng``, ``en-GB``); None if it names no language known here."""
+def label_code(label: str | None, langs) -> str | None:
+    """The language of ``langs`` that a label written in any way (``EN``, ``eng``, ``en-GB``) names; None if it names none."""
     if not label:
         return None
     low = label.strip().lower()
-    return _CODE.get(low) or _CODE.get(re.split(r"[-_ .@]", low)[0])
+    for x in (low, re.split(r"[-_ .@]", low)[0]):
+        for k in langs:
+            if x == k.lower() or x in SPELLINGS.get(k.lower(), "").split():
+                return k
+    return None
 
 
 @lru_cache(2)
@@ -81,8 +92,6 @@ _OUT = re.compile(
 _INVISIBLE = re.compile("[" + "".join(re.escape(c) for c, to in tables()[0].items() if not to) + "]+")
 _END = re.compile(r"[.!?…。！？]+[\"”»’)\]]*(?=\s)|[\n\r\u2028\u2029]+")
 _MAY_OUT = re.compile(r"[\"“„«/&<@_'’₀-₉²³⁴\d]|www\.")
-_MARKED = re.compile(r"[^\W\d][\"”»’)\]]*\s?[.!?…。！？]")
-_HEAD = regex.compile(r"[\p{L}\p{M}'’ -]{1,60}(/[^/\n]*/)?\s*")
 
 
 @lru_cache(1)
@@ -111,117 +120,199 @@ def _looks() -> dict[int, str]:
     return {ord(a): b for a, b in look_alikes().items()}
 
 
-def _lattice(word: str, vocab) -> list[list[str]]:
-    """For every end the pieces of ``vocab`` that end there; a single character is always a piece."""
-    w = "▁" + word
-    n = len(w)
-    ends: list[list[str]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            p = w[i:j]
-            if j == i + 1 or p in vocab:
-                ends[j].append(p)
-    return ends
-
-
-def _expectation(nets: list[tuple[int, list[list[str]]]], start: dict[str, float] | None, rounds: int) -> dict[str, float]:
-    """Piece probabilities by expectation maximisation over (count, lattice) of words, summing over all segmentations."""
-    if start is None:
-        seen = Counter(p for c, net in nets for e in net for p in e)
-        total = sum(seen.values()) or 1
-        start = {p: n / total for p, n in seen.items()}
-    prob = start
-    for _ in range(rounds):
-        got: dict[str, float] = defaultdict(float)
-        for c, net in nets:
-            n = len(net)
-            fwd, bwd = [1.0] + [0.0] * (n - 1), [0.0] * (n - 1) + [1.0]
-            for j in range(1, n):
-                fwd[j] = sum(fwd[j - len(p)] * prob.get(p, 1e-9) for p in net[j])
-            for j in range(n - 1, 0, -1):
-                for p in net[j]:
-                    bwd[j - len(p)] += prob.get(p, 1e-9) * bwd[j]
-            if fwd[-1] > 0:
-                share = c / fwd[-1]
-                for j in range(1, n):
-                    if bwd[j]:
-                        for p in net[j]:
-                            got[p] += share * fwd[j - len(p)] * prob.get(p, 1e-9) * bwd[j]
-        total = sum(got.values()) or 1.0
-        prob = {p: x / total for p, x in got.items() if x / total > 1e-9}
-    return prob
-
-
-def _mixture(words: Counter[str], vocab, start: dict[str, float] | None) -> dict[str, float]:
-    nets = [(c, _lattice(w[:200], vocab)) for w, c in sorted(words.items())]
-    likely, alike = _expectation(nets, start, ROUNDS), _expectation(nets, None, 1)
-    return {p: (1 - SPREAD) * likely.get(p, 0.0) + SPREAD * alike.get(p, 0.0) for p in sorted(likely.keys() | alike.keys())}
+class Lattices:
+    """All segmentations of many words into pieces: edges (word, from, to, piece) in order of their end and of their start.
+
+    pieces: numbers of pieces. A single character is always a piece: without a number it gets a new one if ``grow``,
+    else the number ``odd``. grow: pieces of ``vocab`` get numbers as they are met."""
+
+    def __init__(self, words: list[str], pieces: dict[str, int], vocab=frozenset(), grow: bool = False, odd: int = 0):
+        ws: list[int] = []
+        fs: list[int] = []
+        ts: list[int] = []
+        ps: list[int] = []
+        for r, word in enumerate(words):
+            t = "▁" + word
+            n = len(t)
+            for i in range(n):
+                for j in range(i + 1, min(n, i + LONGEST) + 1):
+                    p = t[i:j]
+                    at = pieces.get(p)
+                    if at is None:
+                        if grow and (j == i + 1 or p in vocab):
+                            at = pieces[p] = len(pieces)
+                        elif j == i + 1:
+                            at = odd
+                        else:
+                            continue
+                    ws.append(r), fs.append(i), ts.append(j), ps.append(at)
+        self.w, self.f, self.t, self.p = (np.array(x, np.int64) for x in (ws, fs, ts, ps))
+        self.last = np.array([len(x) + 1 for x in words], np.int64)
+        self.n, self.width = len(words), int(self.last.max(initial=0)) + 1
+        self.by_end, self.by_start = self._groups(self.t), self._groups(self.f)
+
+    def _groups(self, at: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per place its edges in order of the word, where each word's edges begin among them, and those words."""
+        o = np.lexsort((self.w, at))
+        out = []
+        for place, e in zip(*_runs(at[o], o)):
+            first = np.flatnonzero(np.diff(self.w[e], prepend=-1))
+            out.append((int(place), e, first, self.w[e][first]))
+        return out
+
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """Sums over all segmentations up to each place; ``prob`` has a row per piece and a column per language."""
+        f = np.zeros((self.n, self.width, prob.shape[1]))
+        f[:, 0] = 1.0
+        for place, e, first, words in self.by_end:
+            f[words, place] = np.add.reduceat(f[self.w[e], self.f[e]] * prob[self.p[e]], first)
+        return f
+
+    def backward(self, prob: np.ndarray) -> np.ndarray:
+        b = np.zeros((self.n, self.width, prob.shape[1]))
+        b[np.arange(self.n), self.last] = 1.0
+        for place, e, first, words in reversed(self.by_start):
+            b[words, place] = np.add.reduceat(b[self.w[e], self.t[e]] * prob[self.p[e]], first)
+        return b
+
+
+def _runs(sorted_keys: np.ndarray, values: np.ndarray):
+    """(different keys, the values of each)."""
+    if not len(sorted_keys):
+        return [], []
+    cut = np.flatnonzero(np.diff(sorted_keys)) + 1
+    return sorted_keys[np.concatenate([[0], cut])], np.split(values, cut)
+
+
+def _passes(words: list[str]) -> list[list[str]]:
+    """Words in passes of like length and bounded size."""
+    out: list[list[str]] = []
+    room = 0
+    for w in sorted(words, key=lambda x: (len(x), x)):
+        if not out or room < len(w) + 2:
+            out.append([])
+            room = PASS * 16
+        out[-1].append(w)
+        room -= len(w) + 2
+    return out
+
+
+class _Fit:
+    """Lattices of counted words, with pieces numbered across all languages."""
+
+    def __init__(self, counts: Counter[str], pieces: dict[str, int], vocab):
+        self.lats = [(Lattices(ws, pieces, vocab, grow=True), np.array([counts[w] for w in ws], float)) for ws in _passes(list(counts))]
+
+    def expectation(self, lengths: np.ndarray, start: np.ndarray | None, rounds: int) -> np.ndarray:
+        """Piece probabilities by expectation maximisation, summing over all segmentations; without ``start`` all begin alike."""
+        n = len(lengths)
+        if start is None:
+            start = sum((np.bincount(x.p, minlength=n) for x, _ in self.lats), np.zeros(n))
+            start = start / max(1.0, start.sum())
+        prob, scale = start, LETTER**lengths
+        for _ in range(rounds):
+            p = (np.maximum(prob, 1e-9) * scale)[:, None]
+            got = np.zeros(n)
+            for x, c in self.lats:
+                f, b = x.forward(p)[:, :, 0], x.backward(p)[:, :, 0]
+                whole = f[np.arange(x.n), x.last]
+                ok = np.isfinite(whole) & (whole > 0)
+                share = np.where(ok, c, 0) / np.where(ok, whole, 1)
+                got += np.bincount(x.p, share[x.w] * f[x.w, x.f] * p[x.p, 0] * b[x.w, x.t], minlength=n)
+            prob = got / (got.sum() or 1.0)
+            prob[prob <= 1e-9] = 0.0
+        return prob
+
+    def mixture(self, lengths: np.ndarray, start: np.ndarray | None) -> np.ndarray:
+        return (1 - SPREAD) * self.expectation(lengths, start, ROUNDS) + SPREAD * self.expectation(lengths, None, 1)
 
 
 class LanguageModel:
     """Piece probabilities of each language, a row of ``probs`` per piece, and the words they were fitted on."""
 
     def __init__(self, langs: list[str], pieces: list[str], probs: np.ndarray, words: frozenset[str]):
-        self.langs, self.words = langs, words
-        self.piece = dict(zip(pieces, probs))
+        self.langs, self.words, self.pieces = langs, words, pieces
+        self.piece = {p: i for i, p in enumerate(pieces)}
         # a piece of several letters that no sample has would drown the evidence of its parts, so only letters have a floor
-        self.odd = np.full(len(langs), 1e-7)
-        self.none = np.zeros(len(langs))
-        self.known: dict[str, tuple[np.ndarray | None, bool]] = {}
+        self.plain = np.vstack([probs.reshape(len(pieces), len(langs)), np.full((1, len(langs)), 1e-7)])
+        self.probs = self.plain * LETTER ** np.array([len(p) for p in pieces] + [1.0])[:, None]
+        self.letters = frozenset("".join(words))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Row 0 of the table is a word that says nothing."""
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.langs) + 2))
+        self.rows = 1
 
     @classmethod
     def fit(cls, counts: dict[str, Counter[str]], path: str = VOCABULARY) -> LanguageModel:
         vocab = vocabulary(path)
         langs = sorted(counts)
-        base = _mixture(sum(counts.values(), Counter()), vocab, None)
-        own = [_mixture(counts[x], vocab, base) for x in langs]
-        pieces = sorted(set(base).union(*own))
-        probs = np.array([[(1 - COMMON) * o.get(p, 0.0) + COMMON * base.get(p, 0.0) for o in own] for p in pieces]).reshape(len(pieces), len(langs))
-        return cls(langs, pieces, probs, frozenset(w for c in counts.values() for w in c))
+        pieces: dict[str, int] = {}
+        base = _Fit(sum(counts.values(), Counter()), pieces, vocab)
+        own = [_Fit(counts[x], pieces, vocab) for x in langs]
+        lengths = np.array([len(p) for p in pieces], float)
+        common = base.mixture(lengths, None)
+        probs = np.array([(1 - COMMON) * x.mixture(lengths, common) + COMMON * common for x in own]).reshape(len(langs), len(pieces)).T
+        used = np.flatnonzero(probs.any(1))
+        names = list(pieces)
+        return cls(langs, [names[i] for i in used], probs[used], frozenset(w for c in counts.values() for w in c))
 
     def state(self) -> tuple:
-        return self.langs, list(self.piece), np.array(list(self.piece.values())), self.words
-
-    def score(self, w: str) -> np.ndarray:
-        """Log-probability of a word in each language, less that of the best and at least ``-WORD_MOST``."""
-        net = _lattice(w, self.piece)
-        fwd = [self.none + 1.0]
-        for j in range(1, len(net)):
-            x = self.none
-            for p in net[j]:
-                x = x + fwd[j - len(p)] * self.piece.get(p, self.odd)
-            fwd.append(x)
-            if j % 16 == 0:  # keep long words in range
-                top = max(1e-300, max(y.max() for y in fwd[-LONGEST:]))
-                fwd[-LONGEST:] = [y / top for y in fwd[-LONGEST:]]
-        got = np.log(np.maximum(fwd[-1], 1e-300))
-        return np.maximum(got - got.max(), -WORD_MOST)
-
-    def word(self, raw: str) -> tuple[np.ndarray | None, bool]:
-        """(score, whether a sample has it) of a word as written; no score if it is not of Latin or Cyrillic letters."""
-        got = self.known.get(raw)
-        if got is None:
-            w = plain_word(raw)
-            got = (self.score(w), w in self.words) if w and _SPEAKS.fullmatch(w) else (None, False)
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[raw] = got
-        return got
-
-    def unit(self, plain: str) -> tuple[np.ndarray, int, int]:
-        """(score, words, known words) of a piece of ``bare`` text."""
-        total, n, k = self.none, 0, 0
-        seen = self.known
-        for raw in _WORD.findall(plain):
-            v, known = seen.get(raw) or self.word(raw)
-            if v is not None:
-                total = total + v
-                n += 1
-                k += known
-        return total, n, k
-
-
-_SPEAKS = regex.compile(r"[\p{Latin}\p{M}]+|[\p{Cyrillic}\p{M}]+")
+        return self.langs, self.pieces, self.plain[:-1], self.words
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word in each language, less that of the best and at least ``-WORD_MOST``."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = {w: i for i, w in enumerate(words)}
+        for ws in _passes([w for w in at if len(w) <= SHORT]):
+            x = Lattices(ws, self.piece, odd=len(self.pieces))
+            out[[at[w] for w in ws]] = x.forward(self.probs)[np.arange(x.n), x.last]
+        for w in at:
+            if len(w) > SHORT:
+                out[at[w]] = self._long(w)
+        with np.errstate(divide="ignore"):
+            got = np.log(np.maximum(out, 1e-300))
+        return np.maximum(got - got.max(1, keepdims=True), -WORD_MOST) if len(self.langs) else out
+
+    def _long(self, word: str) -> np.ndarray:
+        """The sums over all segmentations of a word of any length, up to a common factor."""
+        t = "▁" + word
+        window = [np.ones(len(self.langs))]
+        for j in range(1, len(t) + 1):
+            x = np.zeros(len(self.langs))
+            for k in range(1, min(j, LONGEST) + 1):
+                at = self.piece.get(t[j - k : j], len(self.pieces) if k == 1 else None)
+                if at is not None:
+                    x += window[-k] * self.probs[at]
+            window = [*window[1 - LONGEST :], x]
+            top = max(y.max() for y in window)
+            if not 1e-100 < top < 1e100:
+                window = [y / max(top, 1e-300) for y in window]
+        return window[-1] / (window[-1].max() or 1.0)
+
+    def numbers(self, raw: list[str]) -> np.ndarray:
+        """The row of ``table`` for each word as written: scores, 1 if it says anything, 1 if a sample has it."""
+        known = self.known
+        new = [w for w in set(raw) if w not in known]
+        if len(new) + self.rows > CACHE and self.rows > 1:
+            self._forget()
+            known, new = self.known, list(set(raw))
+        if new:
+            plain = {w: plain_word(w) for w in sorted(new)}
+            says = sorted({p for p in plain.values() if p and self.letters.issuperset(p)})
+            row = dict(zip(says, range(self.rows, self.rows + len(says))))
+            need = self.rows + len(says)
+            if need > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]))])
+            if says:
+                t = self.table[self.rows : need]
+                sure = np.array([p in self.words for p in says], float)
+                t[:, :-2], t[:, -2], t[:, -1] = self.score(says) * np.where(sure > 0, 1.0, UNSURE)[:, None], 1.0, sure
+            self.rows = need
+            known.update((w, row.get(p, 0)) for w, p in plain.items())
+        return np.array([known[w] for w in raw], np.int64)
 
 
 def bare(text: str) -> str:
@@ -231,12 +322,8 @@ def bare(text: str) -> str:
     return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
-def raw_words(text: str) -> list[str]:
-    return _WORD.findall(bare(text))
-
-
 def plain_words(text: str) -> list[str]:
-    return [w for w in map(plain_word, raw_words(text)) if w and _SPEAKS.fullmatch(w)]
+    return [w for w in map(plain_word, _WORD.findall(bare(text))) if w]
 
 
 def sentences(text: str) -> list[tuple[int, str]]:
@@ -250,87 +337,125 @@ def sentences(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def segments(text: str | None, model: LanguageModel) -> list[tuple[int, str, float]]:
-    """(start, language, confidence) of the segments of a text."""
-    if not text or not model.langs:
-        return []
-    whole = [(at, s, bare(s)) for at, s in sentences(text)]
-    units = [(at, *model.unit(b)) for at, _, b in whole if _MARKED.search(b)]
-    units = [u for u in units if u[2]]
-    if not units:
-        lines = [(at, s, *model.unit(b)) for at, s, b in whole]
-        if len(lines) > 1 and _HEAD.fullmatch(_INVISIBLE.sub("", lines[0][1])) and any(x[4] for x in lines[1:]):
-            lines = lines[1:]
-        n, k = sum(x[3] for x in lines), sum(x[4] for x in lines)
-        if not n:
-            return []
-        units = [(0, np.sum([x[2] for x in lines], axis=0), n, k)]
-    if not any(u[3] for u in units) and sum(u[2] for u in units) < FEW_WORDS:
-        return []
-    score, back = units[0][1], []
-    stay = np.arange(len(model.langs))
-    for u in units[1:]:
-        best = int(score.argmax())
-        move = score[best] - SWITCH > score
-        back.append(np.where(move, best, stay))
-        score = np.where(move, score[best] - SWITCH, score) + u[1]
-    at = int(score.argmax())
+def _units(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """The sentences and lines that count: the text of each, its start, and its summed scores, words and known words."""
+    owner: list[int] = []
+    start: list[int] = []
+    words: list[str] = []
+    first: list[int] = []
+    for d, text in enumerate(texts):
+        if not text:
+            continue
+        for at, s in sentences(text):
+            ws = _WORD.findall(bare(s))
+            if ws:
+                owner.append(d), start.append(at), first.append(len(words))
+                words += ws
+    if not owner:
+        return np.zeros(0, np.int64), [], np.zeros((0, len(model.langs) + 2))
+    numbers = model.numbers(words)
+    total = np.add.reduceat(model.table[numbers], first)
+    own, n, known = np.array(owner), total[:, -2], total[:, -1]
+    some = np.zeros(len(texts), bool)
+    some[own[known > 0]] = True
+    all_n = np.bincount(own, n, len(texts))
+    # headings and debris: a few words that no sample knows, beside others that one does
+    keep = (n > 0) & ((known > 0) | (n >= FEW_WORDS) | (~some[own] & (all_n[own] >= FEW_WORDS)))
+    at = np.flatnonzero(keep)
+    total[n < FEW_WORDS, :-2] *= UNSURE
+    return own[at], [start[i] for i in at], total[at]
+
+
+def _path(score: np.ndarray) -> list[int]:
+    """The best language of each row, where a change costs ``SWITCH``."""
+    best, back = score[0], []
+    stay = np.arange(score.shape[1])
+    for u in score[1:]:
+        top = int(best.argmax())
+        move = best[top] - SWITCH > best
+        back.append(np.where(move, top, stay))
+        best = np.where(move, best[top] - SWITCH, best) + u
+    at = int(best.argmax())
     path = [at]
     for b in reversed(back):
         at = int(b[at])
         path.append(at)
-    out: list[tuple[int, int, np.ndarray]] = []
-    for u, lang in zip(units, reversed(path)):
-        if out and out[-1][1] == lang:
-            out[-1] = (out[-1][0], lang, out[-1][2] + u[1])
-        else:
-            out.append((u[0] if out else 0, lang, u[1]))
-    return [(b, model.langs[x], float(1.0 / np.exp(u - u[x]).sum())) for b, x, u in out]
+    return path[::-1]
+
+
+def segments_of(texts: list[str | None], model: LanguageModel) -> list[list[tuple[int, str, float]]]:
+    """(start, language, confidence) of the segments of each text."""
+    out: list[list[tuple[int, str, float]]] = [[] for _ in texts]
+    if not model.langs:
+        return out
+    own, start, total = _units(texts, model)
+    score = total[:, :-2]
+    for d, rows in zip(*_runs(own, np.arange(len(own)))):
+        u = score[rows]
+        whole = u.sum(0)
+        x = int(whole.argmax())
+        if (u[:, x] >= u.max(1)).all():  # no change can gain
+            out[d] = [(0, model.langs[x], float(1.0 / np.exp(whole - whole[x]).sum()))]
+            continue
+        path = np.array(_path(u))
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
+        for k, v in zip(cut, np.add.reduceat(u, cut)):
+            x = path[k]
+            out[d].append((start[rows[k]] if k else 0, model.langs[x], float(1.0 / np.exp(v - v[x]).sum())))
+    return out
 
 
-def fitted(samples: list[tuple[str, str]], labelled: list[tuple[str | None, str]], path: str = VOCABULARY) -> LanguageModel:
+def segments(text: str | None, model: LanguageModel) -> list[tuple[int, str, float]]:
+    return segments_of([text], model)[0]
+
+
+def fitted(samples: list[tuple[str, str]], labelled: list[tuple[str, str]], path: str = VOCABULARY) -> LanguageModel:
     """The model of labelled sample sentences, then of these and the documents whose label a fit so far confirms."""
     counts: dict[str, Counter[str]] = defaultdict(Counter)
     for lang, text in samples:
         counts[lang].update(plain_words(text))
     model = LanguageModel.fit(counts, path)
+    texts = [x for _, x in labelled]
     for _ in range(2 if labelled and counts else 0):
         more = {k: Counter(c) for k, c in counts.items()}
-        for label, text in labelled:
-            got = segments(text, model)
-            if len(got) == 1 and got[0][1] == label_code(label) and got[0][2] > 0.999:
+        for (code, text), got in zip(labelled, segments_of(texts, model)):
+            if len(got) == 1 and got[0][1] == code and got[0][2] > 0.999:
                 for _, s in sentences(text):
-                    if _MARKED.search(bare(s)):
-                        more[got[0][1]].update(plain_words(s))
+                    ws = plain_words(s)
+                    if len(ws) >= FEW_WORDS and 4 * sum(w in model.words for w in ws) >= 3 * len(ws):
+                        more[code].update(ws)
         model = LanguageModel.fit(more, path)
     return model
 
 
-def labelled_sample(docs: DataFrame, label: str = "lang", text: str = "text", seed: int = 7) -> list[tuple[str, str]]:
-    """About ``MOST_DOCUMENTS`` documents per language named by their label, by a hash of the text; never more than twice."""
-    code = code_column(F.col(label))
-    d = docs.select(code.alias("code"), F.col(text).alias("text")).filter(F.col("code").isNotNull() & (F.length("text").between(1, MOST_CHARS)))
-    many = {r["code"]: r["n"] for r in d.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000))
-    take = [(F.col("code") == k) & (h < int(1_000_000 * min(1.0, MOST_DOCUMENTS / n))) for k, n in many.items()]
+def labelled_sample(docs: DataFrame, langs: list[str], label: str = "lang", text: str = "text", seed: int = 7) -> list[tuple[str, str]]:
+    """(code, text) of at most ``MOST_DOCUMENTS`` different texts per language their label names, those of least hash.
+
+    Hashes are cut off where about twice as many different texts are left before these are ranked."""
+    d = docs.select(code_column(F.col(label), langs).alias("code"), F.col(text).alias("text")).filter(F.col("code").isNotNull() & F.length("text").between(1, MOST_CHARS))
+    many = {r["code"]: r["n"] for r in d.groupBy("code").agg(F.approx_count_distinct("text").alias("n")).collect()}  # a row per language
+    d = d.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)))
+    take = [(F.col("code") == k) & (F.col("h") < int(1_000_000 * min(1.0, 2.0 * MOST_DOCUMENTS / max(1, n)))) for k, n in many.items()]
     if not take:
         return []
     cond = take[0]
     for t in take[1:]:
         cond = cond | t
-    rows = d.filter(cond).limit(2 * MOST_DOCUMENTS * len(CODES)).collect()
-    return sorted((r["code"], r["text"]) for r in rows)
+    few = d.filter(cond).dropDuplicates(["code", "text"]).withColumn("_n", F.row_number().over(W.partitionBy("code").orderBy("h", "text"))).filter(F.col("_n") <= MOST_DOCUMENTS)
+    return sorted((r["code"], r["text"]) for r in few.select("code", "text").collect())
 
 
 _MODELS: dict[int, LanguageModel] = {}
 
 
 def language_segments(docs: DataFrame, samples: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, label, seg_start, lang, confidence, n_segments) of every segment of (doc_id, lang, text)."""
-    w = W.partitionBy("lang").orderBy("sample_id")
+    """(doc_id, label, code, seg_start, lang, confidence, n_segments) of every segment of (doc_id, lang, text); code is
+    the language of ``samples`` that the document's label names, if any."""
+    w = W.partitionBy("lang").orderBy("sample_id", "text")
     few = samples.filter(F.col("lang").isNotNull()).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MOST_SAMPLES)
     fit = sorted((r["lang"], r["text"] or "") for r in few.select("lang", "text").collect())
-    state = fitted(fit, labelled_sample(docs), path).state()
+    langs = sorted({x for x, _ in fit})
+    state = fitted(fit, labelled_sample(docs, langs), path).state()
     name = uuid.uuid4().int
 
     def run(batches):
@@ -339,34 +464,39 @@ def language_segments(docs: DataFrame, samples: DataFrame, path: str = VOCABULAR
             _MODELS.clear()
             model = _MODELS[name] = LanguageModel(*state)
         for b in batches:
-            out: list[tuple] = []
-            for doc, label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                got = segments(text, model)
-                out += [(doc, label, at, lang, conf, len(got)) for at, lang, conf in got]
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32()))],
-                names=["doc_id", "label", "seg_start", "lang", "confidence", "n_segments"],
-            )
-
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("lang").alias("label"), "text").mapInArrow(
+            for a in range(0, b.num_rows, TEXTS):
+                part = b.slice(a, TEXTS)
+                got = segments_of(part.column(2).to_pylist(), model)
+                n = [len(x) for x in got]
+                flat = [y for x in got for y in x]
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array([y[0] for y in flat], pa.int32()), pa.array([y[1] for y in flat], pa.string()),
+                     pa.array([y[2] for y in flat], pa.float64()), pa.array(np.repeat(n, n), pa.int32())],
+                    names=["doc_id", "label", "seg_start", "lang", "confidence", "n_segments"],
+                )
+
+    s = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").alias("label"), "text").mapInArrow(
         run, "doc_id BIGINT, label STRING, seg_start INT, lang STRING, confidence DOUBLE, n_segments INT"
     )
+    return s.select("doc_id", "label", code_column(F.col("label"), langs).alias("code"), "seg_start", "lang", "confidence", "n_segments")
 
 
-def code_column(label: Column) -> Column:
+def code_column(label: Column, langs: list[str]) -> Column:
     """``label_code`` as a column expression."""
     low = F.lower(F.trim(label))
-    return F.coalesce(*[F.when(low.rlike(f"^({'|'.join([k, *v.split()])})([-_ .@].*)?$"), F.lit(k)) for k, v in CODES.items()])
+    base = F.regexp_extract(low, "^[^-_ .@]*", 0)
+    null = F.lit(None).cast("string")
+    of = {k: [k.lower(), *SPELLINGS.get(k.lower(), "").split()] for k in langs}
+    return F.coalesce(*[F.when(x.isin(v), F.lit(k)) for x in (low, base) for k, v in of.items()], null)
 
 
-def is_case(label: Column, lang: Column, n: Column) -> Column:
+def is_case(code: Column, lang: Column, n: Column) -> Column:
     """Whether a segment belongs to a document whose label is missing, names no language or another, or that is mixed."""
-    code = code_column(label)
     return (n > 1) | code.isNull() | (code != lang)
 
 
 def mislabelled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``p8_found``: the segments of documents without a right label or in several languages."""
     s = language_segments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
-    return s.filter(is_case(F.col("label"), F.col("lang"), F.col("n_segments"))).select("doc_id", "seg_start", "lang")
+    return s.filter(is_case(F.col("code"), F.col("lang"), F.col("n_segments"))).select("doc_id", "seg_start", "lang")

@@ -145,10 +145,43 @@ def test_segments(model):
     assert len(L.segments(" ".join([en] * 3000), model)) == 1
 
 
+def test_nothing_is_left_out_for_want_of_a_mark(model):
+    en, de = "The old word was first noted in the letters.", "Diese Bedeutung ist ein Name für hölzerne Schalen und das Wort steht ohne Ergänzung"
+    for gap in (" ", "\n"):
+        got = L.segments(en + gap + de, model)
+        assert [(a, x) for a, x, _ in got] == [(0, "en"), (len(en) + 1, "de")] and all(c > 0.99 for _, _, c in got)
+    lines = ["the old word was noted in letters", "das alte Wort wurde in Briefen notiert", "diese Bedeutung ist ein Name für Schalen"]
+    assert [(a, x) for a, x, _ in L.segments("\n".join(lines), model)] == [(0, "en"), (len(lines[0]) + 1, "de")]
+    assert [(a, x) for a, x, _ in L.segments(f"zkrf vlimp\n{de}\nqrx", model)] == [(0, "de")]
+
+
+def test_scores_of_many_words_equal_those_of_one(model):
+    words = ["wort", "letters", "словом", "zzz", "a", "wortwortwort" * 3, "briefe" * 40]
+    many = model.score(words)
+    for w, row in zip(words, many):
+        x = model._long(w)
+        one = np.log(np.maximum(x, 1e-300))
+        assert np.allclose(row, np.maximum(one - one.max(), -L.WORD_MOST), atol=1e-9)
+
+
+def test_another_script_and_a_ninth_language():
+    samples = [(k, x) for k, v in SAMPLES.items() for x in v] + [("el", x) for x in ("η παλιά λέξη σημειώθηκε πρώτα σε γράμματα", "αυτή η σημασία είναι ένα όνομα για ξύλινα μπολ")]
+    m = L.fitted(samples, [("el", "η λέξη είναι ένα όνομα.")])
+    assert [x for _, x, _ in L.segments("αυτή η λέξη είναι παλιά και ξύλινα γράμματα", m)] == ["el"] and "el" in m.langs
+
+
+def test_labelled_sample_does_not_depend_on_copies(spark):
+    d = spark.createDataFrame([(i, "en", f"text {i % 40}") for i in range(200)] + [(i, "en", "hot") for i in range(300)], "doc_id BIGINT, lang STRING, text STRING")
+    a = L.labelled_sample(d, ["en"])
+    assert len(a) == 41 and a == L.labelled_sample(d.repartition(7), ["en"])
+
+
 def test_labels(spark):
     codes = {"EN": "en", "eng": "en", "en-GB": "en", "deu": "de", "xx": None, "": None, None: None, "unknown": None, "pt_BR": "pt", " fr ": "fr", "english": "en", "enx": None}
-    assert {k: L.label_code(k) for k in codes} == codes
-    d = spark.createDataFrame([(k,) for k in codes], "l STRING").select("l", L.code_column(F.col("l")).alias("c"))
+    langs = ["de", "en", "fr", "pt", "xq"]
+    codes |= {"XQ": "xq", "xq-AA": "xq", "ru": None, "rus": None}
+    assert {k: L.label_code(k, langs) for k in codes} == codes
+    d = spark.createDataFrame([(k,) for k in codes], "l STRING").select("l", L.code_column(F.col("l"), langs).alias("c"))
     assert {r.l: r.c for r in d.collect()} == codes
 
 
@@ -157,6 +190,6 @@ def test_language_frame(spark):
     docs = [(1, "en", "The old word was first noted in letters."), (2, "de", "The old word was first noted in letters."), (3, None, SAMPLES["ru"][0] + "."), (4, "eng", "This meaning is a kind name. Diese Bedeutung ist ein Name für die Mehrzahl."), (5, None, None), (6, "xx", "42")]
     d = spark.createDataFrame([(*x, 1.0) for x in docs], "doc_id BIGINT, lang STRING, text STRING, confidence DOUBLE")
     g = L.language_segments(d, s)
-    got = sorted(tuple(r)[0:1] + (r.seg_start, r.lang) for r in g.filter(L.is_case(F.col("label"), F.col("lang"), F.col("n_segments"))).collect())
+    got = sorted(tuple(r)[0:1] + (r.seg_start, r.lang) for r in g.filter(L.is_case(F.col("code"), F.col("lang"), F.col("n_segments"))).collect())
     assert got == [(2, 0, "en"), (3, 0, "ru"), (4, 0, "en"), (4, 29, "de")]
     assert L.language_segments(d.limit(0), s).count() == 0 and L.language_segments(d, s.limit(0)).count() == 0
