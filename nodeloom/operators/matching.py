@@ -3,7 +3,7 @@
 Greedy matching takes pairs in descending order and skips taken ends. The same result comes from rounds: every end names
 its best remaining pair, pairs named by both ends are taken, pairs of taken ends leave. Assigning each pair, in order,
 its best free bridge is a serial dictatorship; the same result comes from deferred acceptance, as all bridges rank pairs
-by that order. Rounds aggregate per end with partial aggregation and end on anti-joins, so hot ends are no hot tasks.
+by that order, and pairs that run out of candidates may be given more later. Rounds aggregate per end with partial aggregation and end on anti-joins, so hot ends are no hot tasks.
 What is left below ``IN_TASK`` rows is finished by the plain scan in one task, with the same result.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from nodeloom.runtime import Scratch
+from nodeloom.runtime import Scratch, count_where
 
 
 #: Rows of pairs or candidates that one task may scan.
@@ -40,20 +40,21 @@ def _scan_candidates(batches):
     """First free bridge per pair; rows come in order of (rank, pref). A pair without any gets a row without bridge."""
     taken: set = set()
     at, won = None, True
-    pairs, bridges, scores = [], [], []
+    out: list[tuple] = []
     for b in batches:
-        for p, x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for p, x, s, f in zip(*(b.column(c).to_pylist() for c in ("pair", "bridge", "score", "pref"))):
             if p != at:
                 if not won:
-                    pairs.append(at), bridges.append(None), scores.append(None)
+                    out.append((at, None, None, None))
                 at, won = p, False
             if not won and x not in taken:
                 won = True
                 taken.add(x)
-                pairs.append(p), bridges.append(x), scores.append(s)
+                out.append((p, x, s, f))
     if not won:
-        pairs.append(at), bridges.append(None), scores.append(None)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(bridges, pa.string()), pa.array(scores, pa.float64())], names=["pair", "bridge", "score"])
+        out.append((at, None, None, None))
+    kinds = (("pair", pa.string()), ("bridge", pa.string()), ("score", pa.float64()), ("pref", pa.int32()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(list(zip(*out)) or [()] * 4, kinds)], names=[n for n, _ in kinds])
 
 
 def greedy(spark: SparkSession, pairs: DataFrame, order: list[Column], scratch: Scratch | None = None, in_task: int | None = None) -> DataFrame:
@@ -106,40 +107,78 @@ def by_tiers(spark: SparkSession, relations: DataFrame) -> DataFrame:
     return greedy(spark, relations, [F.col("tier"), F.col("ord_a"), F.col("ord_rel")])
 
 
+def _first_by_rank(s: Scratch, pairs: DataFrame, n: int) -> DataFrame:
+    """The ``n`` pairs of lowest rank: whole ranges of the rank, and the beginning of the one in which the count is met."""
+    p, _ = s.cut(pairs.repartitionByRange(max(8, pairs.sparkSession.sparkContext.defaultParallelism), "rank").withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r["_p"], r["n"]) for r in p.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per range
+    whole, before = -1, 0
+    for at, k in sizes:
+        if before + k > n:
+            break
+        whole, before = at, before + k
+    nxt = min((at for at, _ in sizes if at > whole), default=None)
+    edge = p.filter(F.col("_p") == nxt) if nxt is not None else p.limit(0)
+    edge = edge.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("rank"))).filter(F.col("_r") <= n - before).drop("_r")
+    return p.filter(F.col("_p") <= whole).unionByName(edge).drop("_p")
+
+
 def assign_bridges(spark: SparkSession, pairs: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], n_bridges: int, first: int = 50, in_task: int | None = None) -> DataFrame:
     """(pair, bridge, score): each pair of (pair, rank, ...), in order of rank, gets its best bridge not taken before.
 
-    candidates(pairs, k) gives (pair, bridge, score, pref) with the k best bridges of each pair, pref from 1. If a pair
-    runs out of candidates before bridges run out, all is repeated with four times as many."""
+    candidates(pairs, k) gives (pair, bridge, score, pref) with the k best bridges of each pair, pref from 1. As every
+    pair takes one bridge while any is free, only the first ``n_bridges`` pairs can get one. A pair that runs out of
+    candidates is given four times as many and goes on from there; all others keep what they hold, as deferred acceptance
+    allows offers in any order."""
     s = Scratch(spark, "bridges")
+    most = IN_TASK if in_task is None else in_task
+    if pairs.count() > n_bridges:
+        pairs, _ = s.cut(_first_by_rank(s, pairs, n_bridges))
     k = min(first, n_bridges)
-    while True:
-        cand, c = s.cut(candidates(pairs, k).join(pairs.select("pair", "rank"), "pair"), n=F.count(F.lit(1)))
-        if c["n"] <= (IN_TASK if in_task is None else in_task):
-            rows = cand.repartition(1).sortWithinPartitions("rank", "pref").select("pair", "bridge", "score")
-            got, d = s.cut(rows.mapInArrow(_scan_candidates, "pair string, bridge string, score double"), none=F.coalesce(F.sum(F.col("bridge").isNull().cast("int")), F.lit(0)))
-            if not d["none"] or k >= n_bridges:
-                return got.filter("bridge IS NOT NULL")
-            k = min(n_bridges, k * 4)
-            continue
+    order = pairs.select("pair", "rank")
+    one, c = s.cut(candidates(pairs, k).select("pair", "bridge", "score", F.col("pref").cast("int").alias("pref")), n=F.count(F.lit(1)))
+    cand = [one]
+    if c["n"] <= most:
+        rows = one.join(order, "pair").repartition(1).sortWithinPartitions("rank", "pref").select("pair", "bridge", "score", "pref")
+        got, d = s.cut(rows.mapInArrow(_scan_candidates, "pair string, bridge string, score double, pref int").join(order, "pair"), none=count_where(F.col("bridge").isNull()))
+        held = got.filter("bridge IS NOT NULL")
+        free, open_, out = got.filter("bridge IS NULL").select("pair", "rank", F.lit(k + 1).alias("at"), F.lit(k).alias("have")), 0, d["none"]
+        held = held.select("bridge", "pair", "rank", "score", "pref", F.lit(k).alias("have"))
+    else:
         held = None
-        start = pairs.select("pair", F.lit(1).alias("at"))
-        free, _ = s.cut(start)
-        out_of = False
-        while True:
-            offer = free.join(cand, (free.pair == cand.pair) & (free["at"] == cand.pref)).select(cand.pair, "bridge", "rank", "score", "pref")
-            allp = offer if held is None else offer.unionByName(held)
-            top = allp.groupBy("bridge").agg(F.min(F.struct("rank", "pair", "score", "pref")).alias("m"))
-            now, _ = s.cut(top.select("bridge", F.col("m.pair").alias("pair"), F.col("m.rank").alias("rank"), F.col("m.score").alias("score"), F.col("m.pref").alias("pref")))
-            lost = allp.join(now.select("pair"), "pair", "left_anti").select("pair", (F.col("pref") + 1).alias("at"))
-            lost, d = s.cut(lost, n=F.count(F.lit(1)), out=F.coalesce(F.sum(F.when(F.col("at") > k, 1).otherwise(0)), F.lit(0)))
-            held, free = now, lost
-            out_of = out_of or bool(d["out"])
-            if not d["n"] or d["n"] == d["out"]:
+        free, open_, out = order.select("pair", "rank", F.lit(1).alias("at"), F.lit(k).alias("have")), 1, 0
+    waiting = []
+    while open_ or out or waiting:
+        if not open_:
+            rest = _all([*waiting, free])
+            waiting = []
+            rest = rest.filter(F.col("have") < n_bridges)
+            if rest.isEmpty():
                 break
-        if not out_of or k >= n_bridges:
-            return held.select("pair", "bridge", "score")
-        k = min(n_bridges, k * 4)
+            k = min(n_bridges, k * 4)
+            rest, _ = s.cut(rest.select("pair", "rank", "at", F.col("have").alias("had"), F.lit(k).alias("have")))
+            more = candidates(pairs.join(rest.select("pair"), "pair", "left_semi"), k).join(rest.select("pair", "had"), "pair").filter(F.col("pref") > F.col("had"))
+            cand.append(s.cut(more.select("pair", "bridge", "score", F.col("pref").cast("int").alias("pref")))[0])
+            free, open_, out = rest, 1, 0
+            continue
+        live = free.filter("at <= have")
+        if out:
+            waiting.append(free.filter("at > have"))
+        f = live.select(F.col("pair").alias("_pair"), "rank", "at", "have")
+        offers = [f.join(x, (F.col("_pair") == F.col("pair")) & (F.col("at") == F.col("pref"))).select("bridge", "pair", "rank", "score", "pref", "have") for x in cand]
+        allp = _all(offers if held is None else [*offers, held])
+        top = allp.groupBy("bridge").agg(F.min(F.struct("rank", "pair", "score", "pref", "have")).alias("m"))
+        now, _ = s.cut(top.select("bridge", "m.pair", "m.rank", "m.score", "m.pref", "m.have"))
+        lost = allp.join(now.select("pair"), "pair", "left_anti").select("pair", "rank", (F.col("pref") + 1).alias("at"), "have")
+        free, d = s.cut(lost, open=count_where(F.col("at") <= F.col("have")), out=count_where(F.col("at") > F.col("have")))
+        held, open_, out = now, d["open"], d["out"]
+    return held.select("pair", "bridge", "score")
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def ranked(pairs: DataFrame, *order: Column) -> DataFrame:

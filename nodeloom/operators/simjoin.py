@@ -1,15 +1,18 @@
 """Similarity joins over vectors: top k, nearest row, pairs above a cosine.
 
-A side of a checked size travels to the tasks as one matrix and is multiplied there in blocks (``EXACT_ROWS`` rows at
-most); a larger side is taken in blocks of that size, each partial result reduced before the next shuffle. ``pairs`` is
-exact at every size. ``pairs_approximate``, which no query uses, finds pairs by random hyperplanes that cut the vectors
-into cells in several tables, and only pairs within a cell are compared, exactly; large cells in tiles.
+Both sides of a join are spread over tiles of bounded bytes by a hash of their ids, every tile of one side meets every
+tile of the other in a group of its own, and each group gives its best rows or its pairs before the next shuffle: no
+vector is held by the driver or broadcast, and no task holds more than two tiles. ``pairs`` is exact unless a recall is
+asked for; ``pairs_approximate`` then cuts the vectors into cells by random hyperplanes in as many tables as that recall
+takes at the least cosine, and compares only pairs within a cell, exactly.
 
-Vectors that are null, zero, not finite or of another length than the first take no part. Equal cosines go by id.
+Vectors that are null, zero, not finite or of another length than ``dim`` take no part. Equal cosines go by id.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +23,9 @@ from pyspark.sql.window import Window as W
 from nodeloom.functions import vectors as V
 from nodeloom.runtime import Scratch
 
-#: Rows of the matrix that travels to tasks, rows of it multiplied at once, rows compared within one cell.
-EXACT_ROWS, BLOCK, CELL = 20_000, 1024, 2000
+#: Bytes of the vectors of one tile (as doubles), rows from which a table is spread over all cores, rows compared within one
+#: cell, and the most partitions of a join.
+TILE_BYTES, SPREAD_ROWS, CELL, MOST_PARTS = 64 << 20, 256, 2000, 20_000
 #: Rows by columns of the cosines a pair join holds at once.
 TILE = 512, 2048
 
@@ -51,14 +55,6 @@ def top_k_by_row(df: DataFrame, query: DataFrame, k: int, id_col: str = "id", ve
     return s.orderBy(F.col("score").desc(), id_col).limit(k)
 
 
-def _matrix(df: DataFrame, dim: int) -> tuple[list, np.ndarray]:
-    t = df.select("id", "vec").orderBy("id").toArrow().combine_chunks()
-    if not t.num_rows:
-        return [], np.zeros((0, dim))
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column(1).chunks])
-    return t.column(0).to_pylist(), unit_rows(flat, dim)
-
-
 def _id_type(df: DataFrame) -> str:
     return dict(df.dtypes)["id"]
 
@@ -67,46 +63,93 @@ def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
 
-def _blocks(df: DataFrame, dim: int, rows: int):
-    """``df`` in blocks of at most about ``rows`` rows, each as (ids, matrix)."""
-    n = df.count()
-    parts = max(1, -(-n // rows) + (n > rows))
-    for p in range(parts):
-        yield _matrix(df if parts == 1 else df.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p), dim)
+def _tile_count(n: int, dim: int, rows: int | None, cores: int) -> int:
+    """Tiles of a side of ``n`` rows: none larger than ``rows`` (by default what ``TILE_BYTES`` hold), and up to ``cores`` so
+    long as they keep ``SPREAD_ROWS`` rows."""
+    most = rows or max(1, TILE_BYTES // (8 * dim))
+    return max(1, -(-n // most), min(cores, n // SPREAD_ROWS))
+
+
+def _numbers(n: int) -> F.Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def _vectors(t: pa.Table, dim: int) -> np.ndarray:
+    if not t.num_rows:
+        return np.zeros((0, dim))
+    return unit_rows(np.concatenate([k.flatten().to_numpy(zero_copy_only=False) for k in t.column("vec").chunks]), dim)
+
+
+def _best(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k largest of each row, of equal ones the first columns; in order."""
+    if k == 1:
+        return np.arange(len(v)), np.argmax(v, 1)
+    if v.shape[1] > k:
+        i, j = np.nonzero(v >= np.partition(v, v.shape[1] - k, 1)[:, -k][:, None])
+    else:
+        i, j = (x.ravel() for x in np.indices(v.shape))
+    o = np.lexsort((j, -v[i, j], i))
+    i, j = i[o], j[o]
+    at = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[at < k], j[at < k]
+
 
+def nearest(left: DataFrame, right: DataFrame, dim: int, k: int = 1, min_score: float = -2.0, rows: int | None = None) -> DataFrame:
+    """(id, match, score, rank): the k best rows of ``right`` (id, vec) for every row of ``left`` (id, vec), exactly.
 
-def nearest(left: DataFrame, right: DataFrame, dim: int, k: int = 1, min_score: float = -2.0, rows: int = EXACT_ROWS) -> DataFrame:
-    """(id, match, score, rank): the k best rows of ``right`` (id, vec) for every row of ``left`` (id, vec), exactly."""
-    left, right = usable(left, "vec", dim), usable(right, "vec", dim)
+    Each pair of tiles gives the k best of its part of ``right`` for every row of its part of ``left``."""
+    left, right = usable(left, "vec", dim).select("id", "vec"), usable(right, "vec", dim).select("id", "vec")
     lt, rt = _id_type(left), _id_type(right)
-    found = None
-    for ids, mat in _blocks(right, dim, rows):
-
-        def run(batches, ids=ids, mat=mat):
-            names = np.array(ids, object)
-            for b in batches:
-                for a in range(0, b.num_rows, BLOCK):
-                    part = b.slice(a, BLOCK)
-                    if not part.num_rows or not len(ids):
-                        continue
-                    x = unit_rows(part.column(1).flatten().to_numpy(zero_copy_only=False), dim)
-                    s = np.round(x @ mat.T, 12)
-                    m = min(k, s.shape[1])
-                    # columns are in order of id, so a stable sort gives the smallest id of equal cosines
-                    o = np.argsort(-s, 1, kind="stable")[:, :m] if m > 1 else np.argmax(s, 1)[:, None]
-                    v = np.take_along_axis(s, o, 1)
-                    ok = v >= min_score
-                    own = np.repeat(np.array(part.column(0).to_pylist(), object), ok.sum(1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own.tolist(), _arrow(lt)), pa.array(names[o[ok]].tolist(), _arrow(rt)), pa.array(v[ok])], names=["id", "match", "score"]
-                    )
-
-        one = left.select("id", "vec").mapInArrow(run, f"id {lt}, match {rt}, score double")
-        found = one if found is None else found.unionByName(one)
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    nl, nr = left.count(), right.count()
+    a, b = _tile_count(nl, dim, rows, cores), _tile_count(nr, dim, rows, 1)
+    parts = min(a * b, MOST_PARTS)
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:
+        if not l.num_rows or not r.num_rows:
+            return out_type.empty_table()
+        r = r.sort_by("id")
+        x, y = _vectors(l, dim), _vectors(r, dim)
+        li, rj, sc = [], [], []
+        for p in range(0, len(x), TILE[0]):
+            bi = np.zeros(0, np.int64)
+            bj, bv = bi, np.zeros(0)
+            for q in range(0, len(y), TILE[1]):
+                v = np.round(x[p : p + TILE[0]] @ y[q : q + TILE[1]].T, 12)
+                i, j = _best(v, k)
+                s = v[i, j]
+                ok = s >= min_score
+                bi, bj, bv = np.concatenate([bi, i[ok]]), np.concatenate([bj, j[ok] + q]), np.concatenate([bv, s[ok]])
+                if q:
+                    o = np.lexsort((bj, -bv, bi))
+                    bi, bj, bv = bi[o], bj[o], bv[o]
+                    keep = np.arange(len(bi)) - np.searchsorted(bi, bi) < k
+                    bi, bj, bv = bi[keep], bj[keep], bv[keep]
+            li.append(bi + p), rj.append(bj), sc.append(bv)
+        i, j = np.concatenate(li), np.concatenate(rj)
+        return pa.table([l.column("id").take(pa.array(i)), r.column("id").take(pa.array(j)), pa.array(np.concatenate(sc))], schema=out_type)
+
+    out_type = pa.schema([("id", _arrow(lt)), ("match", _arrow(rt)), ("score", pa.float64())])
+    l = left.withColumn("_l", F.pmod(F.xxhash64("id"), F.lit(a)).cast("int")).withColumn("_r", F.explode(_numbers(b))).repartition(parts, "_l", "_r")
+    r = right.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("_l", F.explode(_numbers(a))).select("id", "vec", "_l", "_r").repartition(parts, "_l", "_r")
+    found = l.groupBy("_l", "_r").cogroup(r.groupBy("_l", "_r")).applyInArrow(run, f"id {lt}, match {rt}, score double")
     w = W.partitionBy("id").orderBy(F.col("score").desc(), "match")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def neighbour_pairs(df: DataFrame, dim: int, k: int = 20, min_score: float = 0.0) -> DataFrame:
+    """(a, b, score) with a < b: each row with its k nearest other rows from ``min_score`` on, every pair once."""
+    d = df.select("id", "vec")
+    n = nearest(d, d, dim, k + 1, min_score).filter("id <> match")
+    n = n.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.col("score").desc(), "match"))).filter(F.col("rank") <= k)
+    return n.select(F.least("id", "match").alias("a"), F.greatest("id", "match").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """The k pairs of highest score, equal ones by (a, b)."""
+    return pairs.orderBy(F.col("score").desc(), "a", "b").limit(k)
+
+
 def _above(x: np.ndarray, y: np.ndarray, min_score: float):
     """(i, j, score) of the rows of ``x`` and ``y`` with cosine from ``min_score`` on, tile by tile.
 
@@ -124,44 +167,13 @@ def _above(x: np.ndarray, y: np.ndarray, min_score: float):
             yield i[ok] + p, j[ok] + q, v[ok]
 
 
-def pairs_exact(df: DataFrame, dim: int, min_score: float, rows: int = EXACT_ROWS) -> DataFrame:
-    """(a, b, score) with a < b of all pairs of (id, vec) with cosine from ``min_score`` on.
-
-    More than ``rows`` rows are written once and taken in blocks: each block meets itself and the later ones, and its
-    pairs are written before the next block travels, so the driver holds one block at a time."""
+def pairs_exact(df: DataFrame, dim: int, min_score: float, rows: int | None = None) -> DataFrame:
+    """(a, b, score) with a < b of all pairs of (id, vec) with cosine from ``min_score`` on."""
     df = usable(df, "vec", dim).select("id", "vec")
-    kind = _id_type(df)
     n = df.count()
-    parts = max(1, -(-n // rows) + (n > rows))
-    s = Scratch(df.sparkSession, "pairs")
-    if parts > 1:
-        df, _ = s.cut(df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")))
-    else:
-        df = df.withColumn("part", F.lit(0))
-    found = None
-    for at in range(parts):
-        ids, mat = _matrix(df.filter(F.col("part") == at), dim)
-
-        def run(batches, at=at, ids=ids, mat=mat):
-            names = np.array(ids, object)
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                own, part = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy()
-                x = unit_rows(b.column(1).flatten().to_numpy(zero_copy_only=False), dim)
-                for i, j, v in _above(x, mat, min_score):
-                    l, r = own[i], names[j]
-                    keep = (part[i] != at) | (l < r).astype(bool)
-                    l, r, v = l[keep], r[keep], v[keep]
-                    swap = (l > r).astype(bool)
-                    l, r = np.where(swap, r, l), np.where(swap, l, r)
-                    yield pa.RecordBatch.from_arrays([pa.array(l.tolist(), _arrow(kind)), pa.array(r.tolist(), _arrow(kind)), pa.array(v)], names=["a", "b", "score"])
-
-        one = df.filter(F.col("part") >= at).select("id", "vec", "part").mapInArrow(run, f"a {kind}, b {kind}, score double")
-        if parts > 1:
-            one, _ = s.cut(one)
-        found = one if found is None else found.unionByName(one)
-    return found
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tiles = max(_tile_count(n, dim, rows, 1), min(math.isqrt(2 * cores), n // SPREAD_ROWS))
+    return _compared(df.withColumn("tiles", F.lit(tiles)), [], dim, min_score, tiles * (tiles + 1) // 2)
 
 
 def _cells(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFrame:
@@ -180,53 +192,77 @@ def _cells(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFr
     return df.select("id", F.col("vec").cast("array<double>")).mapInArrow(run, f"id {_id_type(df)}, vec array<double>, cell bigint")
 
 
-def pairs_approximate(spark: SparkSession, df: DataFrame, dim: int, min_score: float, tables: int = 24, bits: int | None = None, cell: int = CELL, seed: int = 3) -> DataFrame:
-    """(a, b, score) as ``pairs_exact`` but only of pairs that share a cell; recall grows with ``tables``, and falls with
-    ``bits``, by default the logarithm of the rows.
+def plan_cells(n: int, min_score: float, recall: float) -> tuple[int, int]:
+    """(bits, tables) of least work with which a pair at ``min_score`` shares some cell with probability ``recall``.
+
+    A plane parts a pair with the probability of its angle over pi, so both share a cell of ``bits`` planes with
+    ``p ** bits``; tables are added until the chance to miss all of them is below ``1 - recall``. Pairs of higher cosine
+    are found more surely."""
+    p = 1 - math.acos(max(-1.0, min(1.0, min_score))) / math.pi
+    best = None
+    for bits in range(1, 33):
+        share = p**bits
+        if share >= 1:
+            return 1, 1
+        tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-share)))
+        work = tables * (40.0 * n + n * n / 2.0**bits)  # a row's cells and their shuffle, against products
+        if best is None or work < best[0]:
+            best = work, bits, tables
+    return best[1], best[2]
+
+
+def pairs_approximate(spark: SparkSession, df: DataFrame, dim: int, min_score: float, recall: float = 0.95, tables: int | None = None, bits: int | None = None, cell: int = CELL, seed: int = 3) -> DataFrame:
+    """(a, b, score) as ``pairs_exact``, of all pairs each with probability ``recall`` at least, at every size (see ``plan_cells``).
 
     A cell is compared in tiles of ``cell`` rows, so no pair of a cell is left out and no task holds more than two tiles."""
     df = usable(df, "vec", dim)
-    if bits is None:
-        bits = max(1, int(np.ceil(np.log2(max(2.0, df.count() / 200.0)))))
+    if bits is None or tables is None:
+        bits, tables = plan_cells(df.count(), min_score, recall)
     c, _ = Scratch(spark, "cells").cut(_cells(df, dim, tables, bits, seed))
     return _tiled(c.select("cell", "id", "vec"), ["cell"], dim, min_score, cell).select("a", "b", "score").dropDuplicates(["a", "b"])
 
 
 def _tiled(c: DataFrame, keys: list[str], dim: int, min_score: float, cell: int) -> DataFrame:
-    """(keys, a, b, score) of the pairs within each group of (keys, id, vec), compared in tiles of about ``cell`` rows.
+    """(keys, a, b, score) of the pairs within each group of (keys, id, vec), compared in tiles of about ``cell`` rows."""
+    n = c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("tiles"))
+    return _compared(c.join(n, keys), keys, dim, min_score)
+
+
+def _compared(c: DataFrame, keys: list[str], dim: int, min_score: float, parts: int | None = None) -> DataFrame:
+    """(keys, a, b, score) of the pairs within each group of (keys, id, vec, tiles), which is split into ``tiles`` tiles.
 
     Every tile meets every tile of its group once, as a group of its own of at most two tiles."""
     kind = _id_type(c)
-    n = c.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("tiles"))
-    c = c.join(n, keys).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles").cast("bigint")).cast("int"))
+    c = c.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles").cast("bigint")).cast("int"))
     c = c.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    c = c.select(*keys, F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", F.col("vec").cast("array<double>").alias("vec"))
+    c = c.select(*keys, F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "id", "vec")
     ends = [T.StructField(x, c.schema["id"].dataType) for x in ("a", "b")]
     out = T.StructType([T.StructField(k, c.schema[k].dataType) for k in keys] + ends + [T.StructField("score", T.DoubleType())])
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids = np.array(t.column("id").to_pylist(), object)
-        x = unit_rows(np.concatenate([k.flatten().to_numpy(zero_copy_only=False) for k in t.column("vec").chunks]), dim)
+        x = _vectors(t, dim)
         side = t.column("tile").to_numpy()
         lo, hi = key[-2].as_py(), key[-1].as_py()
         p, q = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        v = np.round(x[p] @ x[q].T, 12)
-        i, j = np.nonzero(v >= min_score)
-        a, b = ids[p[i]], ids[q[j]]
-        keep = a < b if lo == hi else a != b
-        a, b, v = a[keep], b[keep], v[i, j][keep]
-        swap = a > b
+        found = [(ids[p[i]], ids[q[j]], v) for i, j, v in _above(x[p], x[q], min_score)] if len(p) and len(q) else []
+        a, b, v = (np.concatenate(y) for y in zip(*found)) if found else (np.zeros(0, object), np.zeros(0, object), np.zeros(0))
+        keep = (a < b if lo == hi else a != b).astype(bool)
+        a, b, v = a[keep], b[keep], v[keep]
+        swap = (a > b).astype(bool)
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         own = [pa.array([k.as_py()] * len(a), t.schema.field(name).type) for k, name in zip(key, keys)]
         return pa.table([*own, pa.array(a.tolist(), _arrow(kind)), pa.array(b.tolist(), _arrow(kind)), pa.array(v, pa.float64())], names=[*keys, "a", "b", "score"])
 
+    if parts is not None:
+        c = c.repartition(min(parts, MOST_PARTS), *keys, "lo", "hi")
     return c.groupBy(*keys, "lo", "hi").applyInArrow(run, out)
 
 
-def pairs(spark: SparkSession, df: DataFrame, dim: int, min_score: float, rows: int = EXACT_ROWS) -> DataFrame:
-    """All pairs above a cosine, exactly at every size, in blocks of ``rows`` rows."""
-    return pairs_exact(df, dim, min_score, rows)
+def pairs(spark: SparkSession, df: DataFrame, dim: int, min_score: float, recall: float | None = None, rows: int | None = None) -> DataFrame:
+    """All pairs above a cosine, exactly at every size; with ``recall`` each of them with that probability at least."""
+    return pairs_exact(df, dim, min_score, rows) if recall is None else pairs_approximate(spark, df, dim, min_score, recall)
 
 
 def pairs_within(df: DataFrame, keys: list[str], dim: int, min_score: float, small: int = 200, cell: int = CELL) -> DataFrame:

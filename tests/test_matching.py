@@ -60,10 +60,36 @@ def test_bridges_equal_loop(spark):
         g = S.nearest(ps.select(F.col("pair").alias("id"), "vec"), bridges, 6, k)
         return g.select(F.col("id").alias("pair"), F.col("match").alias("bridge"), "score", F.col("rank").alias("pref"))
 
-    for first, in_task in ((2, None), (50, None), (50, 0)):
+    for first, in_task in ((2, None), (2, 0), (50, None), (50, 0)):
         assert {x.pair: x.bridge for x in M.assign_bridges(spark, pairs, near, 10, first, in_task).collect()} == exp
 
 
+def test_many_more_pairs_than_bridges(spark):
+    rng = np.random.default_rng(5)
+    c, b = rng.standard_normal((300, 4)), rng.standard_normal((60, 4))
+    c, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (c, b))
+    order = rng.permutation(300)
+    rank = {int(p): int(r) for r, p in enumerate(order)}
+    free, exp = set(range(60)), {}
+    for p in order[:60]:
+        j = max(free, key=lambda j: (round(float(c[p] @ b[j]), 12), -j))
+        free.discard(j)
+        exp[f"p{p:04d}"] = f"b{j:04d}"
+    rows = spark.createDataFrame([(f"p{p:04d}", [float(v) for v in c[p]], rank[p]) for p in range(300)], "pair STRING, vec ARRAY<DOUBLE>, r INT")
+    pairs, bridges, written = M.ranked(rows, F.col("r")), vecs(spark, b, "b"), []
+
+    def near(ps, k):
+        g = S.nearest(ps.select(F.col("pair").alias("id"), "vec"), bridges, 4, k)
+        g = g.select(F.col("id").alias("pair"), F.col("match").alias("bridge"), "score", F.col("rank").alias("pref"))
+        written.append(ps.count() * k)
+        return g
+
+    for first, in_task in ((5, None), (5, 0)):
+        written.clear()
+        assert {x.pair: x.bridge for x in M.assign_bridges(spark, pairs, near, 60, first, in_task).collect()} == exp
+        assert written[0] == 60 * 5 and sum(written[1:]) <= 60 * 60
+
+
 def test_joins_equal_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
@@ -78,6 +104,14 @@ def test_joins_equal_numpy(spark):
     assert all(near[f"v{i:04d}"] == f"v{100 + int(np.argmax(np.round(sim[i, 100:], 12))):04d}" for i in range(100))
     hi = {(a, b) for a, b in exp if sim[int(a[1:]), int(b[1:])] >= 0.7}
     got = {(r.a, r.b) for r in S.pairs_approximate(spark, d, 16, 0.7, tables=40, bits=3, cell=30).collect()}
+    knn = {}
+    for i in range(300):
+        for j in np.argsort(-np.round(sim[i], 12), kind="stable")[:6]:
+            if i != j:
+                knn.setdefault(i, []).append(int(j))
+    exp = {(f"v{min(i, j):04d}", f"v{max(i, j):04d}") for i, js in knn.items() for j in js[:5]}
+    assert {(r.a, r.b) for r in S.neighbour_pairs(d, 16, 5, -1.0).collect()} == exp
+    assert [(r.a, r.b) for r in S.top_pairs(S.pairs_exact(d, 16, 0.5), 2).collect()][0] == ("v0003", "v0007")
     assert got <= hi and len(got) >= 0.9 * len(hi)
     assert S.top_k(d, x[5].tolist(), 3).first().id == "v0005"
 
@@ -92,6 +126,20 @@ def test_pairs_are_exact_beyond_one_block(spark):
     assert all(abs(score[f"v{a:04d}", f"v{b:04d}"] - u[a] @ u[b]) < 1e-11 for a, b in zip(i, j))
 
 
+def test_recall_holds_at_every_size_and_threshold(spark):
+    rng = np.random.default_rng(11)
+    for n, least, noise in ((400, 0.3, 1.4), (1600, 0.3, 1.4), (1600, 0.72, 0.6), (3200, 0.72, 0.6), (1600, 0.9, 0.3)):
+        c = rng.standard_normal((n // 8, 24))
+        x = np.repeat(c, 8, 0) + noise * rng.standard_normal((n, 24))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = np.nonzero(np.triu(u @ u.T >= least, 1))
+        exp = {(f"v{a:04d}", f"v{b:04d}") for a, b in zip(i, j)}
+        got = {(r.a, r.b) for r in S.pairs(spark, vecs(spark, x), 24, least, recall=0.95).collect()}
+        assert got <= exp and len(got) >= 0.9 * len(exp) > 500, (n, least, len(got), len(exp))
+    for bits, tables in (S.plan_cells(n, c, 0.95) for n in (10**4, 10**6, 10**8) for c in (0.3, 0.72, 0.9)):
+        assert bits >= 1 and tables >= 1
+
+
 def test_hot_cell_of_copies(spark):
     x = np.vstack([np.tile([1.0, 0.0, 0.0], (90, 1)), np.tile([0.0, 1.0, 0.0], (5, 1))])
     got = S.pairs_approximate(spark, vecs(spark, x), 3, 0.99, tables=2, bits=1, cell=20)
