@@ -124,7 +124,7 @@ def mapped(c: Column, kind: str = "word") -> Column:
         F.split(v, "(?<=[ -])|(?=[ -])"),
         lambda t: F.when(_foreign(_translate(t, look_alikes())), t).otherwise(_translate(t, look_alikes())),
     )
-    return F.when(_foreign(v) | v.rlike("[ɑɡ]"), F.array_join(latin, "")).otherwise(v)
+    return F.when(c.rlike("^[ -~]*$"), c).otherwise(F.when(_foreign(v) | v.rlike("[ɑɡ]"), F.array_join(latin, "")).otherwise(v))
 
 
 def _foreign(c: Column) -> Column:

@@ -91,16 +91,14 @@ def _separate(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None
         moved = moved.select("id", "jump", (F.col("size") + F.coalesce("add", F.lit(0))).alias("size"))
         log = gives.select("id", F.lit(None).cast("string").alias("jump"), F.col("add").alias("size"))
         t, c = s.cut(moved.unionByName(log), active=F.count("jump"))
-        given.append(t.filter(F.col("jump").isNull()).select("id", F.lit(None).cast("string").alias("parent"), "size", F.lit(False).alias("loop")))
+        given.append(t.filter(F.col("jump").isNull()).select("id", "size"))
         act_at, before, active = t.filter(F.col("jump").isNotNull()), active, c["active"]
         if not active or active == before:
             break
-    own = nodes.select("id", "parent", F.lit(1).cast("bigint").alias("size"), F.lit(False).alias("loop"))
-    rows = [own, *given]
-    if active:
-        rows.append(act_at.select("id", F.lit(None).cast("string").alias("parent"), "size", F.lit(True).alias("loop")))
-    tree = _union(rows).groupBy("id").agg(F.max("parent").alias("parent"), F.sum("size").alias("size"), F.max("loop").alias("loop"))
-    tree, c = s.cut(tree.filter(~F.col("loop")).select("id", "parent", "size"), n=F.count(F.lit(1)))
+    sizes = _union(given).groupBy("id").agg(F.sum("size").alias("size"))
+    tree = nodes.join(act_at.select("id"), "id", "left_anti") if active else nodes
+    tree = tree.join(sizes, "id", "left").select("id", "parent", (F.coalesce("size", F.lit(0)) + 1).alias("size"))
+    tree, c = s.cut(tree, n=F.count(F.lit(1)))
     return tree, (act_at.select("id", "jump") if active else None), c["n"]
 
 
@@ -352,9 +350,9 @@ def child_edges(states: DataFrame) -> DataFrame:
 
 def graph_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``p5_found``: root and depth of every document upwards, and the documents on loops of child pointers."""
-    docs = table(spark, sf_dir, "graph_docs")
-    up = hierarchy(spark, latest_states(docs, "parent_edge_id").withColumnRenamed("parent_edge_id", "parent"))
-    down = loop_members(spark, child_edges(latest_states(docs, "cm1_id", "cm2_id")))
+    states, _ = Scratch(spark, "states").cut(latest_states(table(spark, sf_dir, "graph_docs"), "parent_edge_id", "cm1_id", "cm2_id"))
+    up = hierarchy(spark, states.select("id", F.col("parent_edge_id").alias("parent")))
+    down = loop_members(spark, child_edges(states))
     return up.select(F.lit("up").alias("link"), "id", "root_id", "depth").unionByName(
         down.select(F.lit("down").alias("link"), "id", "root_id", F.lit(-1).alias("depth"))
     )

@@ -7,21 +7,26 @@ they are unique, need no coordination between tasks, and a child's key is an ext
 Defined results: null, empty, damaged and non-object lines give no rows; a JSON string that holds an object is
 unwrapped; blank and invisible characters at either end are ignored; a lone value where an array is meant is element 0;
 null elements give no row but count in positions; with repeated keys the last one holds; a bare value where an object
-is meant becomes the field named in ``bare``. Extra columns of the input are not read.
+is meant becomes the field named in ``bare``; records may be nested to any depth. Extra columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.visual import tables
+from nodeloom.runtime import Scratch, table
 
+#: Levels of nesting whose values keep their structure in a record nested beyond the interpreter's stack.
+DEEP = 100
 #: Blank and invisible characters, which do not count at the ends of a line.
 _ENDS = " " + "".join(c for c, to in tables()[0].items() if to in ("", " "))
 
@@ -54,6 +59,70 @@ def _constant(x: str):
     raise ValueError(x)
 
 
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _deep(text: str):
+    """``json.loads`` with a stack of its own, for texts nested beyond the interpreter's; None if damaged. What lies deeper
+    than ``DEEP`` levels is kept as its JSON text."""
+    stack: list[tuple] = []  # (container, its beginning), with the key in waiting
+    keys: list[str | None] = []
+    i = _BLANK.match(text).end()
+    try:
+        while True:
+            c, value, opened = text[i], None, False
+            if c in "{[":
+                stack.append(({} if c == "{" else [], i))
+                keys.append(None)
+                i = _BLANK.match(text, i + 1).end()
+                opened = text[i] not in "}]"
+                if not opened and (text[i] == "}") != (c == "{"):
+                    return None
+            elif c == '"':
+                value, i = scanstring(text, i + 1, True)
+            elif (m := _NUMBER.match(text, i)) is not None:
+                value, i = (float if m[1] or m[2] else int)(m[0]), m.end()
+            else:
+                word = next((w for w in _WORDS if text.startswith(w, i)), None)
+                if word is None:
+                    return None
+                value, i = _WORDS[word], i + len(word)
+            closing = not opened and c in "{["
+            while not opened:  # a value is complete: close what ends here, else go on to the next one
+                if closing:
+                    value, start = stack.pop()
+                    keys.pop()
+                    i += 1
+                    if len(stack) >= DEEP:
+                        value = text[start:i]
+                i = _BLANK.match(text, i).end()
+                if not stack:
+                    return value if i == len(text) else None
+                top = stack[-1][0]
+                if isinstance(top, dict):
+                    top[keys[-1]] = value
+                else:
+                    top.append(value)
+                closing = text[i] == ("}" if isinstance(top, dict) else "]")
+                if not closing:
+                    if text[i] != ",":
+                        return None
+                    i = _BLANK.match(text, i + 1).end()
+                    break
+            if isinstance(stack[-1][0], dict):
+                if text[i] != '"':
+                    return None
+                keys[-1], i = scanstring(text, i + 1, True)
+                i = _BLANK.match(text, i).end()
+                if text[i] != ":":
+                    return None
+                i = _BLANK.match(text, i + 1).end()
+    except (IndexError, ValueError):
+        return None
+
+
 def read_record(line: str | None) -> dict | None:
     """The object a line holds, or None."""
     if line is None:
@@ -62,8 +131,10 @@ def read_record(line: str | None) -> dict | None:
     for _ in range(2):
         try:
             got = json.loads(text, parse_constant=_constant)
-        except (ValueError, RecursionError):
+        except ValueError:
             return None
+        except RecursionError:
+            got = _deep(text)
         if isinstance(got, dict):
             return got
         if not isinstance(got, str):
@@ -156,17 +227,42 @@ def write_tables(tagged: DataFrame, path: str) -> None:
 
 
 def read_table(spark, path: str, tag: str, schema: str) -> DataFrame:
-    """One flat table of ``write_tables`` with its typed columns; only that table's partition is read."""
+    """One flat table of ``write_tables``: keys, position ``at`` and the parent's ``parent_at``, main value and the typed
+    columns of ``schema``; only that table's partition is read."""
     t = spark.read.schema(TAGGED).parquet(path).filter(F.col("tbl") == tag)
-    return t.withColumn("f", F.from_json("payload", schema)).select("pk", "parent_pk", "root", "pos", "value", "f.*")
+    own = ["pk", "parent_pk", "root", F.col("pos").alias("at"), F.col("parent_pos").alias("parent_at"), "value"]
+    return t.withColumn("f", F.from_json("payload", schema)).select(*own, "f.*") if schema else t.select(*own)
+
+
+#: The flat tables of a dictionary record and the typed columns of each beside its keys, positions and main value.
+FLAT_TABLES = {
+    "record": "word STRING, pos STRING, lang_code STRING, etymology_text STRING", "sense": "id STRING, tags ARRAY<STRING>, topics ARRAY<STRING>", "gloss": "",
+    "example": "text STRING", "sound": "ipa STRING, tags ARRAY<STRING>", "form": "form STRING, tags ARRAY<STRING>", "synonym": "word STRING", "sense_synonym": "word STRING",
+}
+
+
+def flat_tables(spark: SparkSession, lines: DataFrame, relation_value: str = "_dis1") -> dict[str, DataFrame]:
+    """The related flat tables of dictionary lines: visited and written once, partitioned by table, and read by schema."""
+    path = Scratch(spark, "nested").root
+    write_tables(tagged_rows(lines, dictionary_spec(relation_value, ("synonyms",))), path)
+    return {tag: read_table(spark, path, tag, schema) for tag, schema in FLAT_TABLES.items()}
 
 
 def nested_values(lines: DataFrame) -> DataFrame:
     """``p1_found``: the place of every gloss, example, sound and synonym weight that is neither null nor blank."""
-    t = tagged_rows(lines, dictionary_spec("_dis1", ("synonyms",)), tags=("gloss", "example", "sound", "synonym"), payload=False)
-    inner: Column = F.col("tbl").isin("gloss", "example")
-    return t.filter(F.col("value").isNotNull()).select(
-        F.col("root").alias("line_id"), "tbl",
-        F.when(inner, F.col("parent_pos")).otherwise(F.col("pos")).alias("i"),
-        F.when(inner, F.col("pos")).otherwise(F.lit(-1)).cast("int").alias("j"),
-    )
+    t, out = flat_tables(lines.sparkSession, lines), None
+    for tag in ("gloss", "example", "sound", "synonym"):
+        inner = tag in ("gloss", "example")
+        at = [F.col("parent_at"), F.col("at")] if inner else [F.col("at"), F.lit(-1)]
+        one = t[tag].filter(F.col("value").isNotNull()).select(F.col("root").alias("line_id"), F.lit(tag).alias("tbl"), at[0].cast("int").alias("i"), at[1].cast("int").alias("j"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sense_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p1_glosses``: every gloss with its sense and record, found by following the parents' keys."""
+    t = flat_tables(spark, table(spark, sf_dir, "kaikki_lines"))
+    s = t["sense"].select(F.col("pk").alias("sense_pk"), F.col("parent_pk").alias("record_pk"), F.col("id").alias("sense_id"), F.col("at").alias("i"))
+    r = t["record"].select(F.col("pk").alias("record_pk"), F.col("root").alias("line_id"), "word")
+    g = t["gloss"].select(F.col("parent_pk").alias("sense_pk"), F.col("at").alias("j"), F.col("value").alias("gloss"))
+    return g.join(s, "sense_pk").join(r, "record_pk").select("line_id", "i", "j", "sense_id", "word", "gloss")

@@ -9,6 +9,7 @@ from nodeloom.runtime import table
 def queries() -> dict:
     return {
         "p1_found": lambda spark, d: nested.nested_values(table(spark, d, "kaikki_lines")),
+        "p1_glosses": nested.sense_glosses,
         "p4_found": references.missing_words,
         "p4_report": references.orphan_report,
         "p5_found": hierarchy.graph_hierarchy,

@@ -16,6 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of stored input that one shuffle partition is meant for, and the most partitions.
+SHUFFLE_BYTES, MOST_PARTITIONS = 16 << 20, 100_000
+_SIZED: dict[str, str] = {}
+
+
+def size_shuffles(spark: SparkSession, data_dir: str) -> None:
+    """Set the number of shuffle partitions by the bytes of the data and the cores, unless the user has set one.
+
+    Small data then pay for few files a task, large data get partitions that fit an executor; adaptive execution may
+    still join small ones."""
+    key, app = "spark.sql.shuffle.partitions", spark.sparkContext.applicationId
+    now = spark.conf.get(key)
+    if now != _SIZED.get(app) and (spark.sparkContext.getConf().contains(key) or now != "200"):
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(data_dir)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    n = str(min(MOST_PARTITIONS, max(2 * spark.sparkContext.defaultParallelism, -(-size // SHUFFLE_BYTES))))
+    spark.conf.set(key, n)
+    _SIZED[app] = n
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``. Only a local session may do without: it gets a folder
     of its own, as all its tasks run on this machine; elsewhere a missing setting is an error."""

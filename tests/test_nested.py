@@ -23,6 +23,40 @@ def test_tables_keep_links(spark, tmp_path):
     assert N.read_table(spark, p, "sense_synonym", "word STRING").first().word == "z" and N.read_table(spark, p, "form", "form STRING").first().form == "ws"
 
 
+def test_any_depth():
+    import random
+
+    deep = '{"sounds": [{"ipa": "x", "y": ' + "[" * 200_000 + "]" * 200_000 + '}], "senses": [{"glosses": ["g"]}]}'
+    r = N.read_record(deep)
+    assert r["sounds"][0]["ipa"] == "x" and r["senses"] == [{"glosses": ["g"]}] and N.read_record(deep[:-1]) is None and N.read_record(deep + "x") is None
+    rng = random.Random(3)
+
+    def make(d):
+        k = rng.randrange(7 if d else 5)
+        if k == 5:
+            return [make(d - 1) for _ in range(rng.randrange(3))]
+        if k == 6:
+            return {f"k{i}": make(d - 1) for i in range(rng.randrange(3))}
+        return [None, True, -1.5e3, rng.randrange(99), 'q"\\ü'][k]
+
+    for _ in range(400):
+        x = make(4)
+        t = json.dumps(x, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        assert N._deep(t) == x
+        cut = t[: rng.randrange(len(t))] + rng.choice(["", "]", ",", '"', "}"])
+        try:
+            exp = json.loads(cut)
+        except ValueError:
+            exp = None
+        assert N._deep(cut) == exp, cut
+
+
+def test_gloss_links(spark, tmp_path):
+    d = spark.createDataFrame([(1, '{"word":"w","senses":[{"id":"s1","glosses":["g",null,"h"]},{"glosses":"k"}]}')], "line_id BIGINT, line STRING")
+    d.write.parquet(str(tmp_path / "kaikki_lines.parquet"))
+    assert sorted((r.i, r.j, r.sense_id, r.word, r.gloss) for r in N.sense_glosses(spark, str(tmp_path)).collect()) == [(0, 0, "s1", "w", "g"), (0, 2, "s1", "w", "h"), (1, 0, None, "w", "k")]
+
+
 def test_surrogates_and_long(spark):
     d = spark.createDataFrame([(1, '{"sounds":[{"ipa":"\\ud800x"},{"ipa":"' + "y" * 100_000 + '"}]}'), (2, '{"sounds":[{"ipa":1' + "0" * 6000 + "}]}")], "line_id BIGINT, line STRING")
     assert N.nested_values(d).count() == 3

@@ -27,3 +27,23 @@ def test_cascade_to_fixpoint(spark):
     got = cascade(spark, {"p": p, "s": own}, [Reference("s", "p", s.filter("field = 'w'")), Reference("s", "s", s.filter("field = 'up'")), Reference("r", "s", leaf)])
     k = {(r.src_table, r.row_id): (r.kind, r["round"]) for r in got.collect()}
     assert k == {("s", 1): ("direct", 0), ("s", 3): ("inherited", 1), ("s", 4): ("inherited", 2), ("r", 1): ("inherited", 3), ("r", 3): ("direct", 0)}
+
+
+def test_a_key_with_a_sound_row_stands(spark):
+    t = dt(2024, 1, 1)
+    p = spark.createDataFrame([("k", t)], "key STRING, since TIMESTAMP")
+    s = refs(spark, [("s", 1, "twice", "w", 0, "gone", t), ("s", 2, "twice", "w", 0, "k", t), ("s", 3, "both", "w", 0, "gone", t), ("s", 4, "both", "w", 0, "gone", t), ("s", 5, "free", "w", 0, "gone", t)])
+    own = spark.createDataFrame([("twice", t), ("twice", t), ("both", t), ("both", t), ("free", t), ("free", None)], "key STRING, since TIMESTAMP")
+    leaf = refs(spark, [("r", 1, None, "s", 0, "twice", t), ("r", 2, None, "s", 0, "both", t), ("r", 3, None, "s", 0, "free", t)])
+    got = cascade(spark, {"p": p, "s": own}, [Reference("s", "p", s), Reference("r", "s", leaf)])
+    assert sorted((r.src_table, r.row_id, r.kind) for r in got.collect()) == [("r", 2, "inherited"), ("s", 1, "direct"), ("s", 3, "direct"), ("s", 4, "direct"), ("s", 5, "direct")]
+
+
+def test_a_loop_of_references_ends(spark):
+    t = dt(2024, 1, 1)
+    p = spark.createDataFrame([("k", t)], "key STRING, since TIMESTAMP")
+    up = refs(spark, [("s", i, f"s{i}", "up", 0, f"s{(i + 1) % 4}", t) for i in range(4)])
+    word = refs(spark, [("s", 2, "s2", "w", 0, "gone", t)])
+    own = spark.createDataFrame([(f"s{i}", t) for i in range(4)], "key STRING, since TIMESTAMP")
+    got = cascade(spark, {"p": p, "s": own}, [Reference("s", "p", word), Reference("s", "s", up)])
+    assert sorted((r.row_id, r.field, r["round"]) for r in got.collect()) == [(0, "up", 2), (1, "up", 1), (2, "up", 4), (2, "w", 0), (3, "up", 3)]
