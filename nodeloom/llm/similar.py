@@ -1,15 +1,15 @@
 """The k most similar vectors for every query vector, over robust-pruned graphs of shards.
 
-All vectors are indexed: they are spread over tasks by the hash of their id, every ``SHARD`` of a task get one graph
-(``vamana``), and each query is answered by beam search in every shard. Tasks keep the k best over their shards, so what
-is shuffled to the final top k does not grow with the number of shards in a task. Cosines of the found pairs are exact.
-
-Up to ``BLOCK`` queries travel with the tasks and graphs are searched where they are built. More queries are taken in
-blocks of that size against the written index, whose shards are read again per block.
+All vectors are indexed: a hash of the id spreads them over shards of about ``SHARD`` vectors, every shard gets one graph
+(``vamana``) over its different vectors, and every query is answered by beam search in every shard. Queries are rows like
+any others: they are spread over tiles of ``TILE``, and a task searches the shards of a group for the queries of a tile and
+keeps the k best of each, so neither side is ever held by the driver and what is shuffled to the final top k is k rows for
+every query and group. One tile of queries is searched where the graphs are built; for more, the graphs are built once,
+written, and read by all tiles. Both ways, and any number of cores, give the same pairs. Their cosines are exact.
 
 Defined results: a vector without exactly ``dim`` finite numbers, or all zero, takes no part, nor does a null id; an id
-counts once (any one of its usable vectors); of equal cosines the smallest ids win; a query is never its own neighbour;
-with fewer than k other vectors all of them are given; extra columns are not read.
+counts once, with the smallest of its usable vectors; of equal cosines the smallest ids win; a query is never its own
+neighbour; with fewer than k other vectors all of them are given; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql.window import Window as W
 from nodeloom.llm.vamana import PrunedGraph
 from nodeloom.runtime import Scratch, table
 
-#: Vectors of one graph, width of query beams, and queries carried with the tasks (64 numbers: 2 MB).
-SHARD, SEARCH, BLOCK = 8192, 32, 8192
+#: Vectors of one graph, width of query beams, queries of one tile, and the most shards of a group.
+SHARD, SEARCH, TILE, GROUP = 8192, 48, 65_536, 16
 _PAIRS = "query STRING, neighbour STRING, cos DOUBLE"
 
 
@@ -38,7 +38,7 @@ def usable(v: Column, dim: int) -> Column:
 def distinct_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """(id, vec) of the usable vectors, one per id; copies collapse before the shuffle."""
     d = df.filter(F.col(key).isNotNull() & usable(F.col(vector), dim))
-    return d.groupBy(F.col(key).cast("string").alias("id")).agg(F.first(F.col(vector).cast("array<float>")).alias("vec"))
+    return d.groupBy(F.col(key).cast("string").alias("id")).agg(F.min(F.col(vector).cast("array<float>")).alias("vec"))
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -47,8 +47,14 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _vectors(column: pa.ListArray, dim: int) -> np.ndarray:
-    return _unit(column.flatten().to_numpy(zero_copy_only=False), dim)
+def _vectors(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, dim))
+    return _unit(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]), dim)
+
+
+def _texts(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), object)
 
 
 class _Shard:
@@ -97,104 +103,90 @@ def _best(ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.take_along_axis(ids, o, 1), np.take_along_axis(cos, o, 1)
 
 
-def _rows(query_ids: np.ndarray, ids: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
+def _answer(query_ids: np.ndarray, q: np.ndarray, shards, k: int, beam: int) -> pa.Table:
+    """The k best of each query over (shard, graph) pairs."""
+    best = None
+    for s, g in shards:
+        got = s.search(q, k, beam, g)
+        best = _best(*got, k) if best is None else _best(np.concatenate([best[0], got[0]], 1), np.concatenate([best[1], got[1]], 1), k)
+    if best is None:
+        best = np.full((len(q), 0), "", object), np.zeros((len(q), 0))
+    ids, cos = best
     ok = cos > -2
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(query_ids, ok.sum(1)), pa.string()), pa.array(ids[ok], pa.string()), pa.array(cos[ok], pa.float64())],
-        names=["query", "neighbour", "cos"],
-    )
-
-
-def _shards(batches, dim: int, size: int):
-    """The rows of a task as shards of ``size`` rows: (ids, unit vectors)."""
-    ids: list[np.ndarray] = []
-    mats: list[np.ndarray] = []
-    n = 0
-    for b in batches:
-        for a in range(0, b.num_rows, size):
-            part = b.slice(a, size)
-            ids.append(np.array(part.column(0).to_pylist(), object))
-            mats.append(_vectors(part.column(1), dim))
-            n += part.num_rows
-            if n >= size:
-                yield np.concatenate(ids), np.concatenate(mats)
-                ids, mats, n = [], [], 0
-    if n:
-        yield np.concatenate(ids), np.concatenate(mats)
-
-
-def _collect_queries(queries: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    t = queries.select("id", "vec").toArrow().combine_chunks()
-    if not t.num_rows:
-        return np.array([], object), np.zeros((0, dim))
-    ids = np.array(t.column(0).to_pylist(), object)
-    flat = pa.concat_arrays([c.flatten() for c in t.column(1).chunks]).to_numpy(zero_copy_only=False)
-    return ids, _unit(flat, dim)
-
-
-def _fused(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, dim: int, shard: int, beam: int) -> DataFrame:
-    def run(batches):
-        best = None
-        for ids, x in _shards(batches, dim, shard):
-            s = _Shard(ids, x)
-            got = s.search(q, k, beam, PrunedGraph(s.f))
-            best = got if best is None else _best(np.concatenate([best[0], got[0]], 1), np.concatenate([best[1], got[1]], 1), k)
-        if best is not None:
-            yield _rows(qids, *best)
-
-    return vectors.select("id", "vec").mapInArrow(run, _PAIRS)
-
-
-def build_index(spark: SparkSession, vectors: DataFrame, dim: int, shard: int = SHARD) -> DataFrame:
-    """The written index: (shard, at, id, vec, edges), a row per vector."""
-
-    def run(batches):
-        for ids, x in _shards(batches, dim, shard):
-            o = np.argsort(ids, kind="stable")
-            ids, f = ids[o], np.ascontiguousarray(x[o].astype(np.float32))
-            g = PrunedGraph(f)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[0]] * len(ids)), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, pa.string()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), dim).cast(pa.list_(pa.float32())),
-                 pa.FixedSizeListArray.from_arrays(pa.array(g.out.ravel()), g.slots).cast(pa.list_(pa.int32()))],
-                names=["shard", "at", "id", "vec", "edges"],
-            )
-
-    out = vectors.select("id", "vec").mapInArrow(run, "shard STRING, at INT, id STRING, vec ARRAY<FLOAT>, edges ARRAY<INT>")
-    return Scratch(spark, "vectors").cut(out)[0]
+    return pa.table({"query": pa.array(np.repeat(query_ids, ok.sum(1)), pa.string()), "neighbour": pa.array(ids[ok], pa.string()), "cos": pa.array(cos[ok], pa.float64())})
+
+
+def _parted(t: pa.Table):
+    """The rows of each shard of a group."""
+    shard = t.column("shard").to_numpy()
+    for x in np.unique(shard):
+        yield t.filter(pa.array(shard == x))
 
 
-def search_index(index: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, dim: int, beam: int = SEARCH) -> DataFrame:
-    """Beam search of one block of queries in every shard of a written index (a shard is one group of bounded size)."""
+def _sharded(vectors: DataFrame, shards: int, group: int) -> DataFrame:
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    return vectors.select("id", "vec", shard.alias("shard"), F.floor(shard / group).cast("int").alias("g"))
+
+
+def build_index(spark: SparkSession, vectors: DataFrame, dim: int, shards: int, group: int) -> DataFrame:
+    """The written index: (g, shard, at, vec, edges, ids), a row per different vector of a shard with the ids that share it."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("at").combine_chunks()
-        f = _vectors(t.column("vec").combine_chunks(), dim)
-        g = PrunedGraph.__new__(PrunedGraph)
-        g.x, g._seen = np.ascontiguousarray(f.astype(np.float32)), None
-        g.out = t.column("edges").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1)
-        g.start = int(np.argmax(g.x @ g.x.mean(0)))
-        at, _ = g.search(np.ascontiguousarray(q.astype(np.float32)), max(beam, k))
-        cos = np.matmul(f[np.maximum(at, 0)], q[:, :, None])[:, :, 0]
-        cos[at < 0] = -2.0
-        ids = np.where(at >= 0, np.array(t.column("id").to_pylist(), object)[np.maximum(at, 0)], "")
-        return pa.Table.from_batches([_rows(qids, *_best(ids, cos, k))])
+        out = []
+        for part in _parted(t):
+            s = _Shard(_texts(part.column("id")), _vectors(part.column("vec"), dim))
+            g = PrunedGraph(s.f)
+            ids = np.split(s.ids[s.members], np.cumsum(s.count)[:-1])
+            n, own = len(s.f), part.slice(0, 1)
+            out.append(pa.table({
+                "g": pa.array([own.column("g")[0].as_py()] * n, pa.int32()), "shard": pa.array([own.column("shard")[0].as_py()] * n, pa.int32()), "at": pa.array(np.arange(n, dtype=np.int32)),
+                "vec": pa.FixedSizeListArray.from_arrays(pa.array(s.f.ravel()), dim).cast(pa.list_(pa.float32())),
+                "edges": pa.FixedSizeListArray.from_arrays(pa.array(g.out.ravel()), g.slots).cast(pa.list_(pa.int32())),
+                "ids": pa.array([x.tolist() for x in ids], pa.list_(pa.string())),
+            }))
+        return pa.concat_tables(out)
+
+    out = _sharded(vectors, shards, group).groupBy("g").applyInArrow(run, "g INT, shard INT, at INT, vec ARRAY<FLOAT>, edges ARRAY<INT>, ids ARRAY<STRING>")
+    return Scratch(spark, "vectors").cut(out)[0]
+
 
-    return index.groupBy("shard").applyInArrow(run, _PAIRS)
+def _stored(t: pa.Table, dim: int):
+    for part in _parted(t):
+        part = part.sort_by("at").combine_chunks()
+        s = _Shard.__new__(_Shard)
+        s.f = np.ascontiguousarray(part.column("vec").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        s.x = _unit(s.f.ravel(), dim)
+        ids = part.column("ids").to_pylist()
+        s.count = np.array([len(x) for x in ids])
+        s.ids = np.array([y for x in ids for y in x], object)
+        s.members, s.begin = np.arange(len(s.ids)), np.cumsum(s.count) - s.count
+        yield s, PrunedGraph.read(s.f, part.column("edges").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(len(s.f), -1))
 
 
 def most_similar(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64,
-                 shard: int = SHARD, beam: int = SEARCH, block: int = BLOCK) -> DataFrame:
+                 shard: int = SHARD, beam: int = SEARCH, tile: int = TILE) -> DataFrame:
     """(query, neighbour, cos, rank) for (id, vec) frames with one row per id."""
-    n = queries.count()
-    if n <= block:
-        found = _fused(vectors, *_collect_queries(queries, dim), k + 1, dim, shard, beam)
+    vectors, c = Scratch(spark, "distinct").cut(vectors.select("id", "vec"), n=F.count(F.lit(1)))
+    tiles = max(1, -(-queries.count() // tile))
+    shards = max(1, -(-c["n"] // shard))
+    group = max(1, min(GROUP, shards // (2 * spark.sparkContext.defaultParallelism)))
+    groups = F.sequence(F.lit(0), F.lit((shards - 1) // group))
+    asked = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(groups).alias("g"))
+
+    def fused(v: pa.Table, q: pa.Table) -> pa.Table:
+        own = ((s, PrunedGraph(s.f)) for s in (_Shard(_texts(t.column("id")), _vectors(t.column("vec"), dim)) for t in _parted(v))) if q.num_rows else ()
+        return _answer(_texts(q.column("id")), _vectors(q.column("vec"), dim), own, k + 1, beam)
+
+    def stored(v: pa.Table, q: pa.Table) -> pa.Table:
+        return _answer(_texts(q.column("id")), _vectors(q.column("vec"), dim), _stored(v, dim) if q.num_rows else (), k + 1, beam)
+
+    parts = min(20_000, ((shards - 1) // group + 1) * tiles)
+    if tiles == 1:
+        left, keys, run = _sharded(vectors, shards, group), ["g"], fused
     else:
-        index, parts, found = build_index(spark, vectors, dim, shard), -(-n // (block // 2)), None
-        numbered = queries.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(parts)))
-        for p in range(parts):
-            one = search_index(index, *_collect_queries(numbered.filter(F.col("_p") == p), dim), k + 1, dim, beam)
-            found = one if found is None else found.unionByName(one)
+        index = build_index(spark, vectors, dim, shards, group)
+        left, keys, run = index.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))), ["g", "tile"], stored
+    found = left.repartition(parts, *keys).groupBy(*keys).cogroup(asked.repartition(parts, *keys).groupBy(*keys)).applyInArrow(run, _PAIRS)
     w = W.partitionBy("query").orderBy(F.col("cos").desc(), "neighbour")
     return found.filter("query != neighbour").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -3,14 +3,14 @@
 Construction inserts points in random order, in batches that double: a greedy beam search over the graph so far proposes
 neighbours, relaxed distance pruning keeps an edge only if no kept edge leads much nearer to its end (factor ``alpha``),
 and every kept edge is offered backwards, with the same pruning where a point has more than its share. Beam search from
-the medoid answers queries. Equal vectors are one point of the graph.
+the medoid answers queries. A graph should hold every vector once: callers collapse equal ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DEGREE, BEAM, ALPHA, BATCH = 24, 28, 1.08, 1024
+DEGREE, BEAM, ALPHA, BATCH = 32, 40, 1.08, 1024
 
 
 class PrunedGraph:
@@ -25,6 +25,14 @@ class PrunedGraph:
         self._seen: np.ndarray | None = None
         self._build(np.random.default_rng(seed))
 
+    @classmethod
+    def read(cls, x: np.ndarray, out: np.ndarray) -> PrunedGraph:
+        """A graph from its stored edges, for searching."""
+        g = cls.__new__(cls)
+        g.x, g.out, g._seen = x, out, None
+        g.start = int(np.argmax(x @ x.mean(0))) if len(x) else -1
+        return g
+
     # -- search ----------------------------------------------------------------------------------------------------
 
     def search(self, q: np.ndarray, beam: int, width: int = 3) -> tuple[np.ndarray, np.ndarray]:
