@@ -166,9 +166,8 @@ def _stored(t: pa.Table, dim: int):
 def most_similar(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64,
                  shard: int = SHARD, beam: int = SEARCH, tile: int = TILE) -> DataFrame:
     """(query, neighbour, cos, rank) for (id, vec) frames with one row per id."""
-    vectors, c = Scratch(spark, "distinct").cut(vectors.select("id", "vec"), n=F.count(F.lit(1)))
     tiles = max(1, -(-queries.count() // tile))
-    shards = max(1, -(-c["n"] // shard))
+    shards = max(1, -(-vectors.count() // shard))
     group = max(1, min(GROUP, shards // (2 * spark.sparkContext.defaultParallelism)))
     groups = F.sequence(F.lit(0), F.lit((shards - 1) // group))
     asked = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(groups).alias("g"))
@@ -193,9 +192,8 @@ def most_similar(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k:
 
 def similar_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``p3_found``: pairs of a probed sense and one of its ten nearest other senses."""
-    senses = table(spark, sf_dir, "parsed_senses")
-    probes = table(spark, sf_dir, "knn_probes").select("sense_id").distinct()
-    asked = distinct_vectors(senses.join(probes, "sense_id", "left_semi"), "sense_id", "vector", 64)
-    near = most_similar(spark, distinct_vectors(senses, "sense_id", "vector", 64), asked)
+    probes = table(spark, sf_dir, "knn_probes").select(F.col("sense_id").alias("id")).distinct()
+    vectors, _ = Scratch(spark, "distinct").cut(distinct_vectors(table(spark, sf_dir, "parsed_senses"), "sense_id", "vector", 64))
+    near = most_similar(spark, vectors, vectors.join(probes, "id", "left_semi"))
     pair = near.select(F.least("query", "neighbour").alias("sense_a"), F.greatest("query", "neighbour").alias("sense_b"))
     return pair.distinct()

@@ -1,8 +1,10 @@
 """Visually identical text in one form: equivalence classes under a Unicode collation.
 
-Every distinct value is mapped (look-alikes, widths, invisible characters), the mapped values are grouped in SQL under
-the accent- and case-sensitive collation UNICODE, which holds canonically equivalent spellings for equal, one canonical
-member is chosen per class (fewest characters, then smallest in binary order) and joined back to the rows.
+Every distinct value is mapped (look-alikes, widths, invisible characters), and the mapped values are grouped in SQL under
+the accent- and case-sensitive collation UNICODE, which holds canonically equivalent spellings for equal. The canonical
+member of a class is its mapped value of fewest characters, of equal ones the smallest in binary order, so accents written
+apart give way to a composed spelling wherever some member has one; a member whose accents are still apart is composed,
+once for its class. It is joined back to all values of the class.
 
 Defined results: null stays null and is never reported; an empty text is its own form; a text of invisible characters
 only has the empty form; repeated rows each get a row; the two kinds of text ('word', 'ipa') never share a class.
@@ -17,8 +19,7 @@ from nodeloom.functions.visual import composed, mapped
 from nodeloom.runtime import table
 
 _CLASSES = """
-SELECT kind, cls, min(struct(char_length(form) AS n, form)).form AS canonical
-FROM (SELECT kind, collate(mapped, 'UNICODE') AS cls, form FROM {m}) GROUP BY kind, cls
+SELECT kind, collate(mapped, 'UNICODE') AS cls, min(struct(char_length(mapped) AS n, mapped)).mapped AS member FROM {m} GROUP BY kind, collate(mapped, 'UNICODE')
 """
 _MEMBERS = """
 SELECT m.kind, m.value, c.canonical FROM {m} m JOIN {c} c ON m.kind = c.kind AND collate(m.mapped, 'UNICODE') = c.cls
@@ -30,8 +31,8 @@ def canonical_members(spark: SparkSession, values: DataFrame) -> DataFrame:
     distinct = values.filter(F.col("value").isNotNull()).select("kind", "value").distinct()
     form = F.when(F.col("kind") == "ipa", mapped(F.col("value"), "ipa")).otherwise(mapped(F.col("value"), "word"))
     m = distinct.select("kind", "value", form.alias("mapped"))
-    spelled = m.select("kind", "mapped", composed(F.col("mapped")).alias("form"))
-    return spark.sql(_MEMBERS, m=m, c=spark.sql(_CLASSES, m=spelled))
+    c = spark.sql(_CLASSES, m=m).select("kind", "cls", composed(F.col("member")).alias("canonical"))
+    return spark.sql(_MEMBERS, m=m, c=c)
 
 
 def unified(spark: SparkSession, values: DataFrame) -> DataFrame:

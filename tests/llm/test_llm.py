@@ -18,6 +18,10 @@ def test_unify(spark):
     got = {r.row_id: r.canonical for r in U.unified(spark, d).collect()}
     assert got == {0: "água", 1: "água", 2: "agua", 3: "Água", 4: "ɡ", 5: "g", 6: None, 7: "", 8: "", 9: "água"}
     assert U.unified(spark, d.limit(0)).count() == 0
+    # spelled apart in two ways, composed by nobody: the class decides, its members' own characters do not agree
+    apart = [("word", "ậx"), ("word", "ậx"), ("word", "ậx"), ("ipa", "ậx")]
+    got = U.unified(spark, spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(apart)], "row_id INT, kind STRING, value STRING")).collect()
+    assert {r.row_id: r.canonical for r in got} == {0: "ậx", 1: "ậx", 2: "ậx", 3: "ậx"}
 
 
 def test_graph_recall():
