@@ -170,14 +170,14 @@ def most_similar(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k:
     shards = max(1, -(-vectors.count() // shard))
     group = max(1, min(GROUP, shards // (2 * spark.sparkContext.defaultParallelism)))
     groups = F.sequence(F.lit(0), F.lit((shards - 1) // group))
-    asked = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(groups).alias("g"))
+    asked = queries.select(F.col("id").alias("asked"), F.col("vec").alias("q"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(groups).alias("g"))
 
     def fused(v: pa.Table, q: pa.Table) -> pa.Table:
         own = ((s, PrunedGraph(s.f)) for s in (_Shard(_texts(t.column("id")), _vectors(t.column("vec"), dim)) for t in _parted(v))) if q.num_rows else ()
-        return _answer(_texts(q.column("id")), _vectors(q.column("vec"), dim), own, k + 1, beam)
+        return _answer(_texts(q.column("asked")), _vectors(q.column("q"), dim), own, k + 1, beam)
 
     def stored(v: pa.Table, q: pa.Table) -> pa.Table:
-        return _answer(_texts(q.column("id")), _vectors(q.column("vec"), dim), _stored(v, dim) if q.num_rows else (), k + 1, beam)
+        return _answer(_texts(q.column("asked")), _vectors(q.column("q"), dim), _stored(v, dim) if q.num_rows else (), k + 1, beam)
 
     parts = min(20_000, ((shards - 1) // group + 1) * tiles)
     if tiles == 1:
