@@ -74,10 +74,10 @@ def _numbers(n: int) -> F.Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
-def _vectors(t: pa.Table, dim: int) -> np.ndarray:
+def _vectors(t: pa.Table, dim: int, name: str = "vec") -> np.ndarray:
     if not t.num_rows:
         return np.zeros((0, dim))
-    return unit_rows(np.concatenate([k.flatten().to_numpy(zero_copy_only=False) for k in t.column("vec").chunks]), dim)
+    return unit_rows(np.concatenate([k.flatten().to_numpy(zero_copy_only=False) for k in t.column(name).chunks]), dim)
 
 
 def _best(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +108,8 @@ def nearest(left: DataFrame, right: DataFrame, dim: int, k: int = 1, min_score:
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
         if not l.num_rows or not r.num_rows:
             return out_type.empty_table()
-        r = r.sort_by("id")
-        x, y = _vectors(l, dim), _vectors(r, dim)
+        r = r.sort_by("match")
+        x, y = _vectors(l, dim), _vectors(r, dim, "mvec")
         li, rj, sc = [], [], []
         for p in range(0, len(x), TILE[0]):
             bi = np.zeros(0, np.int64)
@@ -127,11 +127,11 @@ def nearest(left: DataFrame, right: DataFrame, dim: int, k: int = 1, min_score:
                     bi, bj, bv = bi[keep], bj[keep], bv[keep]
             li.append(bi + p), rj.append(bj), sc.append(bv)
         i, j = np.concatenate(li), np.concatenate(rj)
-        return pa.table([l.column("id").take(pa.array(i)), r.column("id").take(pa.array(j)), pa.array(np.concatenate(sc))], schema=out_type)
+        return pa.table([l.column("id").take(pa.array(i)), r.column("match").take(pa.array(j)), pa.array(np.concatenate(sc))], schema=out_type)
 
     out_type = pa.schema([("id", _arrow(lt)), ("match", _arrow(rt)), ("score", pa.float64())])
     l = left.withColumn("_l", F.pmod(F.xxhash64("id"), F.lit(a)).cast("int")).withColumn("_r", F.explode(_numbers(b))).repartition(parts, "_l", "_r")
-    r = right.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int")).withColumn("_l", F.explode(_numbers(a))).select("id", "vec", "_l", "_r").repartition(parts, "_l", "_r")
+    r = right.select(F.col("id").alias("match"), F.col("vec").alias("mvec"), F.pmod(F.xxhash64("id"), F.lit(b)).cast("int").alias("_r"), F.explode(_numbers(a)).alias("_l")).repartition(parts, "_l", "_r")
     found = l.groupBy("_l", "_r").cogroup(r.groupBy("_l", "_r")).applyInArrow(run, f"id {lt}, match {rt}, score double")
     w = W.partitionBy("id").orderBy(F.col("score").desc(), "match")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
