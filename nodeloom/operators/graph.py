@@ -3,8 +3,9 @@
 The graph is one table of documents (id, doc_type, node_type, level, word, pos, sense_id, cm1_id, cm2_id, bridge_id,
 parent_edge_id, ...). Walks go ``HOPS`` steps a round for all starts at once: the pointers of the graph are composed with
 themselves by doubling, then each round joins the ids that are a multiple of ``HOPS`` steps away with that table. A
-shortest way to any id passes one of those at every multiple, so the least depth of each (start, id) comes out. Every
-round is cut by a written table.
+shortest way to any id passes one of those at every multiple, so the least depth of each (start, id) comes out. Up to
+``FEW_STARTS`` starts of a short walk go single steps instead, as composing the whole graph would cost more. Every round is cut by a
+written table.
 
 Defined results: starts that are no documents give no rows; null, empty and unknown pointers end a walk; a node is its
 own only leaf; loops end, as no id is visited twice for one start.
@@ -18,7 +19,7 @@ from pyspark.sql.window import Window as W
 
 from nodeloom.runtime import Scratch
 
-DEPTH, HOPS = 15, 4
+DEPTH, HOPS, FEW_STARTS = 15, 4, 2000
 
 
 def latest(docs: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
@@ -33,6 +34,13 @@ def _children(graph: DataFrame) -> DataFrame:
     return e.filter(F.col("_c").isNotNull() & (F.col("_c") != ""))
 
 
+def _reach(s: Scratch, links: DataFrame, starts: DataFrame, keys: list[str], most: int, max_depth: int | None) -> DataFrame:
+    """The walk of ``starts`` (keys, id) over links (_p, _c), by steps or by composed pointers as their number asks for."""
+    first, c = s.cut(starts.select(*keys, "id").distinct(), n=F.count(F.lit(1)))
+    most = 1 if c["n"] <= FEW_STARTS and max_depth is not None and max_depth <= DEPTH else most
+    return _walk(s, first, keys, _hops(s, links, most), most, max_depth)
+
+
 def _hops(s: Scratch, links: DataFrame, most: int) -> DataFrame:
     """(_p, _c, _d): all ids within ``most`` (a power of two) steps over links (_p, _c), with the least number of steps."""
     h, _ = s.cut(links.select("_p", "_c").distinct().withColumn("_d", F.lit(1)))
@@ -71,8 +79,8 @@ def down_closure(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_d
     s = Scratch(spark, "down")
     keys = [c for c in starts.columns if c != "id"]
     known = graph.select("id")
-    hops = _hops(s, _children(graph).join(known.select(F.col("id").alias("_c")), "_c", "left_semi"), HOPS)
-    return _walk(s, starts.join(known, "id", "left_semi"), keys, hops, HOPS, max_depth)
+    links = _children(graph).join(known.select(F.col("id").alias("_c")), "_c", "left_semi")
+    return _reach(s, links, starts.join(known, "id", "left_semi"), keys, HOPS, max_depth)
 
 
 def leaf_documents(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_depth: int = DEPTH) -> DataFrame:
@@ -94,6 +102,19 @@ def leaf_words(spark: SparkSession, graph: DataFrame, starts: DataFrame, cap: in
     return w.select(*keys, F.slice("words", 1, cap).alias("words"), (F.size("words") > cap).alias("truncated"))
 
 
+def word_overlaps(spark: SparkSession, graph: DataFrame, pairs: DataFrame, max_depth: int = DEPTH) -> DataFrame:
+    """(id, overlap, jaccard) of the leaf words below the two documents of each (id, a, b), by counts of joined words; a
+    document without leaf words is in no result."""
+    ends = pairs.select(F.col("a").alias("start")).unionByName(pairs.select(F.col("b").alias("start"))).filter("start IS NOT NULL").distinct()
+    l = leaf_documents(spark, graph, ends.select("start", F.col("start").alias("id")), max_depth).filter(F.col("word").isNotNull()).select("start", "word").distinct()
+    l, _ = Scratch(spark, "overlap").cut(l)
+    n = l.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+    p = pairs.join(n.select(F.col("start").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("start").alias("b"), F.col("n").alias("nb")), "b")
+    both = pairs.join(l.withColumnRenamed("start", "a"), "a").join(l.withColumnRenamed("start", "b"), ["b", "word"]).groupBy("id").agg(F.count(F.lit(1)).alias("overlap"))
+    r = p.join(both, "id", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    return r.select("id", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("jaccard"))
+
+
 def any_leaf_has_word(spark: SparkSession, graph: DataFrame, targets: DataFrame, max_depth: int = DEPTH) -> DataFrame:
     """(start, target) rows of (start, id, target) for which some leaf below id has the target word."""
     l = leaf_documents(spark, graph, targets.select("start", "id"), max_depth).select("start", "word").distinct()
@@ -110,8 +131,9 @@ def bridges(graph: DataFrame) -> DataFrame:
     return near.groupBy("id").agg(F.first("given").alias("given"), F.min("_b").alias("found")).select("id", F.coalesce("given", "found").alias("bridge"))
 
 
-def triad_view(spark: SparkSession, graph: DataFrame, ids: DataFrame, max_depth: int = DEPTH) -> DataFrame:
-    """(id, branch, words): sorted different leaf words of the two children and the bridge of each triad, in one walk."""
+def triad_view(spark: SparkSession, graph: DataFrame, ids: DataFrame, max_depth: int = DEPTH, cap: int | None = None) -> DataFrame:
+    """(id, branch, words): sorted different leaf words (the first ``cap`` of them) of the two children and the bridge of
+    each triad, in one walk."""
     t = graph.join(ids.select("id"), "id", "left_semi").filter("doc_type <> 'node' AND level <= 13")
     b = t.join(bridges(graph).join(ids.select("id"), "id", "left_semi"), "id", "left")
     starts = b.select(F.col("id").alias("start"), F.explode(F.array(
@@ -119,7 +141,7 @@ def triad_view(spark: SparkSession, graph: DataFrame, ids: DataFrame, max_depth:
         F.struct(F.lit("child2").alias("branch"), F.col("cm2_id").alias("id")),
         F.struct(F.lit("bridge").alias("branch"), F.col("bridge").alias("id")),
     )).alias("x")).select("start", "x.branch", "x.id").filter(F.col("id").isNotNull())
-    w = leaf_words(spark, graph, starts, max_depth=max_depth)
+    w = leaf_words(spark, graph, starts, cap, max_depth)
     return w.select(F.col("start").alias("id"), "branch", "words")
 
 
@@ -132,8 +154,7 @@ def ancestors(spark: SparkSession, graph: DataFrame, starts: DataFrame, max_leve
     """(start, step, id): the chain of parents of each start, step 1 the parent; ends at loops, roots and, unless it is
     None, ``max_levels``."""
     s = Scratch(spark, "up")
-    hops = _hops(s, _parents(graph), 2 * HOPS)
-    got = _walk(s, starts.select(F.col("id").alias("start"), "id"), ["start"], hops, 2 * HOPS, max_levels)
+    got = _reach(s, _parents(graph), starts.select(F.col("id").alias("start"), "id"), ["start"], 2 * HOPS, max_levels)
     return got.filter("depth > 0").select("start", F.col("depth").alias("step"), "id")
 
 

@@ -31,11 +31,36 @@ def set_add(old: Column, new: Column) -> Column:
     return F.array_distinct(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))))
 
 
+def merge_updates(target: DataFrame, updates: DataFrame, keys: list[str], add: dict[str, str] | None = None, inc: dict[str, str] | None = None,
+                  put: dict[str, str] | None = None, first: dict[str, str] | None = None) -> DataFrame:
+    """``target`` with ``updates`` (any number of rows per key) merged by key; keys it has not are added.
+
+    Each maps a column of the target to one of the updates: ``add`` unites string sets, ``inc`` adds numbers (none counts
+    0), ``put`` overwrites with the largest value given, ``first`` sets a column of new keys only."""
+    add, inc, put, first = add or {}, inc or {}, put or {}, first or {}
+    aggs = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(f"_{t}") for t, c in add.items()]
+    aggs += [F.sum(c).alias(f"_{t}") for t, c in inc.items()] + [F.max(c).alias(f"_{t}") for t, c in {**put, **first}.items()]
+    u = updates.dropna(subset=keys).groupBy(*keys).agg(F.lit(True).alias("_new"), *aggs)
+    j = target.withColumn("_old", F.lit(True)).join(u, keys, "full")
+
+    def of(c: str) -> Column:
+        if c in add:
+            return set_add(F.col(c), F.col(f"_{c}"))
+        if c in inc:
+            return F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))
+        if c in put:
+            return F.coalesce(f"_{c}", c)
+        return F.when(F.col("_old").isNull(), F.col(f"_{c}")).otherwise(F.col(c)) if c in first else F.col(c)
+
+    return j.select(*[F.col(c) if c in keys else of(c).alias(c) for c in target.columns])
+
+
 def write_labels(docs: DataFrame, labels: DataFrame, dim: int, guarded: bool = True) -> DataFrame:
     """Labels of (id, semantic_label, label_vector, label_model) on edges of level 13 and below.
 
-    guarded: a label that is there stays. Vectors of another length are refused."""
-    ok = labels.filter((F.size("label_vector") == dim) & F.col("semantic_label").isNotNull()).dropDuplicates(["id"])
+    guarded: a label that is there stays. Vectors of another length are refused; of several labels the smallest counts."""
+    ok = labels.filter((F.size("label_vector") == dim) & F.col("semantic_label").isNotNull())
+    ok = ok.groupBy("id").agg(F.min(F.struct("semantic_label", "label_vector", "label_model")).alias("_s")).select("id", "_s.*")
     new = ok.select("id", F.col("semantic_label").alias("_l"), F.col("label_vector").alias("_v"), F.col("label_model").alias("_m"))
     can = (F.col("doc_type") != "node") & (F.col("level") <= 13) & F.col("_l").isNotNull()
     if guarded:
@@ -110,10 +135,41 @@ def overlap(sets: DataFrame, a: str, b: str) -> DataFrame:
     return sets.withColumn("overlap", i).withColumn("jaccard", F.when(u > 0, i / u).otherwise(F.lit(0.0)))
 
 
+def seeded_order(seed: int, *keys: str) -> list[Column]:
+    """A random order fixed by the seed and the keys alone, the same in any engine that has MD5."""
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), *keys)), *map(F.col, keys)]
+
+
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows, uniformly by a seeded hash of the key: the same rows at every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(*seeded_order(seed, key)).limit(n)
 
 
 def page(df: DataFrame, key: str, limit: int, offset: int) -> DataFrame:
     return df.orderBy(key).offset(offset).limit(limit)
+
+
+def pair_metrics(pairs: DataFrame, edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """Relatedness of word pairs (a, b) in the graph: edge_overlap, word_overlap, word_jaccard, direct_hit, bridge_level_min.
+
+    edges: (word, edge_id, partner), each edge at a word with the word at its other end; chains: (word, id, level), the
+    triads above a word. All are set sizes over joins, so no set is collected; a pair without anything in common gets 0s."""
+    p = pairs.select("a", "b").distinct()
+
+    def shared(rows: DataFrame, item: str, agg: Column) -> DataFrame:
+        r = rows.filter(F.col("word").isNotNull() & F.col(item).isNotNull()).select("word", item, *[c for c in rows.columns if c == "level"]).distinct()
+        left = p.join(r.withColumnRenamed("word", "a"), "a")
+        return left.join(r.select(F.col("word").alias("b"), item), ["b", item]).groupBy("a", "b").agg(agg)
+
+    n = edges.filter(F.col("partner").isNotNull()).select("word", "partner").distinct()
+    size = n.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    hit = n.select(F.col("word").alias("a"), F.col("partner").alias("b"), F.lit(1).alias("direct_hit"))
+    j = p.join(shared(edges, "edge_id", F.count(F.lit(1)).alias("edge_overlap")), ["a", "b"], "left")
+    j = j.join(shared(n, "partner", F.count(F.lit(1)).alias("word_overlap")), ["a", "b"], "left")
+    j = j.join(shared(chains, "id", F.min("level").alias("bridge_level_min")), ["a", "b"], "left")
+    j = j.join(hit.unionByName(hit.select(F.col("b").alias("a"), F.col("a").alias("b"), "direct_hit")).distinct(), ["a", "b"], "left")
+    j = j.join(size.select(F.col("word").alias("a"), F.col("n").alias("na")), "a", "left").join(size.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b", "left")
+    j = j.fillna(0, ["edge_overlap", "word_overlap", "direct_hit", "na", "nb"])
+    union = F.col("na") + F.col("nb") - F.col("word_overlap")
+    jaccard = F.when(union > 0, F.col("word_overlap") / union).otherwise(F.lit(0.0))
+    return j.select("a", "b", "edge_overlap", "word_overlap", jaccard.alias("word_jaccard"), "direct_hit", "bridge_level_min")

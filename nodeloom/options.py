@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field, fields
 
@@ -26,8 +27,21 @@ TYPE_SENTENCES = {
 }
 
 
+def _read(now, raw: str):
+    """``raw`` as a value of the type of ``now``; a flag is on unless its text is empty or a falsy JSON value."""
+    if isinstance(now, bool):
+        try:
+            return bool(json.loads(raw.strip().lower() or "0"))
+        except ValueError:
+            return raw.strip().lower() not in ("no", "off")
+    return type(now)(raw)
+
+
 @dataclass
 class Options:
+    """dim: length of vectors. pair_recall: 0 for exact pairs, else the recall ``simjoin.pairs`` has to keep. neighbours:
+    neighbours a row when pairs are asked for by rank. bridge_candidates: bridges a pair is offered at first."""
+
     dim: int = 768
     q_min_leaf: float = 0.72
     disambiguation: float = 0.72
@@ -35,7 +49,7 @@ class Options:
     polysemy_floor: float = 0.40
     level_alpha: float = 0.5
     near_duplicate: float = 0.95
-    exact_rows: int = 20_000
+    pair_recall: float = 0.0
     neighbours: int = 20
     bridge_candidates: int = 50
     state_dir: str = ""
@@ -47,16 +61,11 @@ class Options:
     @classmethod
     def load(cls, env: dict[str, str] | None = None) -> Options:
         """Defaults, overridden by ``NODELOOM_<FIELD>`` and ``NODELOOM_Q_SEED_<TIER>``."""
-        env = os.environ if env is None else env
+        env = dict(os.environ) if env is None else env
         o = cls()
-        for f in fields(cls):
-            raw = env.get(f"NODELOOM_{f.name.upper()}")
-            if raw is None or f.name == "seeds":
-                continue
-            now = getattr(o, f.name)
-            setattr(o, f.name, raw.strip().lower() in ("1", "true", "yes", "on") if isinstance(now, bool) else type(now)(raw))
+        own = {f"NODELOOM_{f.name.upper()}": f.name for f in fields(cls) if f.name != "seeds"}
+        for k in own.keys() & env.keys():
+            setattr(o, own[k], _read(getattr(o, own[k]), env[k]))
         for k in o.seeds:
-            raw = env.get(f"NODELOOM_Q_SEED_{k.upper()}")
-            if raw is not None:
-                o.seeds[k] = float(raw)
+            o.seeds[k] = float(env.get(f"NODELOOM_Q_SEED_{k.upper()}", o.seeds[k]))
         return o

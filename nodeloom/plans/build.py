@@ -28,40 +28,56 @@ def made_id(*parts) -> F.Column:
 # -- leaves ------------------------------------------------------------------------------------------------------------
 
 
-def leaf_stage(spark: SparkSession, senses: DataFrame, around: DataFrame | None, dim: int, threshold: float, floor: float,
-               type_vectors: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Leaf edges of senses (id, word, pos, vec): greedy pairs from ``threshold`` on, then re-entry of the left-over ones.
+Types = Callable[[DataFrame], DataFrame]
+
+
+def leaf_pairs(spark: SparkSession, senses: DataFrame, dim: int, threshold: float, floor: float, recall: float | None = None) -> DataFrame:
+    """(a, b, score, q): the greedy pairs of senses (id, word, pos, vec) from ``threshold`` on.
 
-    Pairs of one (word, pos) are raised to ``floor``. around: (word, pos, ant, syn), the words near each word, for the
-    text of an edge's type; type_vectors turns (id, type_text) into (id, type_vec), without it edges are type-neutral.
-    Left-over senses join the nearest edge formed here, with its q; only they get a parent, ``member_ids`` says who."""
-    s = Scratch(spark, "leaf")
-    p = S.pairs(spark, senses.select("id", "vec"), dim, threshold)
+    Pairs of one (word, pos) are raised to ``floor``. recall: see ``simjoin.pairs``; None is exact."""
+    p = S.pairs(spark, senses.select("id", "vec"), dim, threshold, recall)
     if floor >= threshold:  # else raising a pair never lets it in
         own = S.pairs_within(senses.select("word", "pos", "id", "vec"), ["word", "pos"], dim, -1.0)
         p = p.unionByName(own.select("a", "b", "score")).dropDuplicates(["a", "b"])
-    w = senses.select("id", "word", "pos", "vec")
+    w = senses.select("id", "word", "pos")
     ends = p.join(w.select(F.col("id").alias("a"), F.col("word").alias("wa"), F.col("pos").alias("pa")), "a").join(
         w.select(F.col("id").alias("b"), F.col("word").alias("wb"), F.col("pos").alias("pb")), "b"
     )
     same = (F.col("wa") == F.col("wb")) & (F.col("pa") == F.col("pb"))
-    won = M.greedy_by_score(spark, ends.select("a", "b", "score", F.coalesce(same, F.lit(False)).alias("same")), threshold, floor)
-    made = _edges(won.select("a", "b", "q"), w, around, type_vectors, 15).withColumn("source", F.lit("inferred")).withColumn("member_ids", F.array("cm1_id", "cm2_id"))
-    made, _ = s.cut(made)
-    taken = made.select(F.explode("member_ids").alias("id"))
-    left = w.join(taken, "id", "left_anti")
-    near = S.nearest(left.select("id", "vec"), made.select("id", "vec"), dim)
-    e = made.select(F.col("id").alias("match"), F.col("vec").alias("ve"), F.col("q").alias("q"))
-    j = near.join(e, "match").join(left, "id")
+    return M.greedy_by_score(spark, ends.select("a", "b", "score", F.coalesce(same, F.lit(False)).alias("same")), threshold, floor)
+
+
+def leaf_edges(pairs: DataFrame, senses: DataFrame, around: DataFrame | None, type_vectors: Types | None) -> DataFrame:
+    """Leaf edges of matched pairs (a, b, q); both ends are members."""
+    made = _edges(pairs.select("a", "b", "q"), senses, around, type_vectors, 15)
+    return made.withColumn("source", F.lit("inferred")).withColumn("member_ids", F.array("cm1_id", "cm2_id"))
+
+
+def leaf_reentry(left: DataFrame, edges: DataFrame, around: DataFrame | None, dim: int, type_vectors: Types | None) -> DataFrame:
+    """Leaf edges of senses (id, word, pos, vec) without parent to their nearest of ``edges`` (id, vec, q), with its q; only
+    the sense gets a parent."""
+    near = S.nearest(left.select("id", "vec"), edges.select("id", "vec"), dim)
+    e = edges.select(F.col("id").alias("match"), F.col("vec").alias("ve"), F.col("q").alias("q"))
+    j = near.join(e, "match").join(left.select("id", "word", "pos", "vec"), "id")
     if type_vectors is None:
-        vec = V.neutral_edge_vector(F.col("vec"), F.col("ve"))
-        own = j.withColumn("vec", vec).withColumn("type_vec", F.lit(None).cast("array<double>"))
+        own = j.withColumn("vec", V.neutral_edge_vector(F.col("vec"), F.col("ve"))).withColumn("type_vec", F.lit(None).cast("array<double>"))
     else:
         t = _type_texts(j.select(F.col("id"), F.col("word").alias("wa"), F.col("pos").alias("pa"), F.col("word").alias("wb"), F.lit(None).cast("string").alias("pb")), around)
         own = j.join(type_vectors(t), "id").withColumn("vec", V.edge_vector(F.col("vec"), F.col("ve"), F.col("type_vec"), F.col("q")))
-    back = own.select(made_id(F.lit("15"), "id", "match").alias("id"), F.col("id").alias("cm1_id"), F.col("match").alias("cm2_id"), F.lit(15).alias("level"), "vec", "type_vec", "q",
+    return own.select(made_id(F.lit("15"), "id", "match").alias("id"), F.col("id").alias("cm1_id"), F.col("match").alias("cm2_id"), F.lit(15).alias("level"), "vec", "type_vec", "q",
                       F.col("q").alias("connection_strength"), F.col("q").alias("accumulated_weight"), F.col("q").alias("confidence"), F.lit("inferred").alias("source"), F.array("id").alias("member_ids"))
-    return made.unionByName(back)
+
+
+def leaf_stage(spark: SparkSession, senses: DataFrame, around: DataFrame | None, dim: int, threshold: float, floor: float,
+               type_vectors: Types | None = None, recall: float | None = None) -> DataFrame:
+    """Leaf edges of senses (id, word, pos, vec): greedy pairs from ``threshold`` on, then re-entry of the left-over ones.
+
+    around: (word, pos, ant, syn), the words near each word, for the text of an edge's type; type_vectors turns
+    (id, type_text) into (id, type_vec), without it edges are type-neutral. ``member_ids``: who gets the edge as parent."""
+    w = senses.select("id", "word", "pos", "vec")
+    made, _ = Scratch(spark, "leaf").cut(leaf_edges(leaf_pairs(spark, w, dim, threshold, floor, recall), w, around, type_vectors))
+    left = w.join(made.select(F.explode("member_ids").alias("id")), "id", "left_anti")
+    return made.unionByName(leaf_reentry(left, made, around, dim, type_vectors))
 
 
 def _type_texts(pairs: DataFrame, around: DataFrame | None) -> DataFrame:
@@ -143,38 +159,44 @@ def type_table(spark: SparkSession, options: Options) -> DataFrame:
     return t.select("edge_type", V.doubles(embed(F.col("sentence"), options)).alias("type_vec"))
 
 
-def word_stage(spark: SparkSession, words: DataFrame, matched: DataFrame, types: DataFrame, dim: int) -> DataFrame:
-    """Word edges of tier matches (a, b, edge_type, q) over words (id, vec), and re-entry of the left-over words.
-
-    A left-over word joins the nearest word edge and inherits its type, type vector, q and weight."""
-    s = Scratch(spark, "word")
+def word_edges(words: DataFrame, matched: DataFrame, types: DataFrame) -> DataFrame:
+    """Word edges of tier matches (a, b, edge_type, q) over words (id, vec); their confidence is 1, as they were given."""
     w = words.filter("vec IS NOT NULL").select("id", "vec")
     m = matched.select("a", "b", "edge_type", "q").join(F.broadcast(types), "edge_type")  # five rows
     m = m.join(w.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(w.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    made = m.select(made_id(F.lit("14"), "a", "b").alias("id"), F.col("a").alias("cm1_id"), F.col("b").alias("cm2_id"), F.lit(14).alias("level"),
+    return m.select(made_id(F.lit("14"), "a", "b").alias("id"), F.col("a").alias("cm1_id"), F.col("b").alias("cm2_id"), F.lit(14).alias("level"),
                     V.edge_vector(F.col("va"), F.col("vb"), F.col("type_vec"), F.col("q")).alias("vec"), "type_vec", "edge_type", "q",
-                    F.col("q").alias("connection_strength"), F.col("q").alias("accumulated_weight"), F.col("q").alias("confidence"),
+                    F.col("q").alias("connection_strength"), F.col("q").alias("accumulated_weight"), F.lit(1.0).alias("confidence"),
                     F.lit("ingested").alias("source"), F.array("a", "b").alias("member_ids"))
-    made, _ = s.cut(made)
-    left = w.join(made.select(F.explode("member_ids").alias("id")), "id", "left_anti")
-    near = S.nearest(left, made.select("id", "vec"), dim)
-    e = made.select(F.col("id").alias("match"), F.col("vec").alias("ve"), "type_vec", "edge_type", "q", "accumulated_weight")
-    j = near.join(e, "match").join(left, "id")
-    back = j.select(made_id(F.lit("14"), "id", "match").alias("id"), F.col("id").alias("cm1_id"), F.col("match").alias("cm2_id"), F.lit(14).alias("level"),
+
+
+def word_reentry(left: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
+    """Word edges of words (id, vec) without parent to their nearest word edge, whose type, type vector, q and weight they
+    inherit; the confidence is q."""
+    near = S.nearest(left.select("id", "vec"), edges.select("id", "vec"), dim)
+    e = edges.select(F.col("id").alias("match"), F.col("vec").alias("ve"), "type_vec", "edge_type", "q", "accumulated_weight")
+    j = near.join(e, "match").join(left.select("id", "vec"), "id")
+    return j.select(made_id(F.lit("14"), "id", "match").alias("id"), F.col("id").alias("cm1_id"), F.col("match").alias("cm2_id"), F.lit(14).alias("level"),
                     V.edge_vector(F.col("vec"), F.col("ve"), F.col("type_vec"), F.col("q")).alias("vec"), "type_vec", "edge_type", "q",
                     F.col("q").alias("connection_strength"), "accumulated_weight", F.col("q").alias("confidence"), F.lit("inferred").alias("source"), F.array("id").alias("member_ids"))
-    return made.unionByName(back)
+
+
+def word_stage(spark: SparkSession, words: DataFrame, matched: DataFrame, types: DataFrame, dim: int) -> DataFrame:
+    """Word edges of tier matches, and re-entry of the left-over words."""
+    made, _ = Scratch(spark, "word").cut(word_edges(words, matched, types))
+    left = words.filter("vec IS NOT NULL").select("id", "vec").join(made.select(F.explode("member_ids").alias("id")), "id", "left_anti")
+    return made.unionByName(word_reentry(left, made, dim))
 
 
 # -- triads ------------------------------------------------------------------------------------------------------------
 
 
 def form_level(spark: SparkSession, children: DataFrame, bridges: DataFrame, child_level: int, threshold: float, dim: int,
-               alpha: float = 0.5, candidates: int = 50) -> DataFrame:
+               alpha: float = 0.5, candidates: int = 50, recall: float | None = None) -> DataFrame:
     """Triads over children and bridges (id, vec, w) without parents: greedy pairs of children, each with its best bridge
     not taken by an earlier pair. Gives level ``child_level - 2`` documents with their member ids."""
     s = Scratch(spark, "triads")
-    p = S.pairs(spark, children.select("id", "vec"), dim, threshold)
+    p = S.pairs(spark, children.select("id", "vec"), dim, threshold, recall)
     won = M.greedy_by_score(spark, p, threshold)
     c = children.select("id", "vec", "w")
     pairs = won.join(c.select(F.col("id").alias("a"), F.col("vec").alias("va"), F.col("w").alias("wa")), "a").join(c.select(F.col("id").alias("b"), F.col("vec").alias("vb"), F.col("w").alias("wb")), "b")
@@ -211,13 +233,13 @@ def _add_level(docs: DataFrame, gone: DataFrame | None, made: DataFrame) -> tupl
     return docs.select("id", "vec", "w", "level").unionByName(new), used if gone is None else gone.unionByName(used)
 
 
-def build_levels(spark: SparkSession, edges: DataFrame, dim: int, threshold: float = 0.90, top: int = 15, gone: DataFrame | None = None) -> DataFrame:
+def build_levels(spark: SparkSession, edges: DataFrame, dim: int, threshold: float = 0.90, top: int = 15, gone: DataFrame | None = None, **how) -> DataFrame:
     """All triads over edges (id, vec, w, level) without parents: level by level from ``top`` down, children at L, bridges
     at L - 1, triads at L - 2, until a level gives none or L - 2 would be below 1."""
     s = Scratch(spark, "levels")
     docs, out, level = edges.select("id", "vec", "w", "level"), None, top
     while level - 2 >= 1:
-        made, c = s.cut(form_level(spark, _free(docs, gone, level), _free(docs, gone, level - 1), level, threshold, dim), n=F.count(F.lit(1)))
+        made, c = s.cut(form_level(spark, _free(docs, gone, level), _free(docs, gone, level - 1), level, threshold, dim, **how), n=F.count(F.lit(1)))
         if not c["n"]:
             break
         out = made if out is None else out.unionByName(made)
@@ -226,15 +248,15 @@ def build_levels(spark: SparkSession, edges: DataFrame, dim: int, threshold: flo
     return out if out is not None else made
 
 
-def sweep(spark: SparkSession, docs: DataFrame, dim: int, base: float = 0.90, floor: Callable[[int], float] | None = None, top: int = 15, passes: int = 50) -> tuple[DataFrame, DataFrame]:
+def sweep(spark: SparkSession, docs: DataFrame, dim: int, base: float = 0.90, floor: Callable[[int], float] | None = None, top: int = 15, gone: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Relaxed triads until a pass adds none: per level the floor round(0.9 - 0.01 level, 2); a level that gives none ends
-    the pass, as levels below would need its triads. Gives (triads, histogram of child cosines per hundredth)."""
+    the pass, as levels below would need its triads. gone: (id) of documents that have a parent already. Gives (triads, histogram of child cosines per hundredth)."""
     from nodeloom.operators.relational import threshold_histogram
 
     floor = floor or (lambda level: round(0.9 - 0.01 * level, 2))
     s = Scratch(spark, "sweep")
-    docs, gone, out = docs.select("id", "vec", "w", "level"), None, None
-    for _ in range(passes):
+    docs, out = docs.select("id", "vec", "w", "level"), None
+    while True:
         level, added = top, 0
         while level - 2 >= 1:
             if not _free(docs, gone, level).limit(1).count():
@@ -268,6 +290,15 @@ def node_frames(words: DataFrame, senses: DataFrame, options: Options) -> tuple[
     return w, s
 
 
+def resolve_targets(words: DataFrame, relations: DataFrame) -> DataFrame:
+    """(row_id, kind, a, ord_a, b) of relations (row_id, word, pos, kind, target) between words (id, word, pos, ord): the word
+    of the same part of speech first, else the first of that spelling, else none."""
+    first = words.groupBy(F.col("word").alias("target")).agg(F.min(F.struct("ord", "id")).alias("f")).select("target", F.col("f.id").alias("first"))
+    r = relations.join(words.select("word", "pos", F.col("id").alias("a"), F.col("ord").alias("ord_a")), ["word", "pos"])
+    r = r.join(words.select(F.col("word").alias("target"), "pos", F.col("id").alias("exact")), ["target", "pos"], "left").join(first, "target", "left")
+    return r.select("row_id", "kind", "a", "ord_a", F.coalesce("exact", "first").alias("b")).filter("b IS NOT NULL")
+
+
 def build_graph(spark: SparkSession, words: DataFrame, senses: DataFrame, relations: DataFrame, options: Options) -> dict[str, DataFrame]:
     """The whole graph of parsed words (word, pos, sense_ids, ord), senses (sense_id, word, pos, embed_text[, vector]) and
     word relations (row_id, word, pos, kind, target): frames words, senses, leaf_edges, word_edges, triads, provenance."""
@@ -278,19 +309,16 @@ def build_graph(spark: SparkSession, words: DataFrame, senses: DataFrame, relati
     w, n = node_frames(words, senses, o)
     n, _ = s.cut(n)
     around = neighbourhoods(relations.select("row_id", F.col("word").alias("from_word"), F.col("pos").alias("from_pos"), "kind", F.col("target").alias("word")))
-    leaf, _ = s.cut(leaf_stage(spark, n.select("id", "word", "pos", "vec"), around, o.dim, o.q_min_leaf, o.polysemy_floor, embedded_types(o)))
+    leaf, _ = s.cut(leaf_stage(spark, n.select("id", "word", "pos", "vec"), around, o.dim, o.q_min_leaf, o.polysemy_floor, embedded_types(o), o.pair_recall or None))
     members = leaf.select(F.col("id").alias("parent"), F.explode("member_ids").alias("id"))
     n = n.drop("parent_edge_id").join(members.withColumnRenamed("parent", "parent_edge_id"), "id", "left")
     v, _ = s.cut(word_vectors(w, n, leaf))
     w = w.join(v, "id", "left")
-    first = w.groupBy(F.col("word").alias("target")).agg(F.min(F.struct("ord", "id")).alias("f")).select("target", F.col("f.id").alias("first"))
-    r = relations.join(w.select("word", "pos", F.col("id").alias("a"), F.col("ord").alias("ord_a")), ["word", "pos"])
-    r = r.join(w.select(F.col("word").alias("target"), "pos", F.col("id").alias("exact")), ["target", "pos"], "left").join(first, "target", "left")
-    r = r.select("row_id", "kind", "a", "ord_a", F.coalesce("exact", "first").alias("b")).filter("b IS NOT NULL")
+    r = resolve_targets(w, relations)
     matched = M.by_tiers(spark, tier_pairs(spark, r, o.seeds))
     we, _ = s.cut(word_stage(spark, w.select("id", "vec"), matched, type_table(spark, o), o.dim))
     e = leaf.select("id", "vec", F.col("accumulated_weight").alias("w"), "level").unionByName(we.select("id", "vec", F.col("accumulated_weight").alias("w"), "level"))
-    triads = build_levels(spark, e, o.dim, o.triad_cosine)
+    triads = build_levels(spark, e, o.dim, o.triad_cosine, alpha=o.level_alpha, candidates=o.bridge_candidates, recall=o.pair_recall or None)
     prov = P.register(None, n, "id", "doi") if "doi" in n.columns else None
     if prov is not None:
         for made in (leaf, we, triads):

@@ -15,25 +15,30 @@ from nodeloom.operators import matching as M
 from nodeloom.operators import provenance as P
 from nodeloom.operators import relational as R
 from nodeloom.operators import simjoin as S
+from nodeloom.options import SEEDS, TIERS
 from nodeloom.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+_LATER: dict = {}
 DIM = 64
 
 
-def query(sql: str | None = None):
-    """Register the function under its name, with its SQL where there is one."""
+def query(sql=None):
+    """Register the function under its name, with its SQL (a text, or a function that gives it) where there is one."""
 
     def put(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            _LATER[f.__name__] = sql
         return f
 
     return put
 
 
+def oracle_sql() -> dict[str, str]:
+    return {k: x if isinstance(x, str) else x() for k, x in _LATER.items()}
+
+
 def docs(spark: SparkSession, d: str) -> DataFrame:
     return G.latest(table(spark, d, "graph_docs"))
 
@@ -129,6 +134,17 @@ def knn_join(spark, d):
     return n.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("id", "match", "rank")
 
 
+@query(f"""WITH {_E}, k AS (SELECT a.id, b.id AS m, round({_COS.format('a.v', 'b.v')}, 12) AS s FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY s DESC, b.id) <= 20)
+SELECT DISTINCT least(id, m) AS a, greatest(id, m) AS b, round(s, 6) AS score FROM k WHERE s >= 0.1""")
+def neighbour_pairs(spark, d):
+    return S.neighbour_pairs(embeddings(spark, d), DIM, 20, 0.1).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_E} SELECT a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 6) AS score FROM e a JOIN e b ON a.id < b.id ORDER BY round({_COS.format('a.v', 'b.v')}, 12) DESC, a.id, b.id LIMIT 100""")
+def top_pairs(spark, d):
+    return S.top_pairs(S.pairs(spark, embeddings(spark, d).select("id", "vec"), DIM, 0.0), 100).withColumn("score", F.round("score", 6))
+
+
 @query("""WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 t AS (SELECT label, i, sum(CAST(x AS DOUBLE)) AS x FROM u GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM t GROUP BY label)
 SELECT label, CAST(i - 1 AS INTEGER) AS at, round(x / n, 6) AS x FROM t JOIN n USING (label)""")
@@ -194,13 +210,10 @@ _W = """w AS (SELECT word || '|' || pos AS id, word, pos, max(row_id) AS ord FRO
 
 def resolved_relations(spark, d) -> DataFrame:
     """Relations of words with their target: same word and part of speech first, else the first node of that word."""
-    w = _words_in_order(spark, d)
-    r = table(spark, d, "sense_relations").select("row_id", "kind", F.concat_ws("|", "from_word", "from_pos").alias("a"), F.col("word").alias("target"), F.col("from_pos").alias("pos"))
-    r = r.join(w.select(F.col("id").alias("a"), F.col("ord").alias("ord_a")), "a")
-    exact = w.select(F.col("word").alias("target"), "pos", F.col("id").alias("exact"))
-    first = w.groupBy(F.col("word").alias("target")).agg(F.min(F.struct("ord", "id")).alias("f")).select("target", F.col("f.id").alias("first"))
-    r = r.join(exact, ["target", "pos"], "left").join(first, "target", "left")
-    return r.select("row_id", "kind", "a", "ord_a", F.coalesce("exact", "first").alias("b")).filter(F.col("b").isNotNull())
+    from nodeloom.plans.build import resolve_targets
+
+    r = table(spark, d, "sense_relations").select("row_id", "kind", F.col("from_word").alias("word"), F.col("from_pos").alias("pos"), F.col("word").alias("target"))
+    return resolve_targets(_words_in_order(spark, d), r)
 
 
 @query(f"""WITH {_W}, f AS (SELECT word, arg_min(id, ord) AS first FROM w GROUP BY word)
@@ -210,14 +223,45 @@ def relation_targets(spark, d):
     return resolved_relations(spark, d).select("row_id", "kind", "a", "b")
 
 
-@query()
+_TG = f"""{_W}, f AS (SELECT word, arg_min(id, ord) AS first FROM w GROUP BY word),
+rt AS (SELECT r.row_id, r.kind, o.id AS a, o.ord AS ord_a, coalesce(x.id, f.first) AS b FROM sense_relations r
+  JOIN w o ON o.word = r.from_word AND o.pos = r.from_pos LEFT JOIN w x ON x.word = r.word AND x.pos = r.from_pos LEFT JOIN f ON f.word = r.word),
+tiers(tier, edge_type, kind, kind_at, q) AS (VALUES {", ".join(f"({p}, '{e}', '{k}', {i}, {SEEDS[s]})" for p, e, ks, s in TIERS for i, k in enumerate(ks))}),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY tier, ord_a, kind_at, row_id) AS n, a, b, CAST(tier AS INTEGER) AS tier, edge_type, CAST(q AS DOUBLE) AS q FROM rt JOIN tiers USING (kind) WHERE b IS NOT NULL AND a <> b),
+g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, 0 AS tier, '' AS edge_type, 0.5::DOUBLE AS q
+  UNION ALL SELECT p.n, CASE WHEN list_contains(g.used, p.a) OR list_contains(g.used, p.b) THEN g.used ELSE list_concat(g.used, [p.a, p.b]) END,
+    CASE WHEN list_contains(g.used, p.a) OR list_contains(g.used, p.b) THEN NULL ELSE p.a END, p.b, p.tier, p.edge_type, p.q FROM g JOIN p ON p.n = g.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {_TG} SELECT a, b, tier, edge_type, q FROM g WHERE a IS NOT NULL")
 def tier_match(spark, d):
     from nodeloom.plans.build import tier_pairs
 
     return M.by_tiers(spark, tier_pairs(spark, resolved_relations(spark, d))).select("a", "b", "tier", "edge_type", "q")
 
 
-@query()
+def _scan(step: str) -> str:
+    """A greedy scan in SQL over p (n, a, b, score)."""
+    return f"""w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS DOUBLE) AS score
+  UNION ALL SELECT p.n, CASE WHEN list_contains(w.used, p.a) OR list_contains(w.used, p.b) THEN w.used ELSE list_concat(w.used, [p.a, p.b]) END,
+    CASE WHEN list_contains(w.used, p.a) OR list_contains(w.used, p.b) THEN NULL ELSE p.a END, p.b, p.score FROM w JOIN p ON p.n = w.n + 1),
+{step} AS (SELECT a, b, score FROM w WHERE a IS NOT NULL)"""
+
+
+_NORM = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"
+
+
+@query(f"""WITH RECURSIVE {_E}, c AS (SELECT format('{{:06d}}', id) AS id, v, 0.5 + label / 20 AS w, label FROM e),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, a, b) AS n, a, b, score FROM (
+  SELECT a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 12) AS score FROM c a JOIN c b ON a.id < b.id WHERE a.label < 5 AND b.label < 5) WHERE score >= 0.3),
+{_scan('m')},
+k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY m.score DESC, m.a, m.b) AS n, m.a, m.b, x.w AS wa, y.w AS wb, list_transform(list_zip(x.v, y.v), lambda z: z[1] + z[2]) AS z FROM m JOIN c x ON x.id = m.a JOIN c y ON y.id = m.b),
+o AS MATERIALIZED (SELECT k.n, list(c.id ORDER BY round({_COS.format('k.z', 'c.v')}, 12) DESC, c.id) AS l FROM k, c WHERE c.label >= 5 GROUP BY k.n),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS bridge
+  UNION ALL SELECT o.n, list_append(r.used, list_filter(o.l, lambda x: NOT list_contains(r.used, x))[1]), list_filter(o.l, lambda x: NOT list_contains(r.used, x))[1] FROM r JOIN o ON o.n = r.n + 1),
+t AS (SELECT k.a, k.b, r.bridge, k.wa, k.wb, c.w AS w3 FROM k JOIN r ON r.n = k.n JOIN c ON c.id = r.bridge),
+s AS (SELECT *, w3 * w3 / sqrt(wa ** 4 + wb ** 4 + w3 ** 4) AS q FROM t)
+SELECT substr(sha256('11|' || a || '|' || b || '|' || bridge), 1, 24) AS id, a AS cm1_id, b AS cm2_id, bridge AS bridge_id, 11 AS level, round(q, 6) AS strength, round(q * (1 + 0.5 * (14 - 11) / 13.0), 6) AS weight FROM s""")
 def triad_formation(spark, d):
     from nodeloom.plans.build import form_level
 
@@ -235,12 +279,94 @@ def sweep_extension(spark, d):
     return t.select("id", "level", F.round("connection_strength", 6).alias("strength"))
 
 
+_LP = f"""{_S}, n AS (SELECT *, list_transform(v, lambda x: x / sqrt({_DOT.format('v', 'v')})) AS u FROM s),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, a, b) AS n, a, b, score FROM (
+  SELECT a.id AS a, b.id AS b, round({_DOT.format('a.u', 'b.u')}, 12) AS score FROM n a JOIN n b ON a.id < b.id WHERE {_DOT.format('a.u', 'b.u')} >= 0.7199) WHERE score >= 0.72),
+{_scan('m')}"""
+
+
+@query(f"WITH RECURSIVE {_LP} SELECT a, b, round(score, 6) AS q FROM m")
+def leaf_pairs(spark, d):
+    from nodeloom.plans.build import leaf_pairs as pairs
+
+    return pairs(spark, senses(spark, d), DIM, 0.72, 0.40).select("a", "b", F.round("q", 6).alias("q"))
+
+
+@query(f"""WITH RECURSIVE {_LP},
+e AS (SELECT substr(sha256('15|' || a || '|' || b), 1, 24) AS id, a, b, score, list_transform(list_zip(x.v, y.v), lambda z: z[1] + z[2]) AS z FROM m JOIN s x ON x.id = m.a JOIN s y ON y.id = m.b),
+o AS (SELECT s.id, s.v FROM s WHERE s.id NOT IN (SELECT a FROM m UNION ALL SELECT b FROM m)),
+r AS (SELECT o.id, e.id AS match, e.score FROM o, e QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY round({_COS.format('o.v', 'e.z')}, 12) DESC, e.id) = 1)
+SELECT id, a AS cm1_id, b AS cm2_id, round(score, 6) AS q FROM e UNION ALL SELECT substr(sha256('15|' || id || '|' || match), 1, 24), id, match, round(score, 6) FROM r""")
+def leaf_edges_neutral(spark, d):
+    from nodeloom.plans.build import leaf_stage
+
+    return leaf_stage(spark, senses(spark, d), None, DIM, 0.72, 0.40).select("id", "cm1_id", "cm2_id", F.round("q", 6).alias("q"))
+
+
+def _options():
+    from nodeloom.options import Options
+
+    return Options(dim=DIM)
+
+
 @query()
 def leaf_edges(spark, d):
-    from nodeloom.plans.build import leaf_stage
+    """The leaf stage as built: type texts of the words around, their vectors, weighted edge vectors, re-entry."""
+    from nodeloom.plans.build import embedded_types, leaf_stage
+
+    e = leaf_stage(spark, senses(spark, d), neighbourhoods(table(spark, d, "sense_relations")), DIM, 0.72, 0.40, embedded_types(_options()))
+    return e.select("id", "cm1_id", "cm2_id", F.round("q", 6).alias("q"), "source", F.round(F.col("vec")[0], 6).alias("x1"), F.round(F.col("type_vec")[0], 6).alias("t1"))
+
+
+def _own_edges(spark, d):
+    """Senses with the latest document's parent, and the edges of two senses with their neutral vectors."""
+    g = docs(spark, d)
+    n = g.filter("node_type = 'sense'").select("id", "sense_id", "word", "pos", "parent_edge_id")
+    n = n.join(senses(spark, d).select(F.col("id").alias("sense_id"), "vec"), "sense_id").drop("sense_id")
+    e = g.filter("doc_type <> 'node' AND level = 15").select("id", "cm1_id", "cm2_id")
+    e = e.join(n.select(F.col("id").alias("cm1_id"), F.col("vec").alias("v1")), "cm1_id").join(n.select(F.col("id").alias("cm2_id"), F.col("vec").alias("v2")), "cm2_id")
+    return g, n, e.select("id", V.neutral_edge_vector(F.col("v1"), F.col("v2")).alias("vec"))
+
+
+_OE = f"""{_G}, {_S}, n AS (SELECT g.id, g.word, g.pos, g.parent_edge_id AS p, s.v FROM g JOIN s ON s.id = g.sense_id WHERE g.node_type = 'sense'),
+z AS (SELECT g.id, list_transform(list_zip(a.v, b.v), lambda x: x[1] + x[2]) AS v FROM g JOIN n a ON a.id = g.cm1_id JOIN n b ON b.id = g.cm2_id WHERE g.doc_type <> 'node' AND g.level = 15),
+ed AS (SELECT id, {_NORM.format('v')} AS v FROM z)"""
+
 
-    s = senses(spark, d).select("id", "word", "pos", "vec")
-    return leaf_stage(spark, s, None, DIM, 0.72, 0.40).select("id", "cm1_id", "cm2_id", F.round("q", 6).alias("q"), "source")
+@query(f"""WITH {_OE}, w AS (SELECT id, word, pos FROM g WHERE node_type = 'word'),
+c AS (SELECT DISTINCT w.id, ed.id AS part, ed.v FROM w JOIN n ON n.word = w.word AND n.pos = w.pos JOIN ed ON ed.id = n.p
+  UNION ALL SELECT DISTINCT w.id, n.id, n.v FROM w JOIN n ON n.word = w.word AND n.pos = w.pos WHERE n.p IS NULL OR n.p = ''),
+u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c), t AS (SELECT id, i, sum(x) AS x FROM u GROUP BY id, i), k AS (SELECT id, list(x ORDER BY i) AS v FROM t GROUP BY id)
+SELECT id, round(({_NORM.format('v')})[1], 6) AS x1, round(({_NORM.format('v')})[64], 6) AS x64 FROM k""")
+def word_vectors(spark, d):
+    from nodeloom.plans.build import word_vectors as vectors
+
+    g, n, e = _own_edges(spark, d)
+    v = vectors(g.filter("node_type = 'word'").select("id", "word", "pos"), n, e)
+    return v.select("id", F.round(F.col("vec")[0], 6).alias("x1"), F.round(F.col("vec")[63], 6).alias("x64"))
+
+
+@query(f"""WITH RECURSIVE {_TG}, s AS (SELECT sense_id AS id, word, pos, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM (
+  SELECT *, row_number() OVER (PARTITION BY sense_id ORDER BY row_id) AS rn FROM parsed_senses
+  WHERE sense_id IS NOT NULL AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0) WHERE rn = 1),
+u AS (SELECT word || '|' || pos AS id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM s), t AS (SELECT id, i, sum(x) AS x FROM u GROUP BY id, i),
+k AS (SELECT id, list(x ORDER BY i) AS v0 FROM t WHERE id IN (SELECT id FROM w) GROUP BY id), v AS (SELECT id, {_NORM.format('v0')} AS v FROM k),
+m AS (SELECT substr(sha256('14|' || g.a || '|' || g.b), 1, 24) AS id, g.a, g.b, g.edge_type, g.q, list_transform(list_zip(x.v, y.v), lambda z: g.q * z[1] + g.q * z[2]) AS z FROM g JOIN v x ON x.id = g.a JOIN v y ON y.id = g.b WHERE g.a IS NOT NULL),
+o AS (SELECT id, v FROM v WHERE id NOT IN (SELECT a FROM m UNION ALL SELECT b FROM m)),
+r AS (SELECT o.id, m.id AS match, m.edge_type, m.q FROM o, m QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY round({_COS.format('o.v', 'm.z')}, 12) DESC, m.id) = 1)
+SELECT id, a AS cm1_id, b AS cm2_id, edge_type, q, 1.0::DOUBLE AS confidence, 'ingested' AS source FROM m
+UNION ALL SELECT substr(sha256('14|' || id || '|' || match), 1, 24), id, match, edge_type, q, q, 'inferred' FROM r""")
+def word_stage(spark, d):
+    """The word stage with words at the sum of their senses and type vectors of zeros, so SQL can follow the nearest edges."""
+    from nodeloom.options import TYPE_SENTENCES
+    from nodeloom.plans.build import tier_pairs
+    from nodeloom.plans.build import word_stage as stage
+
+    v = senses(spark, d).groupBy(F.concat_ws("|", "word", "pos").alias("id")).agg(V.normalize(V.vector_sum(F.col("vec"))).alias("vec"))
+    w = _words_in_order(spark, d).select("id").join(v, "id")
+    types = spark.createDataFrame([(t,) for t in sorted(TYPE_SENTENCES)], "edge_type STRING").withColumn("type_vec", F.array_repeat(F.lit(0.0), DIM))
+    e = stage(spark, w, M.by_tiers(spark, tier_pairs(spark, resolved_relations(spark, d))), types, DIM)
+    return e.select("id", "cm1_id", "cm2_id", "edge_type", "q", "confidence", "source")
 
 
 # -- texts, ids and upserts --------------------------------------------------------------------------------------------
@@ -421,7 +547,7 @@ def missing_targets(spark, d):
     return r.join(table(spark, d, "parsed_words").select("word"), "word", "left_anti")
 
 
-@query()
+@query(f"WITH {_G} SELECT id, level, parent_edge_id FROM g WHERE doc_type <> 'node' AND level BETWEEN 10 AND 13 ORDER BY md5('7|' || id), id LIMIT 50")
 def sampled_triads(spark, d):
     t = docs(spark, d).filter("doc_type <> 'node' AND level BETWEEN 10 AND 13").select("id", "level", "parent_edge_id")
     return R.sample_rows(t, 50, "id", 7)
@@ -443,19 +569,38 @@ def dictionary_senses(spark, d):
     return s.select("ord", "sense_id", "sense_idx", "gloss", "embed_text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_S.replace("s AS", "s0 AS", 1)}, cw AS (SELECT word, min(pos) AS pos FROM core_words GROUP BY word HAVING count(DISTINCT pos) = 1),
+s AS (SELECT s0.id, s0.v, s0.word, coalesce(cw.pos, 'noun') AS pos, cw.word IS NOT NULL AS old, r.ord FROM s0 JOIN (SELECT sense_id, min(row_id) AS ord FROM parsed_senses GROUP BY sense_id) r ON r.sense_id = s0.id LEFT JOIN cw ON cw.word = s0.word WHERE s0.word IS NOT NULL),
+e AS (SELECT b.id AS late, b.ord, a.id AS early, a.ord AS eo, round({_COS.format('a.v', 'b.v')}, 12) AS score FROM s a JOIN s b ON a.word = b.word AND a.ord < b.ord WHERE {_COS.format('a.v', 'b.v')} >= 0.7),
+p AS MATERIALIZED (SELECT late, list(early) AS es, row_number() OVER (ORDER BY min(ord)) AS n FROM e GROUP BY late),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS merged UNION ALL SELECT p.n, CASE WHEN len(list_filter(p.es, lambda x: NOT list_contains(w.merged, x))) > 0 THEN list_append(w.merged, p.late) ELSE w.merged END FROM w JOIN p ON p.n = w.n + 1),
+m AS (SELECT unnest(merged) AS id FROM (SELECT merged FROM w ORDER BY n DESC LIMIT 1)), t AS (SELECT late, arg_min(early, (-score, eo)) AS early FROM e WHERE early NOT IN (SELECT id FROM m) GROUP BY late)
+SELECT s.id AS sense_id, s.word, s.pos, CASE WHEN m.id IS NOT NULL THEN 'merged' WHEN NOT s.old AND s.ord = min(s.ord) OVER (PARTITION BY s.word, s.old) THEN 'new_word' ELSE 'new_sense' END AS outcome, CASE WHEN m.id IS NOT NULL THEN t.early END AS merged_into
+FROM s LEFT JOIN m ON m.id = s.id LEFT JOIN t ON t.late = s.id""")
 def batch_ingest(spark, d):
-    from nodeloom.plans.ingest import ingest
-    from nodeloom.sources.terms import term_rows
+    """All senses as a batch of terms with their own vectors, into a graph of the core words (those of one part of speech)."""
+    from nodeloom.plans.ingest import settle
 
-    t = table(spark, d, "documents").filter("text IS NOT NULL AND headword IS NOT NULL")
-    terms = term_rows(t.select(F.col("doc_id").alias("ord"), F.col("source").alias("doi"), F.concat(F.lit("t"), F.col("doc_id")).alias("term_id"), F.col("headword").alias("term"), F.col("text").alias("gloss")))
-    w = _words_in_order(spark, d).withColumn("vec", F.lit(None).cast("array<double>"))
-    s = senses(spark, d).select("id", "word", "pos", F.col("vec").cast("array<double>").alias("vec"))
-    return ingest(spark, terms, w, s, DIM).select("sense_id", "word", "pos", "outcome", "merged_into")
+    s = table(spark, d, "parsed_senses").groupBy("sense_id").agg(F.min("row_id").alias("ord"))
+    t = senses(spark, d).join(s, F.col("id") == F.col("sense_id")).select("ord", "word", "sense_id", F.lit("").alias("gloss"), F.array().cast("array<string>").alias("dois"), "vec")
+    w = table(spark, d, "core_words").groupBy("word").agg(F.min("pos").alias("pos"), F.count_distinct("pos").alias("n")).filter("n = 1")
+    w = w.select("word", "pos", F.lit(1).alias("ord"), F.lit(None).cast("array<double>").alias("vec"))
+    none = spark.createDataFrame([], "id STRING, word STRING, pos STRING, vec ARRAY<DOUBLE>")
+    return settle(spark, t.withColumn("vec", V.doubles(F.col("vec"))), w, none, DIM, 0.7).select("sense_id", "word", "pos", "outcome", "merged_into")
 
 
-@query()
+def _label_sql() -> str:
+    from nodeloom.plans.labels import SYSTEM
+
+    return f"""{_TV}, l AS (SELECT id, branch, list_sort(list(word))[1:10] AS ws FROM (SELECT top AS id, branch, word FROM tl) GROUP BY id, branch),
+b AS (SELECT id, coalesce(max(array_to_string(ws, ', ')) FILTER (branch = 'child1'), '') AS c1, coalesce(max(array_to_string(ws, ', ')) FILTER (branch = 'child2'), '') AS c2, coalesce(max(array_to_string(ws, ', ')) FILTER (branch = 'bridge'), '') AS br FROM l GROUP BY id)
+SELECT e.id AS key, CAST(json_object('key', e.id, 'request', json_object('system_instruction', json_object('role', 'system', 'parts', [json_object('text', '{SYSTEM}')]),
+ 'contents', [json_object('role', 'user', 'parts', [json_object('text', format('level {{}}, strength {{}}' || chr(10) || 'A: {{}}' || chr(10) || 'B: {{}}' || chr(10) || 'bridge: {{}}', e.level, CAST(CAST(round(CAST(coalesce(e.connection_strength, 0.0) AS DECIMAL(18, 9)), 3) AS DECIMAL(18, 3)) AS VARCHAR), coalesce(b.c1, ''), coalesce(b.c2, ''), coalesce(b.br, '')))])],
+ 'generationConfig', json_object('responseMimeType', 'application/json', 'maxOutputTokens', 1024, 'temperature', 0.2::DOUBLE, 'frequencyPenalty', 0.0::DOUBLE, 'thinkingConfig', json_object('thinkingBudget', 0)))) AS VARCHAR) AS line
+FROM g e LEFT JOIN b ON b.id = e.id WHERE e.doc_type <> 'node' AND e.level <= 13"""
+
+
+@query(_label_sql)
 def label_requests(spark, d):
     from nodeloom.plans.labels import requests
 
@@ -463,7 +608,10 @@ def label_requests(spark, d):
     return requests(spark, g, g.filter("doc_type <> 'node' AND level <= 13").select("id"))
 
 
-@query()
+@query("""WITH k AS (SELECT DISTINCT word FROM parsed_words WHERE word IS NOT NULL),
+p AS (SELECT DISTINCT least(from_word, word) AS a, greatest(from_word, word) AS b FROM sense_relations WHERE kind = 'synonyms' AND from_word <> word),
+q AS (SELECT a, b FROM p WHERE a IN (SELECT word FROM k) AND b IN (SELECT word FROM k)), g AS (SELECT word, arg_min(gloss, row_id) AS gloss FROM parsed_senses WHERE gloss <> '' GROUP BY word)
+SELECT a AS word_a, coalesce(g.gloss, a) AS gloss_a, b AS word_b FROM (SELECT * FROM q QUALIFY row_number() OVER (ORDER BY md5('13|' || a || '|' || b), a, b) <= greatest(1, round((SELECT count(*) FROM q) * 0.1))) q LEFT JOIN g ON g.word = q.a""")
 def holdout_pairs(spark, d):
     from nodeloom.plans.evaluate import holdout
 
@@ -502,11 +650,13 @@ def triad_bridges(spark, d):
     return G.bridges(docs(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_G}, k AS (SELECT id AS p, unnest([cm1_id, cm2_id]) AS c FROM g WHERE doc_type <> 'node'), kk AS (SELECT p, c FROM k JOIN g ON g.id = k.c), {_BR},
+_TV = f"""WITH RECURSIVE {_G}, k AS (SELECT id AS p, unnest([cm1_id, cm2_id]) AS c FROM g WHERE doc_type <> 'node'), kk AS (SELECT p, c FROM k JOIN g ON g.id = k.c), {_BR},
 st AS (SELECT id AS top, 'child1' AS branch, cm1_id AS id FROM e UNION ALL SELECT id, 'child2', cm2_id FROM e UNION ALL SELECT id, 'bridge', bridge FROM br),
 t AS (SELECT st.top, st.branch, st.id, 0 AS depth FROM st JOIN g ON g.id = st.id UNION SELECT t.top, t.branch, kk.c, t.depth + 1 FROM t JOIN kk ON kk.p = t.id WHERE t.depth < 15),
-l AS (SELECT DISTINCT t.top, t.branch, g.word FROM t JOIN g ON g.id = t.id WHERE g.doc_type = 'node' AND g.word IS NOT NULL)
-SELECT top AS id, branch, array_to_string(list_sort(list(word)), ',') AS words FROM l GROUP BY top, branch""")
+tl AS (SELECT DISTINCT t.top, t.branch, g.word FROM t JOIN g ON g.id = t.id WHERE g.doc_type = 'node' AND g.word IS NOT NULL)"""
+
+
+@query(f"{_TV} SELECT top AS id, branch, array_to_string(list_sort(list(word)), ',') AS words FROM tl GROUP BY top, branch")
 def triad_views(spark, d):
     g = docs(spark, d)
     t = g.filter("doc_type <> 'node' AND level <= 13").select("id")
@@ -521,10 +671,15 @@ def ancestors(spark, d):
     return G.ancestors(spark, g, g.select("id"), 6)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_G}, u AS (SELECT a.id, b.id AS p FROM g a JOIN g b ON b.id = a.parent_edge_id),
+h AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM g WHERE doc_type = 'node'),
+t AS (SELECT CAST(0 AS BIGINT) AS n, 0 AS step, CAST(NULL AS VARCHAR) AS id, true AS pointer, (SELECT list(id) FROM h) AS met
+  UNION ALL SELECT CASE WHEN x.up THEN x.n ELSE x.n + 1 END, CASE WHEN x.up THEN x.step + 1 ELSE 0 END, CASE WHEN x.up THEN x.p ELSE h.id END, x.up AND list_contains(x.met, x.p), CASE WHEN x.up AND NOT list_contains(x.met, x.p) THEN list_append(x.met, x.p) ELSE x.met END
+  FROM (SELECT t.n, t.step, t.met, u.p, (NOT t.pointer AND t.step < 20 AND u.p IS NOT NULL) AS up FROM t LEFT JOIN u ON u.id = t.id) x LEFT JOIN h ON h.n = x.n + 1 WHERE x.up OR h.id IS NOT NULL)
+SELECT h.id AS hit, t.step, t.id, t.pointer FROM t JOIN h ON h.n = t.n WHERE t.step > 0""")
 def ancestor_chains(spark, d):
     g = docs(spark, d)
-    hits = g.filter("doc_type <> 'node' AND level = 14").select(F.col("id").alias("hit"), "id")
+    hits = g.filter("doc_type = 'node'").select(F.col("id").alias("hit"), "id")
     return G.ancestor_chains(spark, g, hits)
 
 
@@ -563,10 +718,8 @@ ws AS (SELECT start, list(word) AS ws FROM l GROUP BY start), e AS (SELECT id, c
 SELECT e.id, len(list_intersect(a.ws, b.ws)) AS overlap, round(len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))), 6) AS jaccard FROM e JOIN ws a ON a.start = e.cm1_id JOIN ws b ON b.start = e.cm2_id""")
 def child_overlap(spark, d):
     g = docs(spark, d)
-    w = G.leaf_words(spark, g, _edge_starts(g))
-    e = g.filter("doc_type <> 'node' AND level <= 13").select("id", "cm1_id", "cm2_id")
-    j = e.join(w.select(F.col("start").alias("cm1_id"), F.col("words").alias("wa")), "cm1_id").join(w.select(F.col("start").alias("cm2_id"), F.col("words").alias("wb")), "cm2_id")
-    return R.overlap(j, "wa", "wb").select("id", F.col("overlap").cast("bigint").alias("overlap"), F.round("jaccard", 6).alias("jaccard"))
+    e = g.filter("doc_type <> 'node' AND level <= 13").select("id", F.col("cm1_id").alias("a"), F.col("cm2_id").alias("b"))
+    return G.word_overlaps(spark, g, e).select("id", "overlap", F.round("jaccard", 6).alias("jaccard"))
 
 
 # -- provenance --------------------------------------------------------------------------------------------------------

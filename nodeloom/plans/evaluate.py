@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.operators import graph as G
-from nodeloom.operators.relational import recall_at_k, unordered_pairs
+from nodeloom.operators.simjoin import nearest
+from nodeloom.operators.relational import recall_at_k, seeded_order, unordered_pairs
 
 
 def holdout(relations: DataFrame, words: DataFrame, senses: DataFrame, fraction: float, seed: int = 13) -> DataFrame:
@@ -16,7 +17,7 @@ def holdout(relations: DataFrame, words: DataFrame, senses: DataFrame, fraction:
     p = unordered_pairs(relations.filter("kind = 'synonyms'"), "from_word", "word")
     p = p.join(known.withColumnRenamed("word", "a"), "a", "left_semi").join(known.withColumnRenamed("word", "b"), "b", "left_semi")
     n = p.count()
-    p = p.orderBy(F.xxhash64(F.lit(seed), "a", "b"), "a", "b").limit(max(1, round(n * fraction)))
+    p = p.orderBy(*seeded_order(seed, "a", "b")).limit(max(1, round(n * fraction)))
     g = senses.filter("gloss <> ''").groupBy(F.col("word").alias("a")).agg(F.min_by("gloss", "row_id").alias("g"))
     return p.join(g, "a", "left").select(F.col("a").alias("word_a"), F.coalesce("g", "a").alias("gloss_a"), F.col("b").alias("word_b"))
 
@@ -34,3 +35,12 @@ def graph_recall(spark: SparkSession, graph: DataFrame, edge_hits: DataFrame, no
         return pairs.select("pair").distinct().join(hits, "pair", "left").select(F.lit(name).alias("method"), "pair", F.coalesce("hit", F.lit(False)).alias("hit"))
 
     return recall_at_k(of("graph", found).unionByName(of("flat", flat)))
+
+
+def search_recall(spark: SparkSession, graph: DataFrame, vectors: DataFrame, pairs: DataFrame, queries: DataFrame, dim: int, k: int = 20) -> DataFrame:
+    """``graph_recall`` of the k nearest edges and the k nearest nodes of levels 14 and 15 to each query vector (pair, vec)."""
+    q = queries.select(F.col("pair").alias("id"), "vec")
+    v = vectors.join(graph.select("id", "doc_type", "level"), "id")
+    kinds = v.filter("doc_type <> 'node'"), v.filter("doc_type = 'node' AND level IN (14, 15)")
+    edges, nodes = (nearest(q, x.select("id", "vec"), dim, k).select(F.col("id").alias("pair"), F.col("match").alias("id")) for x in kinds)
+    return graph_recall(spark, graph, edges, nodes, pairs)

@@ -21,16 +21,17 @@ def unlabelled(graph: DataFrame, level: int, limit: int = 50, offset: int = 0) -
     return page(t, "id", limit, offset)
 
 
-def requests(spark: SparkSession, graph: DataFrame, ids: DataFrame, temperature: float = 0.2, penalty: float = 0.0) -> DataFrame:
+def requests(spark: SparkSession, graph: DataFrame, ids: DataFrame, temperature: float = 0.2, penalty: float = 0.0, most_tokens: int = 1024, thinking: int = 0) -> DataFrame:
     """(key, request) per triad: the first ten words of each branch and the strength with three decimals, as JSON."""
-    v = triad_view(spark, graph, ids).groupBy("id").agg(*[F.max(F.when(F.col("branch") == b, X.first_words(F.col("words")))).alias(b) for b in ("child1", "child2", "bridge")])
+    v = triad_view(spark, graph, ids, cap=10).groupBy("id").agg(*[F.max(F.when(F.col("branch") == b, X.first_words(F.col("words")))).alias(b) for b in ("child1", "child2", "bridge")])
     t = ids.select("id").join(graph.select("id", "level", "connection_strength"), "id").join(v, "id", "left")
     none = F.lit("")
     text = F.format_string("level %d, strength %.3f\nA: %s\nB: %s\nbridge: %s", "level", F.coalesce("connection_strength", F.lit(0.0)), F.coalesce("child1", none), F.coalesce("child2", none), F.coalesce("bridge", none))
     body = F.struct(
-        F.struct(F.array(F.struct(F.lit(SYSTEM).alias("text"))).alias("parts")).alias("system_instruction"),
+        F.struct(F.lit("system").alias("role"), F.array(F.struct(F.lit(SYSTEM).alias("text"))).alias("parts")).alias("system_instruction"),
         F.array(F.struct(F.lit("user").alias("role"), F.array(F.struct(text.alias("text"))).alias("parts"))).alias("contents"),
-        F.struct(F.lit(temperature).alias("temperature"), F.lit(penalty).alias("frequencyPenalty"), F.lit("application/json").alias("responseMimeType")).alias("generationConfig"),
+        F.struct(F.lit("application/json").alias("responseMimeType"), F.lit(most_tokens).alias("maxOutputTokens"), F.lit(temperature).alias("temperature"),
+                 F.lit(penalty).alias("frequencyPenalty"), F.struct(F.lit(thinking).alias("thinkingBudget")).alias("thinkingConfig")).alias("generationConfig"),
     )
     return t.select(F.col("id").alias("key"), F.to_json(F.struct(F.col("id").alias("key"), body.alias("request"))).alias("line"))
 

@@ -26,9 +26,11 @@ SCHEMA = (
 def read_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(ord, value) of the lines of JSONL files, in no particular order unless ``limit`` is given."""
     t = spark.read.text(path)
-    if limit is not None:
-        t = t.limit(limit)
-    return t.select(F.monotonically_increasing_id().alias("ord"), "value")
+    if limit is None:
+        return t.select(F.monotonically_increasing_id().alias("ord"), "value")
+    # the first lines of the files in order of their names
+    at = t.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("ord"), "value")
+    return at.orderBy("f", "b", "ord").limit(limit).select("ord", "value")
 
 
 def parse_lines(lines: DataFrame, lang: str = "en") -> tuple[DataFrame, DataFrame]:
@@ -58,9 +60,10 @@ def fixture_lines(lines: DataFrame, words: list[str], lang: str = "en") -> DataF
 
 
 def word_scope(spark: SparkSession, path: str) -> DataFrame:
-    """(id) of a file that holds a JSON list of ids."""
-    t = spark.read.option("wholetext", True).text(path)
-    return t.select(F.explode(F.from_json("value", "array<string>")).alias("id")).filter("id IS NOT NULL").distinct()
+    """(id) of a file or folder of ids: JSON lists of ids, or lines {"id": ...} as the ingest's sink writes them."""
+    t = spark.read.text(path).select(F.trim("value").alias("v"))
+    ids = F.when(F.col("v").startswith("["), F.from_json("v", "array<string>")).otherwise(F.array(F.get_json_object("v", "$.id")))
+    return t.select(F.explode(ids).alias("id")).filter("id IS NOT NULL").distinct()
 
 
 def resume_after(df: DataFrame, key: str, last: str | int | None) -> DataFrame:

@@ -7,11 +7,12 @@ from nodeloom.options import Options
 from nodeloom.plans import build as B
 from nodeloom.plans import labels as L
 from nodeloom.plans.api import GraphAPI
-from nodeloom.plans.ingest import ingest, outcome_counts
+from nodeloom.plans.ingest import ingest, outcome_counts, settle
 from nodeloom.plans.stages import STAGES, StageOrderError, StageStore, preflight, run_stage
 from nodeloom.sources import dictionary as D
 from nodeloom.sources import sinks
 from nodeloom.sources.terms import dedupe, read_terms
+from nodeloom.streaming import incremental as I
 from nodeloom.streaming.incremental import current, ingest_stream, stream_terms
 
 WORDS = ["warm", "cold", "bright", "dim", "loud", "calm"]
@@ -59,7 +60,7 @@ def test_build(spark, built):
     assert built["words"].filter("vec IS NULL").count() == 0 and built["senses"].filter("parent_edge_id IS NULL").count() == 0
     leaf, we, tri = (built[k].collect() for k in ("leaf_edges", "word_edges", "triads"))
     assert len(leaf) == 4 and {r.source for r in leaf} == {"inferred"} and sum(len(r.member_ids) for r in leaf) == 7
-    assert {r.edge_type for r in we} == {"contradicts"} and len(we) == 3 and all(r.q == 0.85 for r in we)
+    assert {r.edge_type for r in we} == {"contradicts"} and len(we) == 3 and all(r.q == 0.85 and r.confidence == 1.0 for r in we)
     assert tri and all(r.level == 13 for r in tri if set(r.member_ids) & {x.id for x in leaf}) and all(0 <= r.connection_strength <= 1 for r in tri)
     for r in tri:
         assert abs(sum(x * x for x in r.vec) - 1) < 1e-9 and abs(r.accumulated_weight - r.connection_strength * (1 + 0.5 * (14 - r.level) / 13)) < 1e-12
@@ -93,16 +94,30 @@ def test_api(spark, built):
     assert a.edge_info(t)["branches"].count() == 3 and a.leaf_nodes(t).count() > 0 and a.scan_unlabeled(13).count() >= 1 and a.sample_triads(13, 1)["branches"].count() >= 3
     leaf = built["leaf_edges"].first().id
     assert a.traverse_up(built["senses"].first().id).count() >= 1 and a.graph_stats().count() >= 4
-    sid, b = a.create_sense("hum", "noun", "a low sound")
-    wid, b = b.create_word("hum", "noun", [sid])
+    e = a.context_search("gloss of dim e", "edge", 2, 1)
+    assert e["senses"].groupBy("hit").count().filter("count > 1").count() == 0 < e["senses"].count() and {r.sense_count for r in c["hits"].collect()} <= {str(i) for i in range(9)} and c["ancestor_branches"].count() >= 0
+    for bad in (9, 14):
+        with pytest.raises(ValueError):
+            a.scan_unlabeled(bad)
+        with pytest.raises(ValueError):
+            a.sample_triads(bad)
+    sid, b = a.create_sense("hum", "noun", "a low sound", ["it hums"], ["rare"], ["music"])
+    made = b.graph.filter(F.col("id") == sid).first()
+    assert (made.gloss, made.examples, made.tags, made.topics, made.label, made.sense_idx) == ("a low sound", ["it hums"], ["rare"], ["music"], "hum (noun) [0]", 0)
+    wid, b = b.create_word("hum", "noun", [sid, sid], "/h/", "old")
+    made = b.graph.filter(F.col("id") == wid).first()
+    assert (made.ipa, made.etymology, made.surface) == ("/h/", "old", 1)
     eid, b = b.create_edge(wid, b.find_word("loud").first().id, "extends")
-    assert b.find_word("hum").first().degree == 1 and b.graph.filter(F.col("id") == eid).first().q == 0.6
+    assert b.find_word("hum").first().degree == 1 and [(r.q, r.source, r.confidence, len(r.type_vector)) for r in b.graph.filter(F.col("id") == eid).collect()] == [(0.6, "ingested", 1.0, 16)]
     with pytest.raises(ValueError):
         b.create_edge(sid, wid)
     with pytest.raises(ValueError):
         a.create_word("x", "n", ["nope"])
     l2 = [r.id for r in built["leaf_edges"].limit(2).collect()]
-    tid, b = a.create_structural_triad(l2[0], l2[1], built["word_edges"].first().id)
+    tid, b, told = a.create_structural_triad(l2[0], l2[1], built["word_edges"].first().id, " me ")
+    assert told["author"] == "me" and -1 <= told["child_cosine"] <= 1 and told["level"] == 13 and b.graph.filter(F.col("id") == tid).first().author == "me"
+    with pytest.raises(ValueError):
+        a.create_structural_triad(l2[0], l2[1], built["word_edges"].first().id, "x" * 201)
     assert b.graph.filter(F.col("id") == tid).first().bridge_id and b.set_label(tid, "light", [0.0] * 16, "m").graph.filter(F.col("id") == tid).first().semantic_label == "light"
     with pytest.raises(ValueError):
         a.set_label(leaf, "light", [0.0] * 16, "m")
@@ -138,11 +153,54 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text("\n".join(map(json.dumps, BATCH)))
     ingest_stream(stream_terms(spark, str(tmp_path / "in"), 1), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert current(spark, str(tmp_path / "t"), 0).count() == 4
+    assert current(spark, str(tmp_path / "t")).count() == 4
     (tmp_path / "in/b.json").write_text(json.dumps({"doi": "10.1/a", "terms": [{"id": "3", "term": "warm", "gloss": "changed"}, {"id": "7", "term": "z", "gloss": "z"}]}))
     ingest_stream(stream_terms(spark, str(tmp_path / "in"), 1), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    r = {x.sense_id: x.gloss for x in current(spark, str(tmp_path / "t"), 1).collect()}
+    r = {x.sense_id: x.gloss for x in current(spark, str(tmp_path / "t")).collect()}
     assert len(r) == 5 and r["batch:10.1/a:3"] == "changed"
+    # only the touched buckets were written again, and a repeated batch changes nothing
+    versions = I._versions(spark, str(tmp_path / "t"))
+    assert sum(v[-1] == 1 for v in versions.values()) <= 2 < len(versions)
+    I.write_batch(current(spark, str(tmp_path / "t"), 1).limit(0), 1, str(tmp_path / "u"), "sense_id")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "sense_id STRING, x INT")
+    for n, d in ((0, rows), (1, rows.filter("x = 2").withColumn("x", F.lit(3))), (1, rows.filter("x = 2").withColumn("x", F.lit(3))), (2, rows.filter("x = 2").withColumn("x", F.lit(4)))):
+        I.write_batch(d, n, str(tmp_path / "w"), "sense_id")
+    assert sorted(map(tuple, current(spark, str(tmp_path / "w")).collect())) == [("a", 1), ("b", 4)] and max(map(len, I._versions(spark, str(tmp_path / "w")).values())) == 2
+
+
+def test_ingest_stream_sees_earlier_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    w = spark.createDataFrame([("warm", "adj", 1, None)], "word STRING, pos STRING, ord INT, vec ARRAY<DOUBLE>")
+    s = spark.createDataFrame([], "id STRING, word STRING, pos STRING, vec ARRAY<DOUBLE>")
+    for i, (term, gloss) in enumerate([("warm", "g1"), ("new", "g2"), ("warm", "g1"), ("new", "g3"), ("new", "g2")]):
+        (tmp_path / f"in/{i}.json").write_text(json.dumps({"doi": f"10.1/{i}", "terms": [{"id": "t", "term": term, "gloss": gloss}]}))
+        I.ingest_graph_stream(stream_terms(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c"), w, s, 16).awaitTermination()
+    got = {r.sense_id: (r.outcome, r.pos, r.merged_into) for r in current(spark, str(tmp_path / "t")).collect()}
+    assert got == {"batch:10.1/0:t": ("new_sense", "adj", None), "batch:10.1/1:t": ("new_word", "noun", None), "batch:10.1/2:t": ("merged", "adj", "batch:10.1/0:t"),
+                   "batch:10.1/3:t": ("new_sense", "noun", None), "batch:10.1/4:t": ("merged", "noun", "batch:10.1/1:t")}
+
+
+def test_hot_word_settles_like_the_sequence(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    c = rng.standard_normal((25, 6))
+    x = c[rng.integers(0, 25, 300)] + 0.25 * rng.standard_normal((300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    known, exp = [("k0", x[0]), ("k1", x[1])], {}
+    seen = list(known)
+    for i in range(2, 300):
+        score, to = max(((round(float(v @ x[i]), 12), -n) for n, (_, v) in enumerate(seen)))
+        if score >= 0.9:
+            exp[f"s{i}"] = ("merged", seen[-to][0])
+        else:
+            exp[f"s{i}"] = ("new_sense", None)
+            seen.append((f"s{i}", x[i]))
+    t = spark.createDataFrame([(i, "hot", f"s{i}", "g", [], [float(v) for v in x[i]]) for i in range(2, 300)], "ord BIGINT, word STRING, sense_id STRING, gloss STRING, dois ARRAY<STRING>, vec ARRAY<DOUBLE>")
+    w = spark.createDataFrame([("hot", "noun", 1, None)], "word STRING, pos STRING, ord INT, vec ARRAY<DOUBLE>")
+    s = spark.createDataFrame([(k, "hot", "noun", [float(a) for a in v]) for k, v in known], "id STRING, word STRING, pos STRING, vec ARRAY<DOUBLE>")
+    got = {r.sense_id: (r.outcome, r.merged_into) for r in settle(spark, t, w, s, 6, 0.9).collect()}
+    assert got == exp and len({v[0] for v in exp.values()}) == 2
 
 
 def test_stages(spark, tmp_path):
@@ -163,7 +221,12 @@ def test_stages(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", 14), ("b", 15), ("a", 14)], "id STRING, level INT")
     sinks.write_touched(d, str(tmp_path / "t"))
-    assert spark.read.json(str(tmp_path / "t")).count() == 2
+    assert sorted(r.id for r in D.word_scope(spark, str(tmp_path / "t")).collect()) == ["a", "b"]
+    (tmp_path / "ids.json").write_text('["x", "y", "x", null]')
+    assert sorted(r.id for r in D.word_scope(spark, str(tmp_path / "ids.json")).collect()) == ["x", "y"]
+    (tmp_path / "h.json").write_text('[{"word_a": "a", "gloss_a": "g", "word_b": "b"}]')
+    assert [tuple(r) for r in sinks.read_holdout(spark, str(tmp_path / "h.json")).collect()] == [("a", "g", "b")]
+    assert D.resume_after(d, "id", "a").count() == 1 and D.resume_after(d, "id", None).count() == 3
     sinks.layout(spark, d, "graph_layout", 4)
     j = spark.table("graph_layout").alias("x").join(spark.table("graph_layout").alias("y"), "id").hint("merge")
     assert j.count() == 5 and sinks.exists(d) and not sinks.exists(d.limit(0))
