@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from nodeloom.functions.visual_sql import form_sql
 from nodeloom.llm import encode, languages, mixing, similar, unify
 
 
@@ -17,4 +18,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    parts = [("parsed_words", "word", "word"), ("parsed_words", "ipa", "ipa"), ("sense_relations", "word", "word")]
+    values = " UNION ALL ".join(f"SELECT '{t}' AS src_table, row_id, '{f}' AS field, '{k}' AS kind, {f} AS value FROM {t}" for t, f, k in parts)
+    form = f"CASE kind WHEN 'ipa' THEN {form_sql('value', 'ipa')} ELSE {form_sql('value')} END"
+    return {
+        "p2_found": f"""WITH v AS ({values}), m AS MATERIALIZED (SELECT kind, value, {form} AS form FROM (SELECT DISTINCT kind, value FROM v WHERE value IS NOT NULL))
+SELECT v.src_table, v.row_id, v.field FROM v JOIN m ON m.kind = v.kind AND m.value = v.value WHERE m.value <> m.form""",
+    }
