@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import shutil
 import tempfile
 import time
@@ -31,34 +30,40 @@ class StageState:
 
 
 class StageStore:
-    """One JSON file per stage, replaced atomically."""
+    """One JSON file per stage in a folder of any file system Spark reads, replaced by renaming."""
 
-    def __init__(self, directory: str):
-        self.dir = directory
-        os.makedirs(directory, exist_ok=True)
+    def __init__(self, directory: str, spark: SparkSession):
+        self.dir, self.jvm = directory.rstrip("/"), spark._jvm
+        root = self.jvm.org.apache.hadoop.fs.Path(self.dir)
+        self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(root)
 
-    def _path(self, stage: str) -> str:
-        return os.path.join(self.dir, f"{stage}.json")
+    def _path(self, stage: str, end: str = "json"):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{stage}.{end}")
 
     def load(self, stage: str) -> StageState:
-        try:
-            with open(self._path(stage)) as f:
-                return StageState(**json.load(f))
-        except FileNotFoundError:
+        if not self.fs.exists(self._path(stage)):
             return StageState(stage)
+        f = self.fs.open(self._path(stage))
+        try:
+            return StageState(**json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8")))
+        finally:
+            f.close()
 
     def save(self, s: StageState) -> None:
         s.updated_at = time.time()
-        fd, tmp = tempfile.mkstemp(dir=self.dir)
-        with os.fdopen(fd, "w") as f:
-            json.dump(asdict(s), f)
-        os.replace(tmp, self._path(s.stage))
+        f = self.fs.create(self._path(s.stage, "new"), True)
+        try:
+            f.write(bytearray(json.dumps(asdict(s)).encode()))
+        finally:
+            f.close()
+        self.fs.delete(self._path(s.stage), False)
+        self.fs.rename(self._path(s.stage, "new"), self._path(s.stage))
 
     def reset(self, stage: str) -> None:
         """Forget a stage and all that follow it."""
         for s in STAGES[STAGES.index(stage) :]:
-            if os.path.exists(self._path(s)):
-                os.remove(self._path(s))
+            self.fs.delete(self._path(s), False)
 
     def begin(self, stage: str, force: bool = False, reset: bool = False) -> StageState | None:
         """The state to go on from, or None if the stage is done; raises if the stage before is not."""

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from nodeloom import cli
 from nodeloom.options import Options
 from nodeloom.plans import build as B
 from nodeloom.plans import labels as L
@@ -204,7 +205,7 @@ def test_hot_word_settles_like_the_sequence(spark):
 
 
 def test_stages(spark, tmp_path):
-    s = StageStore(str(tmp_path))
+    s = StageStore(str(tmp_path), spark)
     with pytest.raises(StageOrderError):
         run_stage(s, "embed", lambda st: 1)
     assert run_stage(s, "parse", lambda st: 3) == 3 and run_stage(s, "parse", lambda st: 3) is None and s.load("parse").processed == 3
@@ -218,6 +219,87 @@ def test_stages(spark, tmp_path):
     assert c["session"] and c[f"input {__file__}"] and not c["input /nowhere"] and c[f"writable {tmp_path}"] and not c["writable /nowhere"]
 
 
+def test_command_line(spark, parsed, tmp_path, capsys):
+    def run(*a):
+        return cli.main([*a, "--work", str(tmp_path)], spark, OPT)
+
+    assert cli.main(["nothing", "--work", "x"], spark) == 2 and run("embed") == 1 and run("preflight", "--dictionary", parsed[2]) == 0
+    assert run("parse", "--dictionary", parsed[2], "--dry-run") == 0 and not (tmp_path / "words").exists()
+    assert run("parse", "--dictionary", parsed[2]) == 0 and run("parse", "--dictionary", parsed[2]) == 1
+    for stage in STAGES[1:]:
+        assert run(stage) == 0, stage
+    d = spark.read.parquet(str(tmp_path / "documents"))
+    n = {(r.doc_type, r.level): r.n for r in d.groupBy("doc_type", "level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n["node", 15] == 7 and n["node", 14] == 6 and n["edge", 15] == 4 and n["edge", 14] == 3 and d.filter("doc_type = 'node' AND parent_edge_id IS NULL").count() == 0
+    assert run("leaf_edges", "--force") == 0 and spark.read.parquet(str(tmp_path / "leaf_edges")).count() == 4
+    v = {r.id: r.vec for r in spark.read.parquet(str(tmp_path / "word_vectors")).collect()}
+    one = sorted(v)[0]
+    (tmp_path / "ids.json").write_text(json.dumps([one]))
+    assert run("word_vectors", "--force", "--word-ids-file", str(tmp_path / "ids.json")) == 0
+    again = {r.id: r.vec for r in spark.read.parquet(str(tmp_path / "word_vectors")).collect()}
+    assert again.keys() == v.keys() and all(max(abs(a - b) for a, b in zip(again[k], v[k])) < 1e-9 for k in v)
+    assert run("embed", "--reset", "--limit", "3", "--batch-size", "2") == 0 and spark.read.parquet(str(tmp_path / "senses_embedded")).count() == 4 and run("leaf_edges") == 1
+
+
+def scan_triads(children, bridges, level, least):
+    """The sequential forming of one level: (members, vector, weight) over dicts id -> (vector, weight)."""
+    import numpy as np
+
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 12)
+    ids, taken, out, free = sorted(children), set(), [], set(bridges)
+    for s, a, b in sorted(((-cos(children[a][0], children[b][0]), a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])):
+        if -s >= least and a not in taken and b not in taken:
+            taken |= {a, b}
+            if free:
+                c = children[a][0] / np.linalg.norm(children[a][0]) * np.linalg.norm(children[a][0]) + children[b][0]
+                g = min(free, key=lambda x: (-cos(c, bridges[x][0]), x))
+                free.discard(g)
+                w = [children[a][1], children[b][1], bridges[g][1]]
+                v = w[0] * children[a][0] + w[1] * children[b][0] + w[2] * bridges[g][0]
+                raw = w[2] ** 2 / np.sqrt(sum(x**4 for x in w))
+                out.append(((a, b, g), v / np.linalg.norm(v), raw * (1 + 0.5 * (14 - (level - 2)) / 13)))
+    return out
+
+
+def test_levels_and_sweep_equal_the_sequence(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    c = rng.standard_normal((4, 5))
+    docs = {}
+    for level, n in ((15, 14), (14, 9), (13, 3)):
+        for i in range(n):
+            v = c[i % 4] + 0.5 * rng.standard_normal(5)
+            docs[f"{level}-{i:02d}"] = (v / np.linalg.norm(v), 0.5 + 0.02 * i, level)
+    frame = spark.createDataFrame([(k, [float(x) for x in v], float(w), lv) for k, (v, w, lv) in docs.items()], "id STRING, vec ARRAY<DOUBLE>, w DOUBLE, level INT")
+
+    def passes(docs, least, until_empty):
+        docs, gone, out = dict(docs), set(), []
+        while True:
+            added, level = 0, 15
+            while level - 2 >= 1:
+                one, two = ({k: x[:2] for k, x in docs.items() if x[2] == lv and k not in gone} for lv in (level, level - 1))
+                made = scan_triads(one, two, level, least(level))
+                if not made and not (until_empty and not one and level == 15 and not added):
+                    break
+                for m, v, w in made:
+                    k = hashlib.sha256("|".join([str(level - 2), *m]).encode()).hexdigest()[:24]
+                    docs[k] = (v, w, level - 2)
+                    gone |= set(m)
+                    out.append(m)
+                added += len(made)
+                level -= 1
+            if not until_empty or not added:
+                return out
+
+    got = [tuple(r.member_ids) for r in B.build_levels(spark, frame, 5, 0.6).collect()]
+    assert sorted(got) == sorted(passes(docs, lambda _: 0.6, False)) and got
+    t, _ = B.sweep(spark, frame, 5, 0.9, lambda level: 0.6 - 0.01 * level)
+    assert sorted(tuple(r.member_ids) for r in t.collect()) == sorted(passes(docs, lambda level: min(0.9, 0.6 - 0.01 * level), True))
+
+
 def test_sinks(spark, tmp_path):
     d = spark.createDataFrame([("a", 14), ("b", 15), ("a", 14)], "id STRING, level INT")
     sinks.write_touched(d, str(tmp_path / "t"))
