@@ -39,7 +39,9 @@ class FragmentEncoder:
     def __init__(self, path: str = RANKS):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
+        core = getattr(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}), "_core_bpe", None)
+        # the library's merging of one piece is not part of its public interface
+        self.merge = getattr(core, "encode_single_piece", self.merge_plainly)
         self.inside = np.zeros((256, 256), bool)
         for t in self.ranks:
             b = np.frombuffer(t, np.uint8)
@@ -70,6 +72,17 @@ class FragmentEncoder:
         ends = [0, *at, len(piece)]
         return [piece[i:j] for i, j in zip(ends, ends[1:])]
 
+    def merge_plainly(self, piece: bytes) -> list[int]:
+        """The ids of a piece: the pair of least rank is merged, the first of equal ones, until none is a token."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            ranks = [self.ranks.get(a + b, len(self.ranks)) for a, b in zip(parts, parts[1:])]
+            at = min(range(len(ranks)), key=ranks.__getitem__)
+            if ranks[at] == len(self.ranks):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
+
     def fragment(self, text: str) -> list[int]:
         out: list[int] = []
         for m in self.pattern.findall(text):
@@ -79,7 +92,7 @@ class FragmentEncoder:
                 out.append(whole)
             else:
                 for part in self.certain_cuts(piece):
-                    out += self.core.encode_single_piece(part)
+                    out += self.merge(part)
         return out
 
     def fragments(self, text: str) -> list[str]:

@@ -151,3 +151,11 @@ def reached_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = document_sizes(spark, sf_dir)
     shares = allotment(sizes, table(spark, sf_dir, "mix_targets"))
     return report(spark, sizes, draw(spark, sizes, shares), shares)
+
+
+def character_allotment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p7_allotment``: what each source is asked for if sizes are characters: the water-filling alone, without a draw."""
+    sizes = table(spark, sf_dir, "documents").select("source", F.col("n_chars").alias("tokens"))
+    rows = [(s.source, s.target, s.cap, s.size, s.wanted, s.epochs) for s in allotment(sizes, table(spark, sf_dir, "mix_targets"))]
+    out = spark.createDataFrame(rows, "source STRING, target_share DOUBLE, max_repeats INT, size BIGINT, wanted DOUBLE, epochs DOUBLE")
+    return out.select("source", F.round("target_share", 6).alias("target_share"), "max_repeats", "size", F.round("wanted", 3).alias("wanted"), F.round("epochs", 6).alias("epochs"))

@@ -114,6 +114,10 @@ def test_encode_round_trip(spark):
 
 def test_certain_cuts():
     e = E.encoder()
+    rng = random.Random(5)
+    for _ in range(300):
+        piece = "".join(rng.choice("aetinosr 漢ß1") for _ in range(rng.randint(1, 30))).encode()
+        assert e.merge_plainly(piece) == list(e.merge(piece))
     for p in ("zq漢xkcd".encode(), b"abc", bytes(range(65, 200))):
         parts = e.certain_cuts(p)
         assert b"".join(parts) == p and all(not e.inside[a[-1], b[0]] for a, b in zip(parts, parts[1:]))
