@@ -63,31 +63,29 @@ def greedy(spark: SparkSession, pairs: DataFrame, order: list[Column], scratch:
     Null ends are no pairs; a pair of an end with itself is never taken; repeated pairs count once."""
     s = scratch or Scratch(spark, "greedy")
     cols = pairs.columns
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("a").alias("ka"), F.col("b").alias("kb"))
-    left, c = s.cut(pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).withColumn("_k", key), n=F.count(F.lit(1)))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col("a").alias("ka"), F.col("b").alias("kb")).alias("_k")
+    left, c = s.cut(pairs.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))), n=F.count(F.lit(1)))
     most = IN_TASK if in_task is None else in_task
     taken = []
     while c["n"]:
         if c["n"] <= most:
-            rest = left.repartition(1).sortWithinPartitions("_k").select(*cols)
+            rest = left.select(*cols, key).repartition(1).sortWithinPartitions("_k").select(*cols)
             won, _ = s.cut(rest.mapInArrow(_scan_pairs, rest.schema))
             taken.append(won)
-            left = left.limit(0)
             break
-        ends = left.select(F.col("a").alias("e"), "_k").unionByName(left.select(F.col("b").alias("e"), "_k"))
+        ends = left.select(F.col("a").alias("e"), key).unionByName(left.select(F.col("b").alias("e"), key))
         best = ends.groupBy("e").agg(F.min("_k").alias("_k"))
-        both = best.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("_k")
-        won, _ = s.cut(left.join(both, "_k", "left_semi").select(*cols).dropDuplicates(["a", "b"]))
+        both = best.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("_k.*")
+        both = both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), *[F.col(f"k{i}") for i in range(len(order))])
+        won = left.select(*cols, *[x.alias(f"k{i}") for i, x in enumerate(order)]).join(both, both.columns, "left_semi")
+        won, _ = s.cut(won.select(*cols).dropDuplicates(["a", "b"]))
         taken.append(won)
         gone = won.select(F.col("a").alias("e")).unionByName(won.select(F.col("b").alias("e")))
         nxt = left.join(gone.withColumnRenamed("e", "a"), "a", "left_anti").join(gone.withColumnRenamed("e", "b"), "b", "left_anti")
-        nxt, c = s.cut(nxt.select(*cols, "_k"), n=F.count(F.lit(1)))
+        nxt, c = s.cut(nxt.select(*cols), n=F.count(F.lit(1)))
         s.drop(left)
         left = nxt
-    out = left.select(*cols)
-    for t in taken:
-        out = out.unionByName(t.select(*cols))
-    return out
+    return _all([t.select(*cols) for t in taken]) if taken else left.select(*cols)
 
 
 def greedy_by_score(spark: SparkSession, pairs: DataFrame, threshold: float, floor: float | None = None) -> DataFrame:

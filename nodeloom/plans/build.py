@@ -36,9 +36,10 @@ def leaf_pairs(spark: SparkSession, senses: DataFrame, dim: int, threshold: floa
 
     Pairs of one (word, pos) are raised to ``floor``. recall: see ``simjoin.pairs``; None is exact."""
     p = S.pairs(spark, senses.select("id", "vec"), dim, threshold, recall)
-    if floor >= threshold:  # else raising a pair never lets it in
-        own = S.pairs_within(senses.select("word", "pos", "id", "vec"), ["word", "pos"], dim, -1.0)
-        p = p.unionByName(own.select("a", "b", "score")).dropDuplicates(["a", "b"])
+    if floor < threshold:  # raising a pair then changes nothing: it neither lets one in nor changes the order
+        return M.greedy_by_score(spark, p, threshold)
+    own = S.pairs_within(senses.select("word", "pos", "id", "vec"), ["word", "pos"], dim, -1.0)
+    p = p.unionByName(own.select("a", "b", "score")).dropDuplicates(["a", "b"])
     w = senses.select("id", "word", "pos")
     ends = p.join(w.select(F.col("id").alias("a"), F.col("word").alias("wa"), F.col("pos").alias("pa")), "a").join(
         w.select(F.col("id").alias("b"), F.col("word").alias("wb"), F.col("pos").alias("pb")), "b"
