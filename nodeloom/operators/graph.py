@@ -91,15 +91,20 @@ def leaf_documents(spark: SparkSession, graph: DataFrame, starts: DataFrame, max
 
 
 def leaf_words(spark: SparkSession, graph: DataFrame, starts: DataFrame, cap: int | None = None, max_depth: int = DEPTH) -> DataFrame:
-    """(start, words, truncated): sorted different words of the leaves; with ``cap`` the first so many and a flag."""
+    """(start, words, truncated): sorted different words of the leaves; with ``cap`` the first so many. The flag says that
+    there are more words, or documents with children at the end of the walk."""
     keys = [c for c in starts.columns if c != "id"]
-    l = leaf_documents(spark, graph, starts, max_depth).filter(F.col("word").isNotNull()).select(*keys, "word").distinct()
+    c = down_closure(spark, graph, starts, max_depth)
+    n = graph.filter("doc_type = 'node' AND word IS NOT NULL").select("id", "word")
+    l = c.join(n, "id").select(*keys, "word").distinct()
     if cap is not None:
         l = l.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("word"))).filter(F.col("_r") <= cap + 1)
     w = l.groupBy(*keys).agg(F.array_sort(F.collect_list("word")).alias("words"))
+    deep = c.filter(F.col("depth") == max_depth).join(_children(graph).select(F.col("_p").alias("id")), "id", "left_semi").select(*keys).distinct().withColumn("_deep", F.lit(True))
+    w = w.join(deep, keys, "left").withColumn("_deep", F.coalesce("_deep", F.lit(False)))
     if cap is None:
-        return w.withColumn("truncated", F.lit(False))
-    return w.select(*keys, F.slice("words", 1, cap).alias("words"), (F.size("words") > cap).alias("truncated"))
+        return w.select(*keys, "words", F.col("_deep").alias("truncated"))
+    return w.select(*keys, F.slice("words", 1, cap).alias("words"), ((F.size("words") > cap) | F.col("_deep")).alias("truncated"))
 
 
 def word_overlaps(spark: SparkSession, graph: DataFrame, pairs: DataFrame, max_depth: int = DEPTH) -> DataFrame:

@@ -358,6 +358,11 @@ def graph_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p5_loops``: the documents on loops of child pointers, by sweeps down to the last edge, none left to a task."""
+    return loop_members(spark, child_edges(latest_states(table(spark, sf_dir, "graph_docs"), "cm1_id", "cm2_id")), 0)
+
+
 def graph_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hierarchy of the documents' parents, written once as several passes read it."""
     up = hierarchy(spark, latest_states(table(spark, sf_dir, "graph_docs"), "parent_edge_id").withColumnRenamed("parent_edge_id", "parent"))

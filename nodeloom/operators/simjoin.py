@@ -192,6 +192,26 @@ def _cells(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> DataFr
     return df.select("id", F.col("vec").cast("array<double>")).mapInArrow(run, f"id {_id_type(df)}, vec array<double>, cell bigint")
 
 
+def write_index(spark: SparkSession, df: DataFrame, dim: int, path: str, min_score: float = 0.5, recall: float = 0.95, seed: int = 3) -> None:
+    """A stored index of (id, vec): the rows of every cell together, sorted, so a search reads the row groups of its cells.
+
+    A vector at cosine ``min_score`` to a query is found with probability ``recall`` at least, nearer ones more surely."""
+    d = usable(df, "vec", dim)
+    bits, tables = plan_cells(d.count(), min_score, recall)
+    _cells(d.select("id", "vec"), dim, tables, bits, seed).repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/cells")
+    spark.createDataFrame([(dim, bits, tables, seed)], "dim INT, bits INT, tables INT, seed INT").write.mode("overwrite").parquet(f"{path}/plan")
+
+
+def search_index(spark: SparkSession, path: str, query: list[float], k: int) -> DataFrame:
+    """(id, score): the k best rows of a stored index among those that share a cell with the query, by exact cosine."""
+    m = spark.read.parquet(f"{path}/plan").first()  # one row
+    planes = np.random.default_rng(m["seed"]).standard_normal((m["tables"], m["bits"], m["dim"]))
+    on = np.einsum("tbd,d->tb", planes, np.asarray(query, float)) > 0
+    cells = (on @ (1 << np.arange(m["bits"], dtype=np.int64))) + (np.arange(m["tables"], dtype=np.int64) << m["bits"])
+    near = spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin(cells.tolist())).dropDuplicates(["id"])
+    return top_k(near, query, k)
+
+
 def plan_cells(n: int, min_score: float, recall: float) -> tuple[int, int]:
     """(bits, tables) of least work with which a pair at ``min_score`` shares some cell with probability ``recall``.
 

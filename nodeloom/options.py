@@ -39,20 +39,17 @@ def _read(now, raw: str):
 
 @dataclass
 class Options:
-    """dim: length of vectors. pair_recall: 0 for exact pairs, else the recall ``simjoin.pairs`` has to keep. neighbours:
-    neighbours a row when pairs are asked for by rank. bridge_candidates: bridges a pair is offered at first."""
+    """dim: length of vectors. pair_recall: 0 for exact pairs, else the recall ``simjoin.pairs`` has to keep.
+    bridge_candidates: bridges a pair is offered at first."""
 
     dim: int = 768
     q_min_leaf: float = 0.72
-    disambiguation: float = 0.72
     triad_cosine: float = 0.90
     polysemy_floor: float = 0.40
     level_alpha: float = 0.5
     near_duplicate: float = 0.95
     pair_recall: float = 0.0
-    neighbours: int = 20
     bridge_candidates: int = 50
-    state_dir: str = ""
     embed_url: str = ""
     embed_model: str = ""
     fake_embedder: bool = True

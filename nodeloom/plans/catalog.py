@@ -16,7 +16,7 @@ from nodeloom.operators import provenance as P
 from nodeloom.operators import relational as R
 from nodeloom.operators import simjoin as S
 from nodeloom.options import SEEDS, TIERS
-from nodeloom.runtime import table
+from nodeloom.runtime import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _LATER: dict = {}
@@ -97,6 +97,15 @@ def greedy_match(spark, d):
     return M.greedy_by_score(spark, p, 0.3).select("a", "b", "score")
 
 
+def _greedy_rounds(spark, d):
+    """``greedy_match`` by rounds of mutually best pairs down to the last one, none left to a task."""
+    p = S.pairs(spark, embeddings(spark, d).select("id", "vec"), DIM, 0.29).withColumn("score", F.round("score", 6)).filter("score >= 0.3")
+    return M.greedy(spark, p, [-F.col("score")], in_task=0).select("a", "b", "score")
+
+
+QUERIES["greedy_rounds"], _LATER["greedy_rounds"] = _greedy_rounds, _LATER["greedy_match"]
+
+
 @query(f"""WITH {_E} SELECT a.label, a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 6) AS score, round(greatest({_COS.format('a.v', 'b.v')}, 0.4), 6) AS q
 FROM e a JOIN e b ON a.label = b.label AND a.id < b.id WHERE {_COS.format('a.v', 'b.v')} >= 0.2""")
 def polysemy_pairs(spark, d):
@@ -251,7 +260,7 @@ def _scan(step: str) -> str:
 _NORM = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"
 
 
-@query(f"""WITH RECURSIVE {_E}, c AS (SELECT format('{{:06d}}', id) AS id, v, 0.5 + label / 20 AS w, label FROM e),
+_FORM = f"""WITH RECURSIVE {_E}, c AS (SELECT format('{{:06d}}', id) AS id, v, 0.5 + label / 20 AS w, label FROM e),
 p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY score DESC, a, b) AS n, a, b, score FROM (
   SELECT a.id AS a, b.id AS b, round({_COS.format('a.v', 'b.v')}, 12) AS score FROM c a JOIN c b ON a.id < b.id WHERE a.label < 5 AND b.label < 5) WHERE score >= 0.3),
 {_scan('m')},
@@ -259,7 +268,26 @@ k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY m.score DESC, m.a, m.b) AS
 o AS MATERIALIZED (SELECT k.n, list(c.id ORDER BY round({_COS.format('k.z', 'c.v')}, 12) DESC, c.id) AS l FROM k, c WHERE c.label >= 5 GROUP BY k.n),
 r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS bridge
   UNION ALL SELECT o.n, list_append(r.used, list_filter(o.l, lambda x: NOT list_contains(r.used, x))[1]), list_filter(o.l, lambda x: NOT list_contains(r.used, x))[1] FROM r JOIN o ON o.n = r.n + 1),
-t AS (SELECT k.a, k.b, r.bridge, k.wa, k.wb, c.w AS w3 FROM k JOIN r ON r.n = k.n JOIN c ON c.id = r.bridge),
+t AS (SELECT k.a, k.b, r.bridge, k.wa, k.wb, c.w AS w3 FROM k JOIN r ON r.n = k.n JOIN c ON c.id = r.bridge)"""
+
+
+@query(f"{_FORM} SELECT a || '|' || b AS pair, bridge FROM t")
+def bridge_rounds(spark, d):
+    """The bridges of ``triad_formation`` by rounds of offers, five candidates at first, none left to a task."""
+    e = embeddings(spark, d).select(F.format_string("%06d", "id").alias("id"), "vec", "label")
+    one, two = e.filter("label < 5").select("id", "vec"), e.filter("label >= 5").select("id", "vec")
+    won = M.greedy_by_score(spark, S.pairs(spark, one, DIM, 0.3), 0.3)
+    p = won.join(one.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(one.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
+    p = M.ranked(p.select(F.concat_ws("|", "a", "b").alias("pair"), "score", "a", "b", V.neutral_edge_vector(F.col("va"), F.col("vb")).alias("vec")), -F.col("score"), F.col("a"), F.col("b"))
+    p, _ = Scratch(spark, "bridge").cut(p)
+
+    def near(ps: DataFrame, k: int) -> DataFrame:
+        return S.nearest(ps.select(F.col("pair").alias("id"), "vec"), two, DIM, k).select(F.col("id").alias("pair"), F.col("match").alias("bridge"), "score", F.col("rank").alias("pref"))
+
+    return M.assign_bridges(spark, p, near, two.count(), 5, 0).select("pair", "bridge")
+
+
+@query(f"""{_FORM},
 s AS (SELECT *, w3 * w3 / sqrt(wa ** 4 + wb ** 4 + w3 ** 4) AS q FROM t)
 SELECT substr(sha256('11|' || a || '|' || b || '|' || bridge), 1, 24) AS id, a AS cm1_id, b AS cm2_id, bridge AS bridge_id, 11 AS level, round(q, 6) AS strength, round(q * (1 + 0.5 * (14 - 11) / 13.0), 6) AS weight FROM s""")
 def triad_formation(spark, d):
@@ -553,7 +581,32 @@ def sampled_triads(spark, d):
     return R.sample_rows(t, 50, "id", 7)
 
 
-@query()
+def _dictionary_sql(senses: bool) -> str:
+    """Typed reading in SQL: a field of another shape than declared is null, what is no record is none."""
+    from nodeloom.operators.nested import RELATIONS
+
+    def text(of: str, path: str) -> str:
+        return f"CASE json_type({of}, '{path}') WHEN 'NULL' THEN NULL ELSE json_extract_string({of}, '{path}') END"
+
+    def array(of: str, path: str, kind: str) -> str:
+        l = f"json_extract({of}, '{path}[*]')"
+        return f"CASE WHEN json_type({of}, '{path}') = 'ARRAY' AND len(list_filter({l}, lambda x: json_type(x) NOT IN ('{kind}', 'NULL'))) = 0 THEN {l} END"
+
+    rel = " + ".join(f"coalesce(len(list_filter({array('j', '$.' + k, 'OBJECT')}, lambda x: coalesce(json_extract_string(x, '$.word'), '') <> '')), 0)" for k in RELATIONS)
+    head = f"""WITH v AS (SELECT line_id AS ord, CASE WHEN json_valid(line) THEN CASE WHEN json_type(line) = 'OBJECT' THEN CAST(line AS JSON) END END AS j FROM kaikki_lines),
+r AS (SELECT ord, j, {text('j', '$.word')} AS word, {text('j', '$.pos')} AS pos, coalesce({text('j', '$.lang_code')}, 'en') AS lang, {array('j', '$.senses', 'OBJECT')} AS l, {rel} AS n_relations, {array('j', '$.sounds', 'OBJECT')} AS snd FROM v WHERE j IS NOT NULL),
+e AS (SELECT ord, word, pos, n_relations, snd, unnest(l) AS s, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS sense_idx FROM r WHERE word <> '' AND pos <> '' AND lang = 'en' AND len(l) > 0),
+g AS (SELECT *, {array('s', '$.glosses', 'VARCHAR')} AS gl FROM e), k AS (SELECT *, json_extract_string(gl[1], '$') AS gloss FROM g WHERE json_type(gl[1]) = 'VARCHAR' AND json_extract_string(gl[1], '$') <> '')"""
+    if not senses:
+        ipa = "list_filter(coalesce(any_value(snd), []), lambda x: coalesce(json_extract_string(x, '$.ipa'), '') <> '')"
+        return f"""{head} SELECT ord, word, pos, coalesce(json_extract_string(list_filter({ipa}, lambda x: coalesce(json_array_length(x, '$.tags'), 0) = 0)[1], '$.ipa'), json_extract_string({ipa}[1], '$.ipa')) AS ipa,
+CAST(count(*) AS INTEGER) AS n_senses, CAST(any_value(n_relations) AS INTEGER) AS n_relations FROM k GROUP BY ord, word, pos"""
+    ex = f"list_filter(list_transform(coalesce({array('s', '$.examples', 'OBJECT')}, []), lambda x: json_extract_string(x, '$.text')), lambda t: t <> '')"
+    return f"""{head} SELECT ord, coalesce(CASE WHEN json_extract_string(s, '$.id') <> '' THEN json_extract_string(s, '$.id') END, concat_ws('-', word, pos, CAST(sense_idx AS VARCHAR))) AS sense_id, sense_idx, gloss,
+trim(concat_ws(' ', gloss, CASE WHEN len({ex}) > 0 THEN array_to_string({ex}[1:2], ' ') END), ' ') AS embed_text FROM k"""
+
+
+@query(lambda: _dictionary_sql(False))
 def dictionary_words(spark, d):
     from nodeloom.sources.dictionary import parse_lines
 
@@ -561,7 +614,7 @@ def dictionary_words(spark, d):
     return w.select("ord", "word", "pos", "ipa", F.size("sense_ids").alias("n_senses"), F.size("relations").alias("n_relations"))
 
 
-@query()
+@query(lambda: _dictionary_sql(True))
 def dictionary_senses(spark, d):
     from nodeloom.sources.dictionary import parse_lines
 

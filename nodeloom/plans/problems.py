@@ -17,6 +17,7 @@ def queries() -> dict:
         "p5_paths": hierarchy.graph_intervals,
         "p5_full_paths": hierarchy.graph_paths,
         "p5_descendants": hierarchy.graph_descendants,
+        "p5_loops": hierarchy.graph_loops,
     }
 
 
@@ -83,6 +84,8 @@ c AS (SELECT id, id AS chain, CAST(0 AS BIGINT) AS pos, CAST([] AS STRUCT(chain
   CASE WHEN h.id IS NULL THEN list_append(c.segs, {{'chain': c.chain, 'upto': c.pos}}) ELSE c.segs END FROM c JOIN n ON n.up = c.id LEFT JOIN h ON h.id = n.id)
 SELECT n.id, n.root_id, CAST(n.depth AS INTEGER) AS depth, c.chain, c.pos, CAST(to_json(c.segs) AS VARCHAR) AS segments, n.n AS descendants FROM n JOIN c ON c.id = n.id
 UNION ALL SELECT start, list_min(path[k:]), CASE WHEN k = 1 THEN -1 ELSE -2 END, NULL, NULL, NULL, NULL FROM e WHERE p IS NOT NULL""",
+        "p5_loops": f"""{_UP}, d AS (SELECT DISTINCT x.a, x.b FROM (SELECT id AS a, unnest([cm1_id, cm2_id]) AS b FROM g) x JOIN g ON g.id = x.b), r AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM r JOIN d ON d.a = r.b)
+SELECT x.a AS id, min(y.b) AS root_id FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a""",
         "p5_full_paths": f"{_UP} SELECT id, array_to_string(path, '/') AS path FROM f",
         "p5_descendants": f"{_UP} SELECT id, descendant FROM x",
     }

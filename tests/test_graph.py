@@ -30,6 +30,10 @@ def test_down(spark, graph):
     assert w["t"][0] == ["day", "moon", "night", "sun"] and w["r"][0] == ["moon", "night", "sun"] and w["l1"][0] == ["sun"] and w["n1"][0] == ["sun"]
     c = G.leaf_words(spark, graph, graph.filter("id = 't'").select(F.col("id").alias("start"), "id"), cap=2).first()
     assert c.words == ["day", "moon"] and c.truncated
+    short = {r.start: r.truncated for r in G.leaf_words(spark, graph, graph.filter("id IN ('t', 'e1', 'n1')").select(F.col("id").alias("start"), "id"), max_depth=1).collect()}
+    assert short == {"e1": False, "n1": False} and G.leaf_words(spark, graph, graph.filter("id = 'r'").select(F.col("id").alias("start"), "id"), max_depth=1).first().truncated
+    o = spark.createDataFrame([("x", "e1", "e2"), ("y", "t", "r"), ("z", "t", None)], "id STRING, a STRING, b STRING")
+    assert {r.id: (r.overlap, r.jaccard) for r in G.word_overlaps(spark, graph, o).collect()} == {"x": (0, 0.0), "y": (3, 0.75)}
     t = spark.createDataFrame([("p", "t", "moon"), ("p", "t", "sea"), ("x", "zz", "moon")], "start STRING, id STRING, target STRING")
     assert [tuple(r) for r in G.any_leaf_has_word(spark, graph, t).collect()] == [("p", "moon")]
 

@@ -128,7 +128,7 @@ def test_pairs_are_exact_beyond_one_block(spark):
 
 def test_recall_holds_at_every_size_and_threshold(spark):
     rng = np.random.default_rng(11)
-    for n, least, noise in ((400, 0.3, 1.4), (1600, 0.3, 1.4), (1600, 0.72, 0.6), (3200, 0.72, 0.6), (1600, 0.9, 0.3)):
+    for n, least, noise in ((400, 0.3, 1.4), (1600, 0.3, 1.4), (800, 0.72, 0.6), (2400, 0.72, 0.6), (1600, 0.9, 0.3)):
         c = rng.standard_normal((n // 8, 24))
         x = np.repeat(c, 8, 0) + noise * rng.standard_normal((n, 24))
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -140,6 +140,21 @@ def test_recall_holds_at_every_size_and_threshold(spark):
         assert bits >= 1 and tables >= 1
 
 
+def test_stored_index(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    c = rng.standard_normal((40, 16))
+    x = np.repeat(c, 20, 0) + 0.7 * rng.standard_normal((800, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    S.write_index(spark, vecs(spark, x), 16, str(tmp_path / "i"), 0.6)
+    hit = tot = 0
+    for i in range(0, 800, 90):
+        got = {r.id: r.score for r in S.search_index(spark, str(tmp_path / "i"), x[i].tolist(), 10).collect()}
+        exp = [j for j in np.argsort(-(u @ u[i]))[:10] if u[j] @ u[i] >= 0.6]
+        hit, tot = hit + sum(f"v{j:04d}" in got for j in exp), tot + len(exp)
+        assert abs(got[f"v{i:04d}"] - 1) < 1e-9
+    assert hit >= 0.9 * tot > 40
+
+
 def test_hot_cell_of_copies(spark):
     x = np.vstack([np.tile([1.0, 0.0, 0.0], (90, 1)), np.tile([0.0, 1.0, 0.0], (5, 1))])
     got = S.pairs_approximate(spark, vecs(spark, x), 3, 0.99, tables=2, bits=1, cell=20)
