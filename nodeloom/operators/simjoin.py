@@ -63,11 +63,11 @@ def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]
 
 
-def _tile_count(n: int, dim: int, rows: int | None, cores: int) -> int:
-    """Tiles of a side of ``n`` rows: none larger than ``rows`` (by default what ``TILE_BYTES`` hold), and up to ``cores`` so
+def _tile_count(n: int, dim: int, rows: int | None, spread: int) -> int:
+    """Tiles of a side of ``n`` rows: none larger than ``rows`` (by default what ``TILE_BYTES`` hold), and up to ``spread`` so
     long as they keep ``SPREAD_ROWS`` rows."""
     most = rows or max(1, TILE_BYTES // (8 * dim))
-    return max(1, -(-n // most), min(cores, n // SPREAD_ROWS))
+    return max(1, -(-n // most), min(spread, n // SPREAD_ROWS))
 
 
 def _numbers(n: int) -> F.Column:
@@ -102,7 +102,7 @@ def nearest(left: DataFrame, right: DataFrame, dim: int, k: int = 1, min_score:
     lt, rt = _id_type(left), _id_type(right)
     cores = left.sparkSession.sparkContext.defaultParallelism
     nl, nr = left.count(), right.count()
-    a, b = _tile_count(nl, dim, rows, cores), _tile_count(nr, dim, rows, 1)
+    a, b = _tile_count(nl, dim, rows, 4 * cores), _tile_count(nr, dim, rows, 1)
     parts = min(a * b, MOST_PARTS)
 
     def run(l: pa.Table, r: pa.Table) -> pa.Table:
@@ -172,7 +172,7 @@ def pairs_exact(df: DataFrame, dim: int, min_score: float, rows: int | None = No
     df = usable(df, "vec", dim).select("id", "vec")
     n = df.count()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tiles = max(_tile_count(n, dim, rows, 1), min(math.isqrt(2 * cores), n // SPREAD_ROWS))
+    tiles = max(_tile_count(n, dim, rows, 1), min(math.isqrt(8 * cores), n // SPREAD_ROWS))
     return _compared(df.withColumn("tiles", F.lit(tiles)), [], dim, min_score, tiles * (tiles + 1) // 2)
 
 

@@ -269,7 +269,7 @@ def test_levels_and_sweep_equal_the_sequence(spark):
     rng = np.random.default_rng(12)
     c = rng.standard_normal((4, 5))
     docs = {}
-    for level, n in ((15, 14), (14, 9), (13, 3)):
+    for level, n in ((15, 10), (14, 6), (13, 2)):
         for i in range(n):
             v = c[i % 4] + 0.5 * rng.standard_normal(5)
             docs[f"{level}-{i:02d}"] = (v / np.linalg.norm(v), 0.5 + 0.02 * i, level)

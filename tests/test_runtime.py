@@ -35,7 +35,7 @@ def test_a_table_belongs_to_its_frame(spark):
 def test_loops_do_not_lose_tables(spark):
     par = {f"r{i}": f"r{(i + 1) % 9}" for i in range(9)} | {f"t{i}": f"r{i % 9}" for i in range(20)} | {f"c{i:02d}": f"c{i - 1:02d}" if i else None for i in range(20)}
     d = spark.createDataFrame(list(par.items()), "id STRING, parent STRING")
-    for _ in range(3):
+    for _ in range(2):
         h = H.hierarchy(spark, d)
         junk = [spark.range(3).select("id") for _ in range(50)]
         gc.collect()
