@@ -85,13 +85,22 @@ def vocabulary(path: str = VOCABULARY) -> frozenset[str]:
 
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
-_OUT = re.compile(
-    r"https?://\S+|www\.\S+|\S+@\S+|\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“”\n]{0,200}[“”]|«[^»\n]{0,200}»|/[^/\n\d:]{1,60}/|&\w+;|<[^>\n]{0,100}>"
-    r"|\b[^\W\d_]{1,6}['’](?:s|ll|ve|m|re|d|t)\b|\b[^\W\d_]+[₀-₉²³⁴]|\w*_\w*|\d[\w.,/]*"
-)
+_LETTERS = re.compile("[A-Za-z]+")
+# What is no running text, by the character that gives it away: a sentence is searched only for what it may hold.
+_OUTS = (
+    ("@", r"\S+@\S+"), ("/.", r"https?://\S+|www\.\S+"), ("\"", r"\"[^\"\n]{0,200}\""), ("“", r"“[^”\n]{0,200}”"), ("„", r"„[^“”\n]{0,200}[“”]"), ("«", r"«[^»\n]{0,200}»"), ("/", r"/[^/\n\d:]{1,60}/"),
+    ("&", r"&\w+;"), ("<", r"<[^>\n]{0,100}>"), ("'’", r"\b[^\W\d_]{1,6}['’](?:s|ll|ve|m|re|d|t)\b"), ("₀₁₂₃₄₅₆₇₈₉²³⁴", r"\b[^\W\d_]+[₀-₉²³⁴]"), ("_", r"\w*_\w*"), ("0", r"\d[\w.,/]*"),
+)
+
+
+@lru_cache(1024)
+def _out(signs: frozenset[str]) -> re.Pattern:
+    return re.compile("|".join(p for of, p in _OUTS if any(c in signs for c in of)))
+
+
 _INVISIBLE = re.compile("[" + "".join(re.escape(c) for c, to in tables()[0].items() if not to) + "]+")
 _END = re.compile(r"[.!?…。！？]+[\"”»’)\]]*(?=\s)|[\n\r\u2028\u2029]+")
-_MAY_OUT = re.compile(r"[\"“„«/&<@_'’₀-₉²³⁴\d]|www\.")
+_MAY_OUT = re.compile(r"[\"“„«/&<@_'’₀-₉²³⁴\d]|(?<=www)\.")
 
 
 @lru_cache(1)
@@ -317,13 +326,19 @@ class LanguageModel:
 
 def bare(text: str) -> str:
     """A text without quoted words, addresses, sound scripts, numbers and invisible characters."""
-    if _MAY_OUT.search(text):
-        text = _OUT.sub(" _ ", text)
+    if signs := _MAY_OUT.findall(text):
+        text = _out(frozenset("0" if c.isdecimal() else c for c in signs)).sub(" _ ", text)
     return text if text.isascii() else _INVISIBLE.sub("", text)
 
 
+def raw_words(text: str) -> list[str]:
+    """The words of ``bare`` text as written."""
+    b = bare(text)
+    return (_LETTERS if b.isascii() else _WORD).findall(b)
+
+
 def plain_words(text: str) -> list[str]:
-    return [w for w in map(plain_word, _WORD.findall(bare(text))) if w]
+    return [w for w in map(plain_word, raw_words(text)) if w]
 
 
 def sentences(text: str) -> list[tuple[int, str]]:
@@ -347,7 +362,7 @@ def _units(texts: list[str | None], model: LanguageModel) -> tuple[np.ndarray, l
         if not text:
             continue
         for at, s in sentences(text):
-            ws = _WORD.findall(bare(s))
+            ws = raw_words(s)
             if ws:
                 owner.append(d), start.append(at), first.append(len(words))
                 words += ws
