@@ -22,6 +22,7 @@ from nodeloom.plans.catalog import neighbourhoods
 from nodeloom.plans.stages import STAGES, StageOrderError, StageStore, preflight, run_stage
 from nodeloom.runtime import Scratch
 from nodeloom.sources.dictionary import parse_lines, read_lines, word_scope
+from nodeloom.sources.sinks import write_table
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,8 +56,7 @@ class Build:
         """Write a table from a frame that may read it: what is written is complete before the old one goes."""
         df, c = self.s.cut(df, n=F.count(F.lit(1)))
         if not self.args.dry_run:
-            w = df.write.mode(mode)
-            (w.partitionBy(*by) if by else w).parquet(f"{self.args.work}/{name}")
+            write_table(df, f"{self.args.work}/{name}", *by, mode=mode)
         return c["n"]
 
     def few(self, df: DataFrame, order: str) -> DataFrame:

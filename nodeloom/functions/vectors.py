@@ -84,7 +84,3 @@ def vector_sum(v: Column) -> Column:
 
 def vector_mean(v: Column) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(doubles(v))))
-
-
-def rounded(v: Column, digits: int = 6) -> Column:
-    return F.transform(v, lambda x: F.round(x, digits))

@@ -346,7 +346,7 @@ def leaf_edges(spark, d):
     return e.select("id", "cm1_id", "cm2_id", F.round("q", 6).alias("q"), "source", F.round(F.col("vec")[0], 6).alias("x1"), F.round(F.col("type_vec")[0], 6).alias("t1"))
 
 
-def _own_edges(spark, d):
+def own_edges(spark, d):
     """Senses with the latest document's parent, and the edges of two senses with their neutral vectors."""
     g = docs(spark, d)
     n = g.filter("node_type = 'sense'").select("id", "sense_id", "word", "pos", "parent_edge_id")
@@ -369,7 +369,7 @@ SELECT id, round(({_NORM.format('v')})[1], 6) AS x1, round(({_NORM.format('v')})
 def word_vectors(spark, d):
     from nodeloom.plans.build import word_vectors as vectors
 
-    g, n, e = _own_edges(spark, d)
+    g, n, e = own_edges(spark, d)
     v = vectors(g.filter("node_type = 'word'").select("id", "word", "pos"), n, e)
     return v.select("id", F.round(F.col("vec")[0], 6).alias("x1"), F.round(F.col("vec")[63], 6).alias("x64"))
 

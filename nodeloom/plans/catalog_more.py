@@ -8,8 +8,7 @@ from nodeloom.functions import text as X
 from nodeloom.functions import vectors as V
 from nodeloom.operators import graph as G
 from nodeloom.operators import relational as R
-from nodeloom.operators import simjoin as S
-from nodeloom.plans.catalog import _COS, _DOWN, _E, _G, _NORM, DIM, docs, embeddings, query, senses
+from nodeloom.plans.catalog import _COS, _DOWN, _E, _G, _NORM, _OE, DIM, docs, embeddings, own_edges, query, senses
 from nodeloom.runtime import Scratch, table
 
 # -- vector algebra ----------------------------------------------------------------------------------------------------
@@ -223,6 +222,22 @@ def graph_recall(spark, d):
     return recall(spark, g, p.join(e, "a").select("pair", "id"), p.join(n, "a").select("pair", "id"), p.select("pair", "word_b")).withColumn("recall", F.round("recall", 6))
 
 
+@query(f"""{_DOWN}, {_OE.removeprefix(_G + ', ')}, {_SYN}, fs AS (SELECT word, arg_min(v, id) AS v FROM n WHERE word IS NOT NULL GROUP BY word), p AS (SELECT a || '|' || b AS pair, b, fs.v FROM pr JOIN fs ON fs.word = pr.a),
+eh AS (SELECT p.pair, p.b, ed.id FROM p, ed QUALIFY row_number() OVER (PARTITION BY p.pair ORDER BY round({_COS.format('p.v', 'ed.v')}, 12) DESC, ed.id) <= 10),
+nh AS (SELECT p.pair, p.b, n.id, n.word FROM p, n QUALIFY row_number() OVER (PARTITION BY p.pair ORDER BY round({_COS.format('p.v', 'n.v')}, 12) DESC, n.id) <= 10),
+gh AS (SELECT DISTINCT eh.pair FROM eh JOIN t ON t.start = eh.id JOIN g l ON l.id = t.id AND l.doc_type = 'node' AND l.word = eh.b)
+SELECT 'graph' AS method, round((SELECT count(*) FROM gh) / (SELECT count(*) FROM p), 6) AS recall, (SELECT count(*) FROM p) AS n UNION ALL SELECT 'flat', round((SELECT count(DISTINCT pair) FROM nh WHERE word = b) / (SELECT count(*) FROM p), 6), (SELECT count(*) FROM p)""")
+def search_recall(spark, d):
+    """Recall at ten of leaf edges against senses, by the vector of one word of each synonym pair."""
+    from nodeloom.plans.evaluate import search_recall as recall
+
+    g, n, e = own_edges(spark, d)
+    first = n.filter("word IS NOT NULL").groupBy(F.col("word").alias("a")).agg(F.min_by("vec", "id").alias("vec"))
+    p = _synonyms(spark, d).join(first, "a").select(F.concat_ws("|", "a", "b").alias("pair"), F.col("b").alias("word_b"), V.doubles(F.col("vec")).alias("vec"))
+    v = n.select("id", V.doubles(F.col("vec")).alias("vec")).unionByName(e)
+    return recall(spark, g, v, p.select("pair", "word_b"), p.select("pair", "vec"), DIM, 10).withColumn("recall", F.round("recall", 6))
+
+
 @query(f"WITH {_G}, m AS (SELECT DISTINCT unnest([cm1_id, cm2_id, bridge_id, parent_edge_id]) AS id FROM g) SELECT id FROM m WHERE id <> '' AND id NOT IN (SELECT id FROM g)")
 def missing_members(spark, d):
     g = docs(spark, d)

@@ -31,7 +31,10 @@ def size_shuffles(spark: SparkSession, data_dir: str) -> None:
     if now != _SIZED.get(app) and (spark.sparkContext.getConf().contains(key) or now != "200"):
         return
     p = spark._jvm.org.apache.hadoop.fs.Path(data_dir)
-    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return
+    size = fs.getContentSummary(p).getLength()
     n = str(min(MOST_PARTITIONS, max(2 * spark.sparkContext.defaultParallelism, -(-size // SHUFFLE_BYTES))))
     spark.conf.set(key, n)
     _SIZED[app] = n

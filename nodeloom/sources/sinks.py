@@ -13,8 +13,8 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_table(df: DataFrame, path: str, *partitions: str) -> None:
-    w = df.write.mode("overwrite")
+def write_table(df: DataFrame, path: str, *partitions: str, mode: str = "overwrite") -> None:
+    w = df.write.mode(mode)
     (w.partitionBy(*partitions) if partitions else w).parquet(path)
 
 

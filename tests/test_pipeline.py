@@ -8,7 +8,7 @@ from nodeloom.options import Options
 from nodeloom.plans import build as B
 from nodeloom.plans import labels as L
 from nodeloom.plans.api import GraphAPI
-from nodeloom.plans.ingest import ingest, outcome_counts, settle
+from nodeloom.plans.ingest import ingest, outcome_counts, settle, touched_words
 from nodeloom.plans.stages import STAGES, StageOrderError, StageStore, preflight, run_stage
 from nodeloom.sources import dictionary as D
 from nodeloom.sources import sinks
@@ -148,6 +148,7 @@ def test_terms_and_ingest(spark, tmp_path):
     got = ingest(spark, t, w, s, 16)
     assert {(r.word, r.gloss): (r.pos, r.outcome) for r in got.collect()} == {("warm  tone", "g"): ("noun", "new_word"), ("warm", "gloss of warm e"): ("adj", "merged"), ("warm", "new"): ("adj", "new_sense")}
     assert {r.outcome: r.n for r in outcome_counts(got).collect()} == {"new_word": 1, "merged": 1, "new_sense": 1}
+    assert sorted(map(tuple, touched_words(got).collect())) == [("warm", "adj"), ("warm  tone", "noun")]
 
 
 def test_stream(spark, tmp_path):
