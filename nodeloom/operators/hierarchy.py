@@ -77,13 +77,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _separate(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
-    """(tree, act, n): the nodes (id, parent, size) of trees with the sizes of their subtrees; (id, jump) of those that
-    reach a loop, if any; the number of all nodes.
+def _separate(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(tree, act): the nodes (id, parent, size) of trees with the sizes of their subtrees, where ``nodes`` (id, parent, own)
+    count ``own`` each; (id, jump) of those that reach a loop, if any.
 
     A round's table holds the rows still on their way, (id, jump, size) with jump 2^k steps up and size of the subtree
     down to there, and what they gave to the node at their jump: (id, null, given)."""
-    act = nodes.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("jump"), F.lit(1).cast("bigint").alias("size"))
+    act = nodes.filter(F.col("parent").isNotNull()).select("id", F.col("parent").alias("jump"), F.col("own").alias("size"))
     given, active, act_at = [], None, act
     while True:
         gives = act_at.groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("add"))
@@ -97,9 +97,8 @@ def _separate(s: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None
             break
     sizes = _union(given).groupBy("id").agg(F.sum("size").alias("size"))
     tree = nodes.join(act_at.select("id"), "id", "left_anti") if active else nodes
-    tree = tree.join(sizes, "id", "left").select("id", "parent", (F.coalesce("size", F.lit(0)) + 1).alias("size"))
-    tree, c = s.cut(tree, n=F.count(F.lit(1)))
-    return tree, (act_at.select("id", "jump") if active else None), c["n"]
+    tree = tree.join(sizes, "id", "left").select("id", "parent", (F.coalesce("size", F.lit(0)) + F.col("own")).alias("size"))
+    return s.cut(tree)[0], (act_at.select("id", "jump") if active else None)
 
 
 def _loops(s: Scratch, nodes: DataFrame, act: DataFrame) -> DataFrame:
@@ -141,29 +140,43 @@ def _follow(s: Scratch, start: DataFrame, step) -> DataFrame:
     return _union(done)
 
 
-def _chains(s: Scratch, tree: DataFrame, n: int) -> DataFrame:
-    """Tree nodes (id, parent, size) with root, depth, chain, position in it, path segments and preorder interval."""
-    kids = tree.filter(F.col("parent").isNotNull())
+def _chains(s: Scratch, tree: DataFrame, leaves: DataFrame, n: int) -> DataFrame:
+    """Root, depth, chain, position in it, path segments and preorder interval of the nodes of trees: ``tree`` (id, parent,
+    size) those with children, ``leaves`` (id, parent) the others, which take theirs from their parents at the end."""
+    one = F.lit(1).cast("bigint")
+    kids = tree.filter(F.col("parent").isNotNull()).withColumn("leaf", F.lit(False)).unionByName(leaves.filter(F.col("parent").isNotNull()).select("id", "parent", one.alias("size"), F.lit(True).alias("leaf")))
     heavy, _ = s.cut(kids.groupBy("parent").agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("h.id").alias("id"), F.col("h.size").alias("hsize"), F.col("parent").alias("hp")))
     link = tree.join(heavy.select("id", F.lit(True).alias("heavy")), "id", "left")
     is_heavy = F.coalesce(F.col("heavy"), F.lit(False))
     start = link.select("id", F.when(is_heavy, F.col("parent")).otherwise(F.col("id")).alias("jump"), F.when(is_heavy, 1).otherwise(0).cast("bigint").alias("pos"), "size", (~is_heavy).alias("done"))
     run = _follow(s, start, lambda act, of: _double(act, of.select("id", "jump", "pos", "done"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("size"), F.col("_done").alias("done")))
     run = run.select("id", F.col("jump").alias("chain"), "pos", "size")
-    # every chain head with the place where its chain hangs and the preorder offset from there
+    # every light child with the preorder offset from its parent: behind the heavy child and the light ones before it
     light = kids.join(heavy.select("id"), "id", "left_anti")
-    light = prefix_sum(light.select("id", "parent", "size"), "parent", "id", "size", n)
+    light = prefix_sum(light.select("id", "parent", "size", "leaf"), "parent", "id", "size", n)
     light = light.join(heavy.select(F.col("hp").alias("parent"), "hsize"), "parent")
-    hang = light.join(run.select(F.col("id").alias("parent"), F.col("chain").alias("up"), F.col("pos").alias("up_pos")), "parent")
+    light, _ = s.cut(light.select("id", "parent", "leaf", (1 + F.col("hsize") + F.col("before")).alias("offset")))
+    # every head of a chain with the place where its chain hangs
+    hang = light.filter(~F.col("leaf")).join(run.select(F.col("id").alias("parent"), F.col("chain").alias("up"), F.col("pos").alias("up_pos")), "parent")
     seg = F.array(F.struct(F.col("up").alias("chain"), F.col("up_pos").alias("upto")))
-    hang = hang.select("id", F.col("up").alias("jump"), (F.col("up_pos") + 1).alias("d"), (F.col("up_pos") + 1 + F.col("hsize") + F.col("before")).alias("tin"), seg.alias("segs"))
+    hang = hang.select("id", F.col("up").alias("jump"), (F.col("up_pos") + 1).alias("d"), (F.col("up_pos") + F.col("offset")).alias("tin"), seg.alias("segs"))
     kind = dict(hang.dtypes)["segs"]
-    tops = tree.filter(F.col("parent").isNull()).select("id", F.col("id").alias("jump"), F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("tin"), F.array().cast(kind).alias("segs"), F.lit(True).alias("done"))
+    none, zero = F.array().cast(kind), F.lit(0).cast("bigint")
+    tops = tree.filter(F.col("parent").isNull()).select("id", F.col("id").alias("jump"), zero.alias("d"), zero.alias("tin"), none.alias("segs"), F.lit(True).alias("done"))
     heads = _follow(s, hang.withColumn("done", F.lit(False)).unionByName(tops), lambda act, of: _double(
         act, of, (F.col("d") + F.col("_d")).alias("d"), (F.col("tin") + F.col("_tin")).alias("tin"), F.concat("_segs", "segs").alias("segs"), F.col("_done").alias("done")))
     heads = heads.select(F.col("id").alias("chain"), F.col("jump").alias("root_id"), "d", "tin", "segs")
-    out = run.join(heads, "chain")
-    return out.select("id", "root_id", (F.col("d") + F.col("pos")).cast("int").alias("depth"), "chain", "pos", "segs", (F.col("tin") + F.col("pos")).alias("tin"), "size")
+    inner = run.join(heads, "chain")
+    inner = inner.select("id", "root_id", (F.col("d") + F.col("pos")).cast("int").alias("depth"), "chain", "pos", "segs", (F.col("tin") + F.col("pos")).alias("tin"), "size")
+    inner, _ = s.cut(inner)
+    up = inner.select(F.col("id").alias("parent"), "root_id", "depth", F.col("chain").alias("_c"), F.col("pos").alias("_p"), "segs", "tin")
+    hung = leaves.join(light.filter("leaf").select("id", "offset"), "id", "left").join(up, "parent")
+    own = F.col("offset").isNotNull()  # else the heavy child
+    hung = hung.select("id", "root_id", (F.col("depth") + 1).alias("depth"), F.when(own, F.col("id")).otherwise(F.col("_c")).alias("chain"), F.when(own, zero).otherwise(F.col("_p") + 1).alias("pos"),
+                       F.when(own, F.concat("segs", F.array(F.struct(F.col("_c").alias("chain"), F.col("_p").alias("upto"))))).otherwise(F.col("segs")).alias("segs"),
+                       (F.col("tin") + F.coalesce("offset", one)).alias("tin"), one.alias("size"))
+    lone = leaves.filter(F.col("parent").isNull()).select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.col("id").alias("chain"), zero.alias("pos"), none.alias("segs"), zero.alias("tin"), one.alias("size"))
+    return inner.unionByName(hung).unionByName(lone)
 
 
 HIERARCHY = ("id", "root_id", "depth", "chain", "pos", "segs", "tin", "size")
@@ -176,13 +189,20 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     after depth are null). Path: chain prefixes ``segs`` (chain, upto), then ``chain`` up to ``pos``. Descendants and the
     node itself: the nodes of the same root with ``tin`` in [tin, tin + size)."""
     s = Scratch(spark, "hierarchy")
-    base, _ = s.cut(existing_parents(nodes))
-    tree, cyclic, n = _separate(s, base)
-    out = _chains(s, tree, n)
+    base = existing_parents(nodes)
+    above = base.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct().withColumn("_up", F.lit(True))
+    base, c = s.cut(base.join(above, "id", "left").select("id", "parent", F.col("_up").isNull().alias("leaf")), n=F.count(F.lit(1)))
+    # leaves, often most nodes, stay out of the rounds: they count for their parents
+    leaves, inner = base.filter("leaf").select("id", "parent"), base.filter("NOT leaf").select("id", "parent")
+    few = leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    inner, _ = s.cut(inner.join(few, "id", "left").select("id", "parent", (F.coalesce("k", F.lit(0)) + 1).alias("own")))
+    tree, cyclic = _separate(s, inner)
+    out = _chains(s, tree, leaves, c["n"])
     if cyclic is not None:
-        loops = _loops(s, base, cyclic)
+        loops, _ = s.cut(_loops(s, inner.select("id", "parent"), cyclic))
+        below = leaves.join(loops.select(F.col("id").alias("parent"), "root_id"), "parent").select("id", "root_id", F.lit(-2).alias("depth"))
         types = dict(out.dtypes)
-        out = out.unionByName(loops.select("id", "root_id", "depth", *[F.lit(None).cast(types[c]).alias(c) for c in HIERARCHY[3:]]))
+        out = out.unionByName(loops.unionByName(below).select("id", "root_id", "depth", *[F.lit(None).cast(types[c]).alias(c) for c in HIERARCHY[3:]]))
     return out
 
 
